@@ -157,6 +157,11 @@ def learning_rows(docs: DataFrame, allowed, text_col: str, label_col: str, order
     return [(r[0], r[1]) for r in thin.select(F.col(text_col).alias("t"), F.col(label_col).alias("y"), key.alias("k")).orderBy("k", "t").limit(most).collect()]
 
 
+def learn(docs: DataFrame, allowed, text_col: str = "text", label_col: str = "lang") -> LanguageModel:
+    """A model of at most MOST_ROWS rows of docs for which `allowed` holds and text and label are not null."""
+    return train(learning_rows(docs, allowed, text_col, label_col, [text_col, label_col]))
+
+
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """docs with lang_pred string, score double (calibrated, 0 to 1) and rejected boolean from each whole text.
 

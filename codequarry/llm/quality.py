@@ -184,13 +184,13 @@ def classify(docs: DataFrame, model: Additive, text_col: str = "text", threshold
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     out = docs.drop("score", "predicted")
-    at = out.columns.index(text_col)
+    at, names = out.columns.index(text_col), [*out.columns, "score", "predicted"]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = np.array([measure(t) for t in utf8(batch.column(at))], np.float64).reshape(-1, len(FEATURES))
         score = shipped.value.score(x)
         new = [pa.array(score), pa.array((score >= threshold).astype(np.int32))]
-        return pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*out.columns, "score", "predicted"])
+        return pa.RecordBatch.from_arrays([*batch.columns, *new], names=names)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema), "score double, predicted int"])
     return out.mapInArrow(by_slices(work, text_col), schema)
