@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codequarry.session import ship_package
@@ -42,3 +42,57 @@ def by_slices(work: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, mos
                 yield work(batch.slice(start, batch.num_rows - start))
 
     return run
+
+
+def next_rows(df: DataFrame, id_col: str, tie_col: str, carried: list[str], rows_per_bucket: int = 1000, most_buckets: int = 1 << 16) -> DataFrame:
+    """df with next_<c> for each carried column c: its value in the next row by descending id, then tie_col; the first row follows the last.
+
+    Ids are integers; null ids come last. Rows are dealt to buckets of neighbouring ids, cut at quantiles; the first row of a bucket is also dealt to
+    the bucket before, so each row finds its successor in its own bucket and no task sorts the whole table. The driver holds the quantiles only.
+    """
+    ids = df.select(F.col(id_col).cast("bigint").alias("id"))
+    n = ids.count()
+    if not n:
+        return df.withColumns({f"next_{c}": F.col(c) for c in carried})
+    buckets = min(most_buckets, -(-n // rows_per_bucket))
+    shares = [k / buckets for k in range(1, buckets)]
+    cuts = ids.agg(F.percentile_approx("id", shares, max(10_000, 4 * buckets)).alias("cuts")).first()["cuts"] if shares else []
+    cuts = sorted(set(cuts or []), reverse=True)
+    steps = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)])
+    cut = F.lit(cuts) if cuts else F.array(F.lit(0).cast("bigint"))
+
+    def bucket(value):
+        """How many cuts lie above the value, by bisection; nulls have a bucket of their own behind the others."""
+        found = F.aggregate(steps, F.lit(0), lambda i, s: F.when((i + s <= len(cuts)) & (F.get(cut, i + s - 1) > value), i + s).otherwise(i))
+        return F.when(value.isNull(), F.lit(len(cuts) + 1)).otherwise(found)
+
+    held = ids.groupBy(bucket(F.col("id")).alias("b")).agg(F.max("id").alias("first")).orderBy("b").collect()
+    firsts, before = [None] * (len(cuts) + 2), [None] * (len(cuts) + 2)
+    for k, row in enumerate(held):
+        firsts[row["b"]], before[row["b"]] = row["first"], held[k - 1]["b"]
+    first = F.lit(firsts) if any(f is not None for f in firsts) else F.array_repeat(F.lit(None).cast("bigint"), len(firsts))
+    value = F.col(id_col).cast("bigint")
+    own = F.struct(F.col("__b").alias("b"), F.lit(0).alias("turn"))
+    guest = F.when(value.eqNullSafe(F.get(first, F.col("__b"))), F.struct(F.get(F.lit(before), F.col("__b")).alias("b"), F.lit(1).alias("turn")))
+    dealt = df.withColumn("__b", bucket(value)).withColumn("__to", F.explode(F.array_compact(F.array(own, guest))))
+    window = Window.partitionBy("__to.b").orderBy("__to.turn", F.col(id_col).desc_nulls_last(), F.col(tie_col).asc_nulls_last())
+    led = dealt.withColumns({f"next_{c}": F.lead(c).over(window) for c in carried})
+    return led.where("__to.turn = 0").drop("__b", "__to")
+
+
+def bitmap_filter(df: DataFrame, column: str, wanted: DataFrame, log_bits: int = 22) -> DataFrame:
+    """The rows of df whose value is perhaps in the one column of wanted: no wanted row is lost, most others are, and nothing is shuffled.
+
+    What is broadcast is a bitmap of 2 ** log_bits bits, however many values there are. An exact join must follow.
+    """
+    (name,) = wanted.columns
+
+    def place(c: str):
+        return F.pmod(F.xxhash64(c), F.lit(1 << log_bits)) + 1
+
+    bits = wanted.select(place(name).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__bits"))
+    at = F.bitmap_bit_position(F.col("__at"))
+    octet = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", octet, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    marked = df.withColumn("__at", place(column)).withColumn("__bucket", F.bitmap_bucket_number("__at"))
+    return marked.join(F.broadcast(bits), "__bucket").where(hit).select(*df.columns)
