@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import decontaminate, fingerprint, langid, quality, simhash, spiece
+from codequarry.llm import decontaminate, extract, fingerprint, langid, quality, simhash, spiece
 from codequarry.llm.tables import held_out, table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -30,6 +30,10 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs, ~held_out())
@@ -56,7 +60,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op3_decontamination, op4_fingerprint, op6_language_id, op7_sentencepiece, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_quality, op3_decontamination, op4_fingerprint, op5_html_extraction, op6_language_id, op7_sentencepiece, op9_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
