@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import decontaminate, extract, fingerprint, langid, quality, simhash, spiece
+from codequarry.llm import decontaminate, extract, fingerprint, langid, quality, simhash, spiece, warc
 from codequarry.llm.tables import held_out, table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -55,13 +55,28 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_records(warc.archive(table(spark, sf_dir, "pages")))
+    return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op3_decontamination, op4_fingerprint, op5_html_extraction, op6_language_id, op7_sentencepiece, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_quality, op3_decontamination, op4_fingerprint, op5_html_extraction, op6_language_id, op7_sentencepiece, op8_warc, op9_simhash_near_dedup)}
+
+
+OP8_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+     d as (select page_id, octet_length(payload)::bigint as payload_bytes, sha256(payload) as payload_digest from p),
+     f as (select payload_digest, min(page_id) as first from d where payload_bytes >= 100 group by 1)
+select page_id, payload_bytes, d.payload_digest, case when page_id <> first then 'revisit' else 'response' end as record_type,
+       case when page_id <> first then first end as refers_to
+from d left join f on f.payload_digest = d.payload_digest
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc": OP8_SQL}
