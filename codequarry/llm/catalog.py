@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from codequarry.llm import decontaminate, extract, fingerprint, langid, quality, simhash, spiece, warc
 from codequarry.llm.tables import held_out, table
 
@@ -65,7 +66,8 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op3_decontamination, op4_fingerprint, op5_html_extraction, op6_language_id, op7_sentencepiece, op8_warc, op9_simhash_near_dedup)}
+    named = {f.__name__: f for f in (op1_quality, op3_decontamination, op4_fingerprint, op5_html_extraction, op6_language_id, op7_sentencepiece, op8_warc, op9_simhash_near_dedup)}
+    return named | {"pipeline": corpus_pipeline.run}
 
 
 OP8_SQL = """

@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.llm.components import connected_components
@@ -66,15 +66,16 @@ def fingerprint(hashes: np.ndarray) -> int:
     return value
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp long) for every row: the signed value of the 64-bit SimHash of the whole text; null and blank texts have 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, others, fp long) for every row: the signed value of the 64-bit SimHash of the whole text; null and blank texts have 0."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = np.array([fingerprint(shingle_hashes(t)) for t in utf8(batch.column(1))], np.uint64)
-        return pa.record_batch([batch.column(0), pa.array(values.view(np.int64))], names=[id_col, "fp"])
+        values = np.array([fingerprint(shingle_hashes(t)) for t in utf8(batch.column(batch.num_columns - 1))], np.uint64)
+        return pa.record_batch([*batch.columns[:-1], pa.array(values.view(np.int64))], names=[*kept, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(by_slices(work, text_col), f"`{id_col}` {kind}, fp bigint")
+    kept = [id_col, *others]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    return docs.select(*kept, F.col(text_col).alias("__text")).mapInArrow(by_slices(work, "__text"), f"{schema}, fp bigint")
 
 
 def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,6 +178,18 @@ def near_links(fps: DataFrame) -> DataFrame:
     return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair", "fp").mapInArrow(_forest_of_lists, "a bigint, b bigint")
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, fp, root, component_id) for every row; root is the smallest fingerprint of the row's group."""
+    rows = keep(fingerprints(docs, id_col, text_col), "simhash")
+    # one row for each distinct fingerprint from here on; copies never meet as a group
+    distinct = rows.groupBy("fp").agg(F.min(id_col).alias("least"))
+    roots = connected_components(near_links(distinct.select("fp")), "a", "b")
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    return rows.join(classes, "fp").select(id_col, "fp", "root", "component_id")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fingerprint, component_id) for every row of docs.
 
@@ -184,25 +197,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     fingerprints are linked. Rows with a null id get the smallest id of their group, null if none of it has one; repeated rows stay repeated; an
     empty table gives an empty result; other columns are ignored.
     """
-    rows = keep(fingerprints(docs, id_col, text_col), "simhash")
-    # one row for each distinct fingerprint from here on; copies never meet as a group
-    distinct = rows.groupBy("fp").agg(F.min(id_col).alias("least"))
-    roots = connected_components(near_links(distinct.select("fp")), "a", "b")
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _grouped(docs, id_col, text_col).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its near-duplicate group; a row without an id stays only in groups without any.
+    """One row of docs, with all its columns, for each near-duplicate group: the row with the group's smallest id.
 
-    Repeated rows (same id) all carry the kept id; one of them stays.
+    A row without an id stays only for a group without any id. Of several rows with that id in the group, that with the smallest fingerprint, then
+    the smallest values in column order, stays. An empty table gives an empty result.
     """
-    groups = near_groups(docs, id_col, text_col)
-    kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col, "fingerprint").distinct()
-    order = [F.col(c).asc_nulls_last() for c in docs.columns if c == text_col]
-    with_id = docs.where(F.col(id_col).isNotNull()).join(kept.where(F.col(id_col).isNotNull()).select(id_col).distinct(), id_col, "left_semi").select(*docs.columns)
-    repeated = with_id.groupBy(id_col).count().where("count > 1").select(id_col)
-    many = with_id.join(repeated, id_col, "left_semi").select(*docs.columns).withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(*order))).where("__n = 1").drop("__n")
-    return with_id.join(repeated, id_col, "left_anti").select(*docs.columns).unionByName(many)
+    grouped = keep(_grouped(docs, id_col, text_col), "groups")
+    best = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "fp"))
+    chosen = keep(grouped.groupBy("root").agg(best.alias("best")).select(F.col("best.id").alias("chosen_id"), F.col("best.fp").alias("chosen_fp")), "chosen")
+    odd = keep(grouped.groupBy(F.col(id_col).alias("odd_id")).count().where("count > 1 or odd_id is null").select("odd_id"), "odd")
+    ids = chosen.where("chosen_id is not null").select(F.col("chosen_id").alias(id_col)).distinct()
+    if odd.isEmpty():
+        return docs.join(ids, id_col, "left_semi").select(*docs.columns)
+    single = docs.join(ids.join(odd.withColumnRenamed("odd_id", id_col), id_col, "left_anti"), id_col, "left_semi").select(*docs.columns)
+    several = docs.join(odd, docs[id_col].eqNullSafe(odd["odd_id"]), "left_semi").select(*[F.col(c).alias(f"__{n}") for n, c in enumerate(docs.columns)])
+    own = [f"__{n}" for n in range(len(docs.columns))]
+    id_at, text_at = (f"__{docs.columns.index(c)}" for c in (id_col, text_col))
+    marked = fingerprints(several, id_at, text_at, tuple(c for c in own if c != id_at))
+    among = marked.join(chosen, marked[id_at].eqNullSafe(chosen["chosen_id"]) & (marked["fp"] == chosen["chosen_fp"]), "left_semi")
+    first = among.groupBy(id_at, "fp").agg(F.min(F.struct(*own)).alias("row"))
+    return single.unionByName(first.select(*[F.col(f"row.__{n}").alias(c) for n, c in enumerate(docs.columns)]))
