@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codequarry.llm import decontaminate, extract, fingerprint, langid, quality, simhash, spiece, warc
+from codequarry.llm import decontaminate, extract, fingerprint, langid, licenses, quality, simhash, spiece, warc
 from codequarry.llm.tables import held_out, table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -65,8 +65,12 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    named = {f.__name__: f for f in (op1_quality, op3_decontamination, op4_fingerprint, op5_html_extraction, op6_language_id, op7_sentencepiece, op8_warc, op9_simhash_near_dedup)}
+    named = {f.__name__: f for f in (op1_quality, op3_decontamination, op4_fingerprint, op5_html_extraction, op6_language_id, op7_sentencepiece, op8_warc, op9_simhash_near_dedup, op10_licenses)}
     return named | {"pipeline": corpus_pipeline.run}
 
 

@@ -13,6 +13,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,19 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_FOLD).split()
 
 
+def fold_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all texts in a row, as a dictionary array of bytes, and their number for each text."""
+    plain = pa.concat_arrays([texts.cast(pa.large_string()).fill_null("")])
+    _, offsets, data = plain.buffers()
+    folded = pa.LargeStringArray.from_buffers(len(plain), offsets, pa.py_buffer((data.to_pybytes() if data else b"").translate(_FOLD)), offset=plain.offset)
+    parts = pa.compute.ascii_split_whitespace(folded)
+    flat = parts.flatten()
+    real = pa.compute.greater(pa.compute.binary_length(flat), 0)
+    owner = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
+    counts = np.bincount(owner[real.to_numpy(zero_copy_only=False)], minlength=len(texts)) if len(flat) else np.zeros(len(texts), np.int64)
+    return flat.filter(real).cast(pa.large_binary()).dictionary_encode(), counts
+
+
 class WuManber:
     """Search tables for test strings (sequences of words) of one length."""
 
