@@ -66,20 +66,18 @@ def shingle_hashes(word_hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def _minhash(shingles: np.ndarray, function: int) -> np.ndarray:
-    a = np.uint64((0xD1342543DE82EF95 * (2 * function + 1) ^ (function << 33)) & (2**64 - 1) | 1)
-    return ((shingles ^ np.uint64(function * 0x5851F42D4C957F2D & (2**64 - 1))) * a >> np.uint64(32)).astype(np.uint32)
-
-
-def _band(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return first.astype(np.uint64) << np.uint64(32) | second
+    """A linear function modulo 2 ** 32 of both halves of the hash; the multipliers are drawn from the function's number."""
+    a, b = np.random.default_rng(function).integers(1 << 31, size=2, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    halves = shingles.view(np.uint32)
+    return halves[0::2] * a + halves[1::2] * b
 
 
 class Scanner:
-    """Templates by plan: their shingles and the band keys of their signatures."""
+    """Templates by plan: their shingles and the two values of each band of their signatures."""
 
     def __init__(self, templates: dict[str, list[str]], shingle_words: int = SHINGLE_WORDS):
         self.groups: dict[Plan, list[tuple[str, set[bytes]]]] = defaultdict(list)
-        self.keys: dict[Plan, list[dict[int, list[int]]]] = {}
+        self.signatures: dict[Plan, np.ndarray] = {}
         for name in sorted(templates):
             for text in templates[name]:
                 own = words(text.encode())
@@ -87,46 +85,60 @@ class Scanner:
                     p = plan(len(own), shingle_words)
                     self.groups[p].append((name, {b" ".join(own[i : i + p.width]) for i in range(len(own) - p.width + 1)}))
         for p, members in self.groups.items():
-            tables: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(p.bands)]
+            signatures = np.zeros((len(members), p.bands, 2), np.uint32)
             for at, (_, shingles) in enumerate(members):
                 hashes = np.concatenate([shingle_hashes(np.array([xxhash.xxh64_intdigest(w) for w in s.split(b" ")], np.uint64), p.width) for s in sorted(shingles)])
-                for band, table in enumerate(tables):
-                    low = [_minhash(hashes, 2 * band + i).min(keepdims=True) for i in (0, 1)]
-                    table[int(_band(*low)[0])].append(at)
-            self.keys[p] = tables
-
-    def candidates(self, p: Plan, shingles: np.ndarray, text: np.ndarray) -> set[tuple[int, int]]:
-        """(first shingle of a window, template) of the pairs that share a band; text is the number of each shingle's text."""
-        starts = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else np.empty(0, np.int64)
+                for band in range(p.bands):
+                    signatures[at, band] = [_minhash(hashes, 2 * band + i).min() for i in (0, 1)]
+            self.signatures[p] = signatures
+
+    def candidates(self, width: int, shingles: np.ndarray, text: np.ndarray) -> dict[Plan, set[tuple[int, int]]]:
+        """For each plan of the width, (first shingle of a window, template) of the pairs that share a band; text is the number of each shingle's text.
+
+        A band's first value is computed for all windows, its second for those that agree in the first.
+        """
+        plans = [p for p in self.groups if p.width == width]
+        found: dict[Plan, set[tuple[int, int]]] = {p: set() for p in plans}
+        if not len(shingles):
+            return found
+        starts = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
         sizes = np.diff(np.append(starts, len(text)))
-        counts = -(-sizes // p.stride)
-        block_text = np.repeat(np.arange(len(starts)), counts)
-        nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        block_start = np.repeat(starts, counts) + nth * p.stride
-        found: set[tuple[int, int]] = set()
-
-        def window_minima(function: int) -> np.ndarray:
-            values = _minhash(shingles, function)
-            held, width = np.minimum.reduceat(values, block_start) if p.stride > 1 else values, 1
-            while width < p.blocks:
-                step = min(width, p.blocks - width)
-                later = np.full(len(held), _NONE)
-                if step < len(held):
-                    later[:-step] = np.where(block_text[step:] == block_text[:-step], held[step:], _NONE)
-                held, width = np.minimum(held, later), width + step
-            return held
-
-        if len(block_start):
-            for band, table in enumerate(self.keys[p]):
-                keys = _band(window_minima(2 * band), window_minima(2 * band + 1))
-                wanted = np.array(sorted(table), np.uint64)
-                if len(wanted) > 8:
-                    place = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-                    hits = np.flatnonzero(wanted[place] == keys)
-                else:
-                    hits = np.flatnonzero(np.logical_or.reduce([keys == w for w in wanted]))
-                for i in hits.tolist():
-                    found.update((int(block_start[i]), t) for t in table[int(keys[i])])
+        levels = {}
+        for stride in sorted({1} | {p.stride for p in plans}):
+            counts, pad = -(-sizes // stride), max([p.blocks for p in plans if p.stride == stride], default=1)
+            nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            # the blocks of each text, then blocks that hold nothing, so that no window reaches into the next text
+            levels[stride] = (np.repeat(starts, counts) + nth * stride, np.arange(counts.sum()) + np.repeat(np.arange(len(counts)) * pad, counts), int(counts.sum()) + pad * len(counts), counts)
+        for band in range(max(p.bands for p in plans)):
+            at_work = [p for p in plans if band < p.bands]
+            values, before = _minhash(shingles, 2 * band), 1
+            for stride, (block_start, place, room, _) in levels.items():
+                if stride > 1:
+                    # minima of the finer blocks that each of these blocks consists of
+                    fine = levels[before][3]
+                    offset = np.repeat(np.cumsum(fine) - fine, levels[stride][3])
+                    first = (block_start - np.repeat(starts, levels[stride][3])) // before
+                    values, before = np.minimum.reduceat(values, offset + first), stride
+                own = sorted((p for p in at_work if p.stride == stride), key=lambda p: p.blocks)
+                if not own:
+                    continue
+                held, reach = np.full(room, _NONE), 1
+                held[place] = values
+                for p in own:
+                    while 2 * reach <= p.blocks:
+                        held[:-reach] = np.minimum(held[:-reach], held[reach:])
+                        reach *= 2
+                    rest = p.blocks - reach
+                    windows = np.minimum(held[: room - rest], held[rest:]) if rest else held
+                    for template, (one, two) in enumerate(self.signatures[p][:, band]):
+                        for slot in np.flatnonzero(windows == one).tolist():
+                            block = int(np.searchsorted(place, slot))
+                            if block == len(place) or place[block] != slot:
+                                continue
+                            at = int(block_start[block])
+                            span = shingles[at : at + p.stride * p.blocks][text[at : at + p.stride * p.blocks] == text[at]]
+                            if _minhash(span, 2 * band + 1).min() == two:
+                                found[p].add((at, template))
         return found
 
     def scan(self, texts: pa.Array) -> list[dict[str, tuple[float, int, int]]]:
@@ -144,10 +156,8 @@ class Scanner:
             place = np.flatnonzero(inside)
             shingles = shingle_hashes(hashes, width)[inside]
             of = text_of[place]
-            for p in self.groups:
-                if p.width != width:
-                    continue
-                for at, template in sorted(self.candidates(p, shingles, of)):
+            for p, pairs in self.candidates(width, shingles, of).items():
+                for at, template in sorted(pairs):
                     name, wanted = self.groups[p][template]
                     span = place[at : at + p.stride * p.blocks]
                     span = span[text_of[span] == of[at]]
