@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codequarry.llm import decontaminate, extract, fingerprint, langid, licenses, quality, simhash, spiece, warc
+from codequarry.llm import decontaminate, extract, fingerprint, langid, licenses, packing, quality, simhash, spiece, warc
 from codequarry.llm.tables import held_out, table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -18,6 +18,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_pieces(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontaminate.find_items(docs.select("doc_id", "text"), items)
@@ -70,7 +74,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = {f.__name__: f for f in (op1_quality, op3_decontamination, op4_fingerprint, op5_html_extraction, op6_language_id, op7_sentencepiece, op8_warc, op9_simhash_near_dedup, op10_licenses)}
+    named = {f.__name__: f for f in (op1_quality, op2_packing, op3_decontamination, op4_fingerprint, op5_html_extraction, op6_language_id, op7_sentencepiece, op8_warc, op9_simhash_near_dedup, op10_licenses)}
     return named | {"pipeline": corpus_pipeline.run}
 
 

@@ -26,6 +26,8 @@ SPACE = "▁"
 _NONE = np.int64(2**31 - 1)
 #: chunks of more symbols are merged one at a time with a heap
 LONG_CHUNK = 192
+#: bytes of text that are encoded together
+SLICE_BYTES = 2 << 20
 
 
 class CharMap:
@@ -265,8 +267,8 @@ class Model:
                 del origin[len(out) :]
         return out.decode("utf-8", "surrogatepass"), np.array([*origin, at])
 
-    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, number of ids for each text, begin and end byte of each id's source span), with an end id last.
+    def encode(self, texts: list[str] | pa.Array, spans: bool = True) -> tuple[np.ndarray, ...]:
+        """(ids of all texts in a row, number of ids for each text, and if spans begin and end byte of each id's source span), with an end id last.
 
         A text's spans follow each other; the end id has an empty span at the end.
         """
@@ -300,6 +302,8 @@ class Model:
         borders = np.append(0, ends)[np.cumsum(chunks)]
         flat = np.insert(flat, borders, self.end_id)
         totals = np.diff(np.append(0, borders)) + 1
+        if not spans:
+            return flat, totals
         first = np.cumsum(totals) - totals
         widths = self.source_bytes[flat]
         widths[first + totals - 1] = 0
@@ -315,21 +319,21 @@ class Model:
             begin[own], end[own] = origin[to - width], origin[to]
         return flat, totals, begin, end
 
-    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def encode_all(self, texts: pa.Array, spans: bool = True) -> tuple[np.ndarray, ...]:
         """encode(), with the texts that need no second look (single inner spaces only) apart from the rest."""
         odd = pa.compute.match_substring_regex(texts.fill_null(""), f"  |^ | $|{SPACE}").to_numpy(zero_copy_only=False)
         if not self.plain or odd.all() or not odd.any():
-            return self.encode(texts)
+            return self.encode(texts, spans)
         order = np.argsort(odd, kind="stable")
-        first, second = (self.encode(texts.filter(pa.array(x))) for x in (~odd, odd))
+        first, second = (self.encode(texts.filter(pa.array(x)), spans) for x in (~odd, odd))
         totals = np.empty(len(texts), np.int64)
         totals[order] = np.concatenate([first[1], second[1]])
         starts = np.empty(len(texts), np.int64)
         starts[order] = np.cumsum(totals[order]) - totals[order]
         ends = np.cumsum(totals)
         at = np.arange(ends[-1]) + np.repeat(starts - (ends - totals), totals)
-        flat, begin, end = (np.concatenate([first[i], second[i]])[at] for i in (0, 2, 3))
-        return flat, totals, begin, end
+        flat, *both = (np.concatenate([first[i], second[i]])[at] for i in ((0, 2, 3) if spans else (0,)))
+        return flat, totals, *both
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, one leading space of the first piece dropped if it is the dummy prefix, bytes as UTF-8."""
@@ -372,9 +376,9 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", keep
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = load_model(model_path)
-        flat, totals, begin, end = model.encode_all(batch.column(batch.num_columns - 1))
+        flat, totals, *both = model.encode_all(batch.column(batch.num_columns - 1))
         offsets = pa.array(np.append(0, np.cumsum(totals)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in ((flat, begin, end) if spans else (flat,))]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in ((flat, *both) if spans else (flat,))]
         return pa.record_batch([*batch.columns[:-1], *lists], names=[*keep, *names])
 
     names = ["ids", "begin", "end"] if spans else ["ids"]

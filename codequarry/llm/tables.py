@@ -26,20 +26,25 @@ def utf8(column: pa.Array) -> list:
     return column.cast(pa.binary()).to_pylist()
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most most_bytes of text, or a single longer row."""
+    for batch in batches:
+        start, held = 0, 0
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        for row, size in enumerate(sizes):
+            if held and held + size > most_bytes:
+                yield batch.slice(start, row - start)
+                start, held = row, 0
+            held += size
+        if batch.num_rows > start:
+            yield batch.slice(start, batch.num_rows - start)
+
+
 def by_slices(work: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, most_bytes: int = 8 << 20):
-    """A mapInArrow function that gives work() slices of at most most_bytes of text, or a single longer row."""
+    """A mapInArrow function that gives work() slices of the batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            start, held = 0, 0
-            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
-            for row, size in enumerate(sizes):
-                if held and held + size > most_bytes:
-                    yield work(batch.slice(start, row - start))
-                    start, held = row, 0
-                held += size
-            if batch.num_rows > start:
-                yield work(batch.slice(start, batch.num_rows - start))
+        yield from map(work, slices(batches, column, most_bytes))
 
     return run
 
