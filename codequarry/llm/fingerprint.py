@@ -43,12 +43,14 @@ def digest(form: Column, digits: int = DIGITS) -> Column:
     return F.substring(F.lower(wide), 1, digits)
 
 
-def _suffixes(forms: DataFrame) -> DataFrame:
-    """(digest, form, suffix) of the buckets among forms(digest, form) that hold more than one form; empty but for a hash collision."""
-    mixed = forms.groupBy("digest").agg(F.min("form").alias("low"), F.max("form").alias("high")).where("low <> high").select("digest")
+def _suffixes(forms: DataFrame) -> DataFrame | None:
+    """(digest, form, suffix) of the buckets among forms(digest, form) that hold more than one form; None if there is none, as without a hash collision."""
+    mixed = keep(forms.groupBy("digest").agg(F.min("form").alias("low"), F.max("form").alias("high")).where("low <> high").select("digest"), "mixed")
+    if mixed.isEmpty():
+        return None
     each = forms.join(mixed, "digest", "left_semi").distinct()
     rank = F.row_number().over(Window.partitionBy("digest").orderBy("form"))
-    return each.withColumn("suffix", F.concat(F.lit("-"), rank.cast("string")))
+    return keep(each.withColumn("suffix", F.concat(F.lit("-"), rank.cast("string"))), "suffixes")
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", into: str = "fingerprint", digits: int = DIGITS) -> DataFrame:
@@ -59,8 +61,8 @@ def fingerprints(docs: DataFrame, text_col: str = "text", into: str = "fingerpri
     keyed = docs.drop(into).withColumn("__digest", digest(canonical(F.col(text_col)), digits))
     repeated = keyed.groupBy("__digest").count().where("count > 1").select("__digest")
     forms = keyed.select("__digest", text_col).join(repeated, "__digest", "left_semi").select(F.col("__digest").alias("digest"), canonical(F.col(text_col)).alias("form"))
-    suffixes = keep(_suffixes(forms), "suffixes")
-    if suffixes.isEmpty():
+    suffixes = _suffixes(forms)
+    if suffixes is None:
         return keyed.withColumnRenamed("__digest", into)
     ranked = suffixes.select(F.col("digest").alias("__digest"), F.col("form").alias("__form"), "suffix")
     out = keyed.withColumn("__form", canonical(F.col(text_col))).join(ranked, ["__digest", "__form"], "left")
@@ -109,8 +111,8 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.when(F.col("digest") == F.col("next_digest"), F.col("form") == canonical(F.col("next_text"))).otherwise(False).cast("double").alias("near_next"),
     )
     slim = keep(result.drop("form", "edited_form"), "fingerprints")
-    suffixes = keep(_suffixes(_repeated_forms(given, slim, digits)), "suffixes")
-    if suffixes.isEmpty():
+    suffixes = _suffixes(_repeated_forms(given, slim, digits))
+    if suffixes is None:
         named = slim.withColumnsRenamed({"digest": "fingerprint", "edited_digest": "edited_fingerprint"})
     else:
         named = result
