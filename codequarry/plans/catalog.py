@@ -1,11 +1,171 @@
-"""Named queries over the driver's tables, each with its SQL twin where one can be written."""
+"""Named queries over the driver's tables, each with its SQL twin where one can be written.
+
+All of them read the synthetic code corpus whole: one file for each order of lineitem.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codequarry.operators import lexer, prefilter, suppress, syntax
+from codequarry.operators.rule_table import all_rules, rule_frame
+from codequarry.operators.rules import Views, env_bound
+from codequarry.operators.settings import Settings
+from codequarry.plans import oracle
+from codequarry.plans.scan import ordered, scan, signatures, without_baseline
+from codequarry.sources.corpus import synthetic_code
+
+Query = Callable[[SparkSession, str], DataFrame]
+RULE_COLUMNS = ["rule_id", "file", "line", "column", "message", "snippet", "severity"]
+
+
+def views(spark: SparkSession, sf_dir: str) -> Views:
+    return Views(synthetic_code(spark, sf_dir))
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule over the synthetic corpus, in report order."""
+    return ordered(scan(synthetic_code(spark, sf_dir)))
+
+
+def rule_query(number: int) -> Query:
+    """The findings of one rule, with prefilter and suppressions."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        files, settings = synthetic_code(spark, sf_dir), Settings(only_rules=(f"FE{number:03d}",))
+        return scan(files, settings, views=Views(files, settings)).select(*RULE_COLUMNS)
+
+    return run
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views(spark, sf_dir).lines
+
+
+def token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views(spark, sf_dir).files.select("path", F.explode(lexer.token_index(F.col("content"))).alias("token"))
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views(spark, sf_dir).tokens.select("path", "idx", "text", "kind", "line", "col", "parens", "brackets", "braces")
+
+
+def invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views(spark, sf_dir).invocations.select("path", "idx", "line", "col", "name", "method", "kind")
+
+
+def method_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views(spark, sf_dir).chains[0].select("path", "root_idx", "root", "line", "col", F.col("n_calls").cast("bigint").alias("n_calls"), "end_idx")
+
+
+def chain_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views(spark, sf_dir).call_arguments.select("path", "root_idx", "idx", "name", "line", "col", "args")
+
+
+def test_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views(spark, sf_dir).test_functions
+
+
+def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views(spark, sf_dir).declarations
+
+
+def regex_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views(spark, sf_dir).regex_sites.withColumnRenamed("column", "col")
+
+
+def env_bound_vars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return env_bound(views(spark, sf_dir).lines).select("path", F.explode("names").alias("name"))
+
+
+def directives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suppress.directives(views(spark, sf_dir).lines).select("path", "line", "form", "token")
+
+
+def suppressed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suppress.suppressed_rules(suppress.directives(views(spark, sf_dir).lines), rule_frame(spark, all_rules()))
+
+
+def prefilter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefilter.allowed_rules(views(spark, sf_dir).files, all_rules())
+    return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def _todo(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    files, settings = synthetic_code(spark, sf_dir), Settings(only_rules=("FE001",), **options)
+    return scan(files, settings, views=Views(files, settings))
+
+
+def severity_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _todo(spark, sf_dir, severity={"FE001": "critical"}).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def baseline_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signatures(_todo(spark, sf_dir)).select("signature")
+
+
+def baseline_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left after a baseline of the findings in even lines."""
+    found = _todo(spark, sf_dir)
+    return without_baseline(found, signatures(found.where("line % 2 = 0"))).select("file", "line", "column")
+
+
+def sarif_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codequarry.sinks.report import sarif_level
+
+    return rule_frame(spark, all_rules()).select("rule_id", "severity", sarif_level(F.col("severity")).alias("level"))
+
+
+def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codequarry.sinks.report import json_row
+
+    return _todo(spark, sf_dir).select("file", "line", "column", json_row().alias("json"))
+
+
+def path_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codequarry.sources.files import matches_pattern
+
+    path = F.col("path")
+    return views(spark, sf_dir).files.where(matches_pattern(path, ["tests", "*1?.rs", "src/**/f2*.rs"], "")).select("path")
+
+
+def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by rule over the whole corpus, every rule on."""
+    return scan(synthetic_code(spark, sf_dir)).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bench_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """min, max, mean and upper median of event values by type."""
+    from codequarry.plans.stats import timing_stats
+
+    return timing_stats(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "value")
+
+
+def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths to scan again when only files of even order keys are in the cache as they are now."""
+    from codequarry.plans.cache import content_keys, split_by_cache
+
+    files = views(spark, sf_dir).files
+    known = content_keys(files).where(F.regexp_extract("path", r"(\d+)\.rs$", 1).cast("bigint") % 2 == 0)
+    return split_by_cache(files, known)[1].select("path")
+
+
+PLAIN: dict[str, Query] = {
+    f"q_{f.__name__}": f
+    for f in (
+        lines, token_index, tokens, invocations, method_chains, chain_calls, test_functions, declarations, regex_sites, env_bound_vars, directives, suppressed_rules, prefilter_files,
+        severity_override, baseline_signatures, baseline_apply, sarif_levels, json_rows, path_globs, scan_summary, bench_stats, cache_misses,
+    )
+}
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    by_rule = {f"q_rule_{r.rule_id.lower()}": rule_query(int(r.rule_id[2:])) for r in all_rules()}
+    return {"q_scan": entry} | PLAIN | by_rule
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return oracle.plain_sql() | {f"q_rule_fe{n:03d}": oracle.rule_sql(n) for n in oracle.RULE_SQL}
