@@ -6,14 +6,15 @@ ran with; a file is unchanged if path and content key are.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.operators.rule_table import enabled_rules
 from codequarry.operators.settings import Settings
-from codequarry.plans.scan import FINDING, scan, with_severity
+from codequarry.plans.scan import FINDING, scan
 
 
 def fingerprint(settings: Settings) -> str:
@@ -40,24 +41,23 @@ def split_by_cache(files: DataFrame, known: DataFrame) -> tuple[DataFrame, DataF
 def scan_with_cache(files: DataFrame, cache: str, settings: Settings = Settings()) -> DataFrame:
     """The findings of files; those of unchanged files are read from the cache folder, the others are scanned and added to it.
 
-    A cache of other settings counts as empty. Cached findings get the severities of the present settings.
+    A cache of other settings counts as empty. Findings are written before the keys of their files, both under the number of the run, and only findings whose run wrote a key are
+    read: what a run that broke off has left is never seen.
     """
-    spark, mark = files.sparkSession, fingerprint(settings)
+    spark, mark, run = files.sparkSession, fingerprint(settings), uuid.uuid4().hex
     keys, found = f"{cache}/files", f"{cache}/findings"
-    try:
-        known = spark.read.parquet(keys).where(F.col("fingerprint") == mark)
-        old = spark.read.parquet(found).where(F.col("fingerprint") == mark)
-    except Exception as error:  # nothing there yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        fresh = scan(files, settings)
-        content_keys(files).withColumn("fingerprint", F.lit(mark)).write.parquet(keys)
-        fresh.join(content_keys(files).withColumnRenamed("path", "file"), "file").withColumn("fingerprint", F.lit(mark)).write.parquet(found)
-        return spark.read.parquet(found).select(*FINDING)
-    present = content_keys(files).join(known.select("path", "content_key"), ["path", "content_key"], "left_semi").withColumnRenamed("path", "file")
-    kept = old.join(present, ["file", "content_key"], "left_semi").select(*FINDING)
-    _, changed = split_by_cache(files, known.select("path", "content_key"))
-    fresh = scan(changed, settings).persist()
-    content_keys(changed).withColumn("fingerprint", F.lit(mark)).write.mode("append").parquet(keys)
-    fresh.join(content_keys(changed).withColumnRenamed("path", "file"), "file").withColumn("fingerprint", F.lit(mark)).write.mode("append").parquet(found)
-    return with_severity(kept, settings.severity).select(*FINDING).unionByName(fresh)
+
+    def known() -> DataFrame:
+        return spark.read.parquet(keys).where(F.col("fingerprint") == mark).drop("fingerprint")
+
+    changed = split_by_cache(files, known().select("path", "content_key"))[1] if _exists(spark, keys) else files
+    stamp = {"run": F.lit(run), "fingerprint": F.lit(mark)}
+    scan(changed, settings).withColumns({"run": F.lit(run)}).write.mode("append").parquet(found)
+    content_keys(changed).withColumns(stamp).write.mode("append").parquet(keys)
+    present = content_keys(files).join(known(), ["path", "content_key"]).select(F.col("path").alias("file"), "run").distinct()
+    return spark.read.parquet(found).join(present, ["file", "run"], "left_semi").select(*FINDING)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
