@@ -9,9 +9,19 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: texts make rows of any length: batches that go to Python workers are bounded by bytes, not by rows alone
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Send the package's source to the executors, once per application; spark-submit --py-files does the same."""
+    """Send the package's source to the executors, once per application; spark-submit --py-files does the same.
+
+    Also bounds the session's Arrow batches by BATCH_BYTES, unless the application is configured otherwise.
+    """
     context = spark.sparkContext
+    if not context.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     if not getattr(context, "_codequarry_shipped", False):
         root = Path(__file__).resolve().parent
         target = Path(tempfile.mkdtemp(prefix="codequarry-ship-")) / "codequarry.zip"
