@@ -27,7 +27,7 @@ _NONE = np.int64(2**31 - 1)
 #: chunks of more symbols are merged one at a time with a heap
 LONG_CHUNK = 192
 #: bytes of text that are encoded together
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 class CharMap:
@@ -376,14 +376,14 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", keep
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = load_model(model_path)
-        flat, totals, *both = model.encode_all(batch.column(batch.num_columns - 1))
+        flat, totals, *both = model.encode_all(batch.column(batch.num_columns - 1), spans)
         offsets = pa.array(np.append(0, np.cumsum(totals)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in ((flat, *both) if spans else (flat,))]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (flat, *both)]
         return pa.record_batch([*batch.columns[:-1], *lists], names=[*keep, *names])
 
     names = ["ids", "begin", "end"] if spans else ["ids"]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"`{n}` array<int>" for n in names)])
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(by_slices(work, "__text"), schema)
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(by_slices(work, "__text", SLICE_BYTES), schema)
 
 
 def decode_ids(encoded: DataFrame, model_path: str, into: str = "decoded") -> DataFrame:
@@ -400,3 +400,18 @@ def decode_ids(encoded: DataFrame, model_path: str, into: str = "decoded") -> Da
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema), f"`{into}` string"])
     return encoded.mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, model_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """encode_pieces() and decode_ids() in one pass: the kept columns, ids array<int> and decoded string. Ids do not leave the worker between the two."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        model = load_model(model_path)
+        flat, totals = model.encode_all(batch.column(batch.num_columns - 1), spans=False)
+        offsets = np.append(0, np.cumsum(totals)).astype(np.int32)
+        ids = flat.astype(np.int32)
+        texts = [model.decode(ids[a:b].tolist()) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+        return pa.record_batch([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array(texts, pa.string())], names=[*keep, "ids", "decoded"])
+
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "ids array<int>", "decoded string"])
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(by_slices(work, "__text", SLICE_BYTES), schema)

@@ -27,8 +27,9 @@ def utf8(column: pa.Array) -> list:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most most_bytes of text, or a single longer row."""
+    """The batches in slices of at most most_bytes of text, or a single longer row. What a batch's work held is given back before the next."""
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         start, held = 0, 0
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
         for row, size in enumerate(sizes):
