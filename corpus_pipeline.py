@@ -44,9 +44,7 @@ def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     import public_tokenizers
 
     ship_package(spark)
-    path = str(public_tokenizers.path("piece_bpe_32k.model"))
-    encoded = spiece.decode_ids(spiece.encode_pieces(docs, path, spans=False), path)
-    return encoded.select(
+    return spiece.round_trip(docs, str(public_tokenizers.path("piece_bpe_32k.model"))).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
         F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
