@@ -24,6 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.llm.tables import slices
 from codequarry.storage import keep, shared_dir
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.tsv"
@@ -184,7 +185,7 @@ def write_packages(rows: DataFrame, folder: str, package_bytes: int = PACKAGE_BY
             out.close()
             return pa.record_batch([pa.array([path]), pa.array([len(index)], pa.int64()), pa.array([size], pa.int64())], names=["path", "records", "bytes"])
 
-        for batch in batches:
+        for batch in slices(batches, "payload", 2 << 20):
             for row in batch.to_pylist():
                 if not held:
                     path = f"{folder}/{uuid.uuid4().hex}.zip"
