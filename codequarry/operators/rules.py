@@ -10,14 +10,16 @@ import re
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions import text as T
 from codequarry.operators import lexer, syntax
 from codequarry.operators.settings import Settings
+from codequarry.storage import discard, keep
 
+#: rules that read tokens: their views are worth sharing even for one rule
+TOKEN_RULES = frozenset({63, 64, 65, 75, 76, 77, 78, 79, 101, 121, 122})
 CANDIDATE = ["path", "rule_id", "line", "column", "message", "anchor_line", "snippet", "code_only"]
 
 # fixed values: the markers that the rules look for
@@ -38,56 +40,59 @@ UNWRAP_CALLS = ("unwrap", "expect", "unwrap_err", "expect_err")
 class Views:
     """The relations of a corpus files(path, content), each built when a rule first asks for it.
 
-    With share, relations that several rules read are cached (in memory, else on disk) rather than derived again for each; release() gives them back.
+    With share, relations that several queries read are written to the shared folder and read back rather than derived again for each: that also
+    keeps plans short, and survives lost executors. release() removes them.
     """
 
     def __init__(self, files: DataFrame, settings: Settings = Settings(), share: bool = False):
         self.settings, self.share, self.held = settings, share, []
-        #: dealt by path once; everything below keeps that partitioning
-        self.files = files.select("path", "content").where("content is not null").repartition("path")
+        #: dealt by path; windows and joins below are on path too. The number is given, for tokens are many times the size of the contents by which partitions would be merged
+        spread = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.files = self.shared(files.select("path", "content").where("content is not null"), "sources").repartition(spread, "path")
 
-    def _shared(self, df: DataFrame) -> DataFrame:
-        if self.share:
-            self.held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return df
+    def shared(self, df: DataFrame, name: str) -> DataFrame:
+        if not self.share:
+            return df
+        self.held.append(keep(df, name))
+        return self.held[-1]
 
     def release(self) -> None:
         for df in self.held:
-            df.unpersist()
+            discard(df)
         self.held.clear()
 
     @cached_property
     def lines(self) -> DataFrame:
-        return self._shared(lexer.lines_of(self.files))
+        return lexer.lines_of(self.files)
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return self._shared(lexer.tokens_of(self.files))
+        return self.shared(lexer.tokens_of(self.files), "tokens")
 
     @cached_property
     def invocations(self) -> DataFrame:
-        return self._shared(syntax.invocations(self.tokens))
+        return self.shared(syntax.invocations(self.tokens), "invocations")
 
     @cached_property
     def chains(self) -> tuple[DataFrame, DataFrame]:
-        chains, calls = syntax.chain_calls(self.tokens)
-        return self._shared(chains), calls
+        chains, calls = syntax.chain_calls(self.shared(syntax.chain_parts(self.tokens), "parts"))
+        return self.shared(chains, "chains"), calls
 
     @cached_property
     def call_arguments(self) -> DataFrame:
-        return self._shared(syntax.inner_text(self.chains[1], self.files, "open_idx", "close_idx", "args"))
+        return self.shared(syntax.inner_text(self.chains[1], self.files, "open_idx", "close_idx", "args"), "arguments")
 
     @cached_property
     def test_functions(self) -> DataFrame:
-        return self._shared(syntax.test_functions(self.tokens))
+        return self.shared(syntax.test_functions(self.tokens), "tests")
 
     @cached_property
     def declarations(self) -> DataFrame:
-        return self._shared(syntax.declarations(self.tokens))
+        return self.shared(syntax.declarations(self.tokens), "declarations")
 
     @cached_property
     def regex_sites(self) -> DataFrame:
-        return self._shared(regex_sites(self.lines))
+        return self.shared(regex_sites(self.lines), "sites")
 
     def id_of(self, number: int) -> str:
         return f"{self.settings.rule_prefix}{number:03d}"

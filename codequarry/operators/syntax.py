@@ -64,11 +64,10 @@ def invocations(tokens: DataFrame) -> DataFrame:
     return called.join(closed, ["path", "open_idx"], "left")
 
 
-def chain_calls(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chains, calls) of method chains `root::path(args).name(args).name(args)`.
+def chain_parts(tokens: DataFrame) -> DataFrame:
+    """Identifiers that may take part in method chains: path, idx, text, line, col, call, head (idx, line, col of the root's first segment), root, args_open, args_close and `of`, the root (idx, line, col) they belong to.
 
-    chains: path, root_idx, root, line, col, args_open, args_close (null without root arguments), end_idx, n_calls. calls: path, root_idx, idx, name, line, col, open_idx,
-    close_idx. White space and comments may stand between the parts, not inside a root. A chain inside the arguments of a chain with calls is left out.
+    White space and comments may stand between the parts of a chain, not inside a root.
     """
     closed = partners(tokens, "(", ")", "parens").select("path", F.col("open_idx").alias("idx"), "close_idx")
     stream = tokens.where("kind <> 'comment'").join(closed, ["path", "idx"], "left")
@@ -90,9 +89,18 @@ def chain_calls(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
     attached = (F.col("k2") == "ident") | ((F.col("p2") == ")") & (F.col("p3") == "(") & (F.col("k4") == "ident"))
     has_args = (F.col("n1") == "(") & F.col("n1_close").isNotNull()
     seen = seen.withColumn("call", F.coalesce((F.col("kind") == "ident") & (F.col("p1") == ".") & has_args & attached, F.lit(False)))
-    seen = seen.withColumn("of", F.last(F.when((F.col("kind") == "ident") & ~F.col("call"), F.struct("idx", "head", "root", has_args.alias("args"), "n1_idx", "n1_close")), True).over(window.rowsBetween(Window.unboundedPreceding, 0)))
-    roots = seen.where("kind = 'ident' and not call").select("path", F.col("head.idx").alias("root_idx"), "root", F.col("head.line").alias("line"), F.col("head.col").alias("col"), F.col("idx").alias("root_end"), F.when(has_args, F.col("n1_idx")).alias("args_open"), F.when(has_args, F.col("n1_close")).alias("args_close"))
-    calls = seen.where("call").select("path", F.col("of.head.idx").alias("root_idx"), "idx", F.col("text").alias("name"), "line", "col", F.col("n1_idx").alias("open_idx"), F.col("n1_close").alias("close_idx"))
+    seen = seen.withColumn("of", F.last(F.when((F.col("kind") == "ident") & ~F.col("call"), F.col("head")), True).over(window.rowsBetween(Window.unboundedPreceding, 0)))
+    return seen.where("kind = 'ident'").select("path", "idx", "text", "line", "col", "call", "head", "root", F.when(has_args, F.col("n1_idx")).alias("args_open"), F.when(has_args, F.col("n1_close")).alias("args_close"), "of")
+
+
+def chain_calls(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chains, calls) of method chains `root::path(args).name(args).name(args)`, from chain_parts().
+
+    chains: path, root_idx, root, line, col, args_open, args_close (null without root arguments), end_idx, n_calls. calls: path, root_idx, idx, name, line, col, open_idx,
+    close_idx. A chain inside the arguments of a chain with calls is left out.
+    """
+    roots = parts.where("not call").select("path", F.col("head.idx").alias("root_idx"), "root", F.col("head.line").alias("line"), F.col("head.col").alias("col"), F.col("idx").alias("root_end"), "args_open", "args_close")
+    calls = parts.where("call").select("path", F.col("of.idx").alias("root_idx"), "idx", F.col("text").alias("name"), "line", "col", F.col("args_open").alias("open_idx"), F.col("args_close").alias("close_idx"))
     tally = calls.groupBy("path", "root_idx").agg(F.count(F.lit(1)).alias("n_calls"), F.max("close_idx").alias("last_close"))
     # a root's last segment stands for the root; earlier segments are not ends of it
     last = Window.partitionBy("path", "root_idx").orderBy(F.col("root_end").desc())

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from codequarry.operators import lexer, prefilter, suppress, syntax
 from codequarry.operators.rule_table import all_rules, rule_frame
-from codequarry.operators.rules import Views, env_bound
+from codequarry.operators.rules import TOKEN_RULES, Views, env_bound
 from codequarry.operators.settings import Settings
 from codequarry.plans import oracle
 from codequarry.plans.scan import ordered, scan, signatures, without_baseline
@@ -22,8 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 RULE_COLUMNS = ["rule_id", "file", "line", "column", "message", "snippet", "severity"]
 
 
-def views(spark: SparkSession, sf_dir: str) -> Views:
-    return Views(synthetic_code(spark, sf_dir))
+def views(spark: SparkSession, sf_dir: str, share: bool = False) -> Views:
+    return Views(synthetic_code(spark, sf_dir), share=share)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def rule_query(number: int) -> Query:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         files, settings = synthetic_code(spark, sf_dir), Settings(only_rules=(f"FE{number:03d}",))
-        return scan(files, settings, views=Views(files, settings)).select(*RULE_COLUMNS)
+        return scan(files, settings, views=Views(files, settings, share=number in TOKEN_RULES)).select(*RULE_COLUMNS)
 
     return run
 
@@ -58,19 +58,19 @@ def invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def method_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views(spark, sf_dir).chains[0].select("path", "root_idx", "root", "line", "col", F.col("n_calls").cast("bigint").alias("n_calls"), "end_idx")
+    return views(spark, sf_dir, share=True).chains[0].select("path", "root_idx", "root", "line", "col", F.col("n_calls").cast("bigint").alias("n_calls"), "end_idx")
 
 
 def chain_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views(spark, sf_dir).call_arguments.select("path", "root_idx", "idx", "name", "line", "col", "args")
+    return views(spark, sf_dir, share=True).call_arguments.select("path", "root_idx", "idx", "name", "line", "col", "args")
 
 
 def test_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views(spark, sf_dir).test_functions
+    return views(spark, sf_dir, share=True).test_functions
 
 
 def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views(spark, sf_dir).declarations
+    return views(spark, sf_dir, share=True).declarations
 
 
 def regex_sites(spark: SparkSession, sf_dir: str) -> DataFrame:

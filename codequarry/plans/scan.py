@@ -31,14 +31,14 @@ def _shown(found: DataFrame, views: Views) -> DataFrame:
 def scan(files: DataFrame, settings: Settings = Settings(), extra: list[Rule] | None = None, views: Views | None = None) -> DataFrame:
     """Findings of files(path, content), not ordered; null contents are skipped. extra: rows of registered rules.
 
-    views: relations of the same files and settings to use, for a caller that releases them; by default they stay cached until the session's cache is cleared.
+    views: relations of the same files and settings to use, for a caller that releases them once the findings are written.
     """
     rules = enabled_rules(settings) + list(extra or [])
     spark, views = files.sparkSession, views or Views(files, settings, share=True)
     dimension = rule_frame(spark, rules)
     numbers = numbers_of(rules, settings)
     dead = views.id_of(66)
-    found = views._shared(_shown(candidates(views, numbers - {66}), views))
+    found = views.shared(_shown(candidates(views, numbers - {66}), views), "candidates")
     if settings.prefilter and not settings.maximum:
         found = found.join(allowed_rules(views.files, rules), ["path", "rule_id"], "left_semi")
     directed = suppress.directives(views.lines, settings)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,7 +17,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = context.getCheckpointDir()
         if not path:
-            path = "file://" + tempfile.mkdtemp(prefix="codequarry-")
+            own = tempfile.mkdtemp(prefix="codequarry-")
+            atexit.register(shutil.rmtree, own, True)
+            path = "file://" + own
             context.setCheckpointDir(path)
     return path.rstrip("/")
 
