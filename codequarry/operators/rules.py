@@ -47,7 +47,8 @@ class Views:
     def __init__(self, files: DataFrame, settings: Settings = Settings(), share: bool = False):
         self.settings, self.share, self.held = settings, share, []
         #: dealt by path; windows and joins below are on path too. The number is given, for tokens are many times the size of the contents by which partitions would be merged
-        spread = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        session = files.sparkSession
+        spread = min(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
         self.files = self.shared(files.select("path", "content").where("content is not null"), "sources").repartition(spread, "path")
 
     def shared(self, df: DataFrame, name: str) -> DataFrame:
