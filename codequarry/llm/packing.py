@@ -28,6 +28,8 @@ ROW_IDS = 2048
 WINDOW_IDS = 1 << 20
 FULL_SHARE = 0.97
 PAD_ID = 0
+#: bytes of text that are encoded together
+ENCODE_BYTES = 2 << 20
 
 
 class Capacities:
@@ -127,7 +129,7 @@ def pack_documents(docs: DataFrame, encode: Callable[[pa.Array], tuple[np.ndarra
     id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
 
     def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Piece]]:
-        for batch in slices(batches, "__text", spiece.SLICE_BYTES):
+        for batch in slices(batches, "__text", ENCODE_BYTES):
             flat, counts = encode(batch.column(1))
             flat, at, out = flat.astype(wide), 0, []
             for doc, n in zip(batch.column(0).to_pylist(), counts.tolist()):
