@@ -54,7 +54,7 @@ def tokenizer_path() -> str:
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spiece.round_trip(table(spark, sf_dir, "documents"), tokenizer_path()).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "spans_sha256",
     )
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import re
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,27 @@ class CharMap:
                 found = (self.replacements[start : self.replacements.index(0, start)], i + 1 - at)
         return found
 
+    def longest_all(self, data: np.ndarray, heads: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """longest() from all heads of data at once, none beyond its end: (start of the replacement, bytes taken), 0 taken where there is none."""
+        start, taken = np.zeros(len(heads), np.int64), np.zeros(len(heads), np.int64)
+        if not self.units:
+            return start, taken
+        units = np.array(self.units, np.int64)
+        node = np.full(len(heads), self.units[0] >> 10 << ((self.units[0] & 512) >> 6))
+        open_, step = np.flatnonzero(heads < ends), 0
+        while len(open_):
+            byte = data[heads[open_] + step].astype(np.int64)
+            at = node[open_] ^ byte
+            unit = units[at]
+            hit = unit & 0x800000FF == byte
+            open_, unit, at = open_[hit], unit[hit], at[hit]
+            node[open_] = at ^ (unit >> 10 << ((unit & 512) >> 6))
+            step += 1
+            whole = open_[unit >> 8 & 1 == 1]
+            start[whole], taken[whole] = units[node[whole]] & 0x7FFFFFFF, step
+            open_ = open_[heads[open_] + step < ends[open_]]
+        return start, taken
+
 
 class Model:
     """A BPE model file: pieces, scores, normaliser. The file is only read; nothing is trained."""
@@ -94,7 +116,6 @@ class Model:
             else:
                 self.surface.append(b"" if p.type == kind.CONTROL else self.unknown_text if p.type == kind.UNKNOWN else p.piece.replace(SPACE, " ").encode())
         self.normal_bytes = np.array([1 if p.type == kind.BYTE else len(p.piece.encode()) for p in pieces], np.int64)
-        self.source_bytes = np.array([1 if p.type == kind.BYTE else len(p.piece.replace(SPACE, " ").encode()) for p in pieces], np.int64)
         self._symbols(normal)
         self._merges(normal, pieces)
         inner = re.compile(f"[^{SPACE}]{SPACE}")
@@ -267,30 +288,84 @@ class Model:
                 del origin[len(out) :]
         return out.decode("utf-8", "surrogatepass"), np.array([*origin, at])
 
+    def normalise_all(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """normalise() of all texts at once: the normalised texts, and their offsets in a row, one more for each text than it has normalised bytes."""
+        if self.squeeze:
+            pairs = [self.normalise(t) for t in texts.to_pylist()]
+            return pa.array([t for t, _ in pairs], pa.string()), np.concatenate([o for _, o in pairs]) if pairs else np.empty(0, np.int64)
+        borders = np.append(0, np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)))
+        data = np.frombuffer(b"".join(texts.cast(pa.binary()).to_pylist()), np.uint8)
+        space = np.frombuffer(SPACE.encode() if self.escape else b" ", np.uint8)
+        head = data & 0xC0 != 0x80
+        heads = np.flatnonzero(head)
+        first = np.repeat(borders[:-1], np.diff(borders))
+        start, taken = self.charmap.longest_all(data, heads, np.repeat(borders[1:], np.diff(borders))[heads])
+        # of prefixes that overlap the first one counts
+        reach = 0
+        for k in np.flatnonzero(taken).tolist():
+            if heads[k] < reach:
+                taken[k] = 0
+            else:
+                reach = int(heads[k] + taken[k])
+        width = np.where(data == 32, len(space), 1)
+        swaps = []
+        mapped = np.flatnonzero(taken)
+        if len(mapped):
+            inside = np.zeros(len(data) + 1, np.int64)
+            inside[heads[mapped]] += 1
+            np.subtract.at(inside, heads[mapped] + taken[mapped], 1)
+            inside = np.cumsum(inside[:-1]) > 0
+            width[inside] = 0
+            head = head & ~inside
+            head[heads[mapped]] = True
+            for at in np.unique(start[mapped]).tolist():
+                new = self.charmap.replacements[at : self.charmap.replacements.index(0, at)].replace(b" ", space.tobytes())
+                own = heads[mapped[start[mapped] == at]]
+                width[own] = len(new)
+                swaps.append((own, np.frombuffer(new, np.uint8)))
+        lead = np.zeros(len(data), np.int64)
+        filled = borders[:-1][np.diff(borders) > 0]
+        lead[filled] = len(space) if self.dummy_prefix else 0
+        after = np.append(0, np.cumsum(width + lead))
+        place = after[1:] - width
+        out = np.empty(after[-1], np.uint8)
+        plain = np.flatnonzero(width == 1)
+        out[place[plain]] = data[plain]
+        swaps.append((np.flatnonzero((data == 32) & ~inside) if len(mapped) else np.flatnonzero(data == 32), space))
+        for own, new in swaps:
+            for i, byte in enumerate(new.tolist()):
+                out[place[own] + i] = byte
+        for i, byte in enumerate(space.tolist() if self.dummy_prefix else []):
+            out[place[filled] - len(space) + i] = byte
+        # a normalised byte comes from the first byte of the prefix it stands for
+        source = np.maximum.accumulate(np.where(head, np.arange(len(data)), 0)) - first
+        ends = after[borders]
+        origin = np.insert(np.repeat(source, width + lead), ends[1:], np.diff(borders))
+        return pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out)), origin
+
     def encode(self, texts: list[str] | pa.Array, spans: bool = True) -> tuple[np.ndarray, ...]:
         """(ids of all texts in a row, number of ids for each text, and if spans begin and end byte of each id's source span), with an end id last.
 
-        A text's spans follow each other; the end id has an empty span at the end.
+        A text's spans follow each other; the end id has an empty span at the end. Of the byte ids of one character the last has its span, as in the library.
         """
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         texts = texts.fill_null("")
         plain = self.plain and not pa.compute.any(pa.compute.match_substring_regex(texts, f"  |^ | $|{SPACE}")).as_py()
-        origins: dict[int, np.ndarray] = {}
+        if spans or not plain:
+            new, origin = self.normalise_all(texts)
         if plain:
-            # one chunk for each word between single spaces: cut and numbered in Arrow
-            parts = pa.compute.split_pattern(texts, " ")
-            chunks = np.where(pa.compute.binary_length(texts).to_numpy() == 0, 0, np.diff(parts.offsets.to_numpy()))
-            coded = parts.flatten().filter(pa.array(np.repeat(chunks > 0, np.diff(parts.offsets.to_numpy())))).dictionary_encode()
+            # one chunk for each word between single spaces: cut and numbered in Arrow; nothing stands before the dummy prefix
+            parts = pa.compute.split_pattern(new, SPACE) if spans else pa.compute.split_pattern(texts, " ")
+            offsets = parts.offsets.to_numpy()
+            chunks = np.diff(offsets) - 1 if spans else np.where(pa.compute.binary_length(texts).to_numpy() == 0, 0, np.diff(offsets))
+            stays = np.repeat(chunks > 0, np.diff(offsets))
+            if spans:
+                stays[offsets[:-1]] = False
+            coded = parts.flatten().filter(pa.array(stays)).dictionary_encode()
             which = coded.indices.to_numpy().astype(np.int64)
             ids, sizes = self.encode_chunks([SPACE + c for c in coded.dictionary.to_pylist()])
         else:
-            cut = []
-            for n, text in enumerate(texts.to_pylist()):
-                if self.plain and SPACE not in text:
-                    cut.append(self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else [])
-                else:
-                    new, origins[n] = self.normalise(text)
-                    cut.append(self.cut.findall(new))
+            cut = [self.cut.findall(t) for t in new.to_pylist()]
             chunks = np.fromiter(map(len, cut), np.int64, len(cut))
             coded = pa.array([c for x in cut for c in x], pa.string()).dictionary_encode()
             which = coded.indices.to_numpy().astype(np.int64)
@@ -305,18 +380,11 @@ class Model:
         if not spans:
             return flat, totals
         first = np.cumsum(totals) - totals
-        widths = self.source_bytes[flat]
-        widths[first + totals - 1] = 0
-        reach = np.cumsum(widths)
-        base = np.repeat(np.append(0, reach)[first], totals)
-        shift = 1 if self.dummy_prefix else 0
-        begin, end = np.maximum(reach - widths - base - shift, 0), np.maximum(reach - base - shift, 0)
-        for n, origin in origins.items():
-            own = slice(first[n], first[n] + totals[n])
-            width = self.normal_bytes[flat[own]]
-            width[-1] = 0
-            to = np.cumsum(width)
-            begin[own], end[own] = origin[to - width], origin[to]
+        width = self.normal_bytes[flat]
+        width[first + totals - 1] = 0
+        # each text has one offset more than normalised bytes
+        to = np.cumsum(width) + np.repeat(np.arange(len(totals)), totals)
+        begin, end = origin[to - width], origin[to]
         return flat, totals, begin, end
 
     def encode_all(self, texts: pa.Array, spans: bool = True) -> tuple[np.ndarray, ...]:
@@ -403,15 +471,20 @@ def decode_ids(encoded: DataFrame, model_path: str, into: str = "decoded") -> Da
 
 
 def round_trip(docs: DataFrame, model_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """encode_pieces() and decode_ids() in one pass: the kept columns, ids array<int> and decoded string. Ids do not leave the worker between the two."""
+    """encode_pieces() and decode_ids() in one pass: the kept columns, ids array<int>, decoded string and spans_sha256 string.
+
+    spans_sha256 is the digest of begin and end of each id in turn, as little-endian 32-bit numbers. Ids do not leave the worker between the two.
+    """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = load_model(model_path)
-        flat, totals = model.encode_all(batch.column(batch.num_columns - 1), spans=False)
+        flat, totals, begin, end = model.encode_all(batch.column(batch.num_columns - 1))
         offsets = np.append(0, np.cumsum(totals)).astype(np.int32)
+        both = np.column_stack((begin, end)).astype("<i4")
+        digests = [sha256(both[a:b]).hexdigest() for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
         ids = flat.astype(np.int32)
         texts = [model.decode(ids[a:b].tolist()) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
-        return pa.record_batch([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array(texts, pa.string())], names=[*keep, "ids", "decoded"])
+        return pa.record_batch([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array(texts, pa.string()), pa.array(digests, pa.string())], names=[*keep, "ids", "decoded", "spans_sha256"])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "ids array<int>", "decoded string"])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "ids array<int>", "decoded string", "spans_sha256 string"])
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(by_slices(work, "__text", SLICE_BYTES), schema)

@@ -40,13 +40,13 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of each document; ids end with the end id."""
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256, spans_sha256) of each document; ids end with the end id."""
     import public_tokenizers
 
     ship_package(spark)
     return spiece.round_trip(docs, str(public_tokenizers.path("piece_bpe_32k.model"))).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
-        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "spans_sha256",
     )
 
 

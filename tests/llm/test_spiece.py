@@ -1,4 +1,6 @@
+import hashlib
 import random
+import struct
 
 import public_tokenizers
 import sentencepiece
@@ -36,3 +38,44 @@ def test_repeated_rows_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a")], "doc_id bigint, text string")
     assert len({tuple(r["ids"]) for r in spiece.round_trip(docs, PATH).collect()}) == 1
     assert spiece.round_trip(docs.where("false"), PATH).collect() == []
+
+
+def library_spans(sp, text):
+    """(id, begin, end) of the library's pieces, in bytes of the text."""
+    return [(p.id, p.begin, p.end) for p in sp.encode(text, return_type="proto").pieces]
+
+
+def own_spans(r):
+    return list(zip(r["ids"], r["begin"], r["end"]))[:-1]
+
+
+def test_spans_are_those_of_the_library(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    texts = [*TEXTS, "rare 𓀀𓀁 one", "𓀀"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    digests = {r["doc_id"]: r["spans_sha256"] for r in spiece.round_trip(docs, PATH).collect()}
+    for r in spiece.encode_pieces(docs, PATH).collect():
+        text = texts[r["doc_id"]] or ""
+        assert own_spans(r) == library_spans(sp, text), text
+        pairs = [x for p in zip(r["begin"], r["end"]) for x in p]
+        assert digests[r["doc_id"]] == hashlib.sha256(struct.pack(f"<{len(pairs)}i", *pairs)).hexdigest()
+
+
+def test_spans_through_a_character_map(tmp_path):
+    text = tmp_path / "text"
+    text.write_text("the cat sat on the mat\nfi 123 the end of the file\n" * 50)
+    for squeeze in (False, True):
+        sentencepiece.SentencePieceTrainer.train(
+            input=str(text), model_prefix=str(tmp_path / "m"), model_type="bpe", vocab_size=300, byte_fallback=True, hard_vocab_limit=False,
+            normalization_rule_name="nmt_nfkc", remove_extra_whitespaces=squeeze, minloglevel=2,
+        )
+        path = str(tmp_path / "m.model")
+        sp, model = sentencepiece.SentencePieceProcessor(model_file=path), spiece.Model(path)
+        assert model.charmap.units
+        texts = [t for t in TEXTS if t is not None] + ["ﬁ １２３", "the　ｃat e\u0301 \u200bﬁle", "①②㌔ the"]
+        flat, totals, begin, end = model.encode(texts)
+        at = 0
+        for t, n in zip(texts, totals.tolist()):
+            own = list(zip(flat[at : at + n].tolist(), begin[at : at + n].tolist(), end[at : at + n].tolist()))[:-1]
+            assert own == library_spans(sp, t), t
+            at += n
