@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.llm.tables import by_slices
@@ -23,7 +23,7 @@ UNKNOWN = "und"
 BUCKETS = 1 << 15
 WIDTH = 16
 ORDERS = (2, 3, 4)
-#: rows that a model is fitted on, at most: the documented bound of the learning sample
+#: distinct texts that a model is fitted on, at most, in equal parts for the languages: the documented bound of the learning sample
 MOST_ROWS = 4000
 #: bytes of each of those rows that a step of SGD looks at (training only; scoring reads whole texts)
 STEP_BYTES = 1500
@@ -144,21 +144,39 @@ def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 4, rate: flo
     return model
 
 
+def quotas(counts: dict[str, int], most: int = MOST_ROWS) -> dict[str, int]:
+    """Texts of each language in the sample: an equal share of `most`; what rarer languages leave over goes to the others. At least one for each."""
+    out, left = {}, most
+    for n, y in enumerate(sorted(counts, key=lambda y: (counts[y], y))):
+        out[y] = max(1, min(counts[y], left // (len(counts) - n)))
+        left -= out[y]
+    return out
+
+
 def learning_rows(docs: DataFrame, allowed, text_col: str, label_col: str, order: list, most: int = MOST_ROWS) -> list[tuple[str, str]]:
-    """At most `most` labelled rows, picked by a hash of `order`, so that partitioning and row order do not matter."""
-    labelled = docs.where(allowed & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    n = labelled.count()
-    if not n:
+    """Distinct labelled texts, by quotas() for each label, picked by a hash of `order`, so that copies, partitioning and row order do not matter.
+
+    At most `most`, or one for each label if there are more labels. Distinct texts are counted by a sketch, which only sets how many rows are thinned out before the exact pick.
+    """
+    labelled = docs.where(allowed & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(label_col).alias("y"), F.xxhash64(*order).alias("k"))
+    counts = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.approx_count_distinct("k", 0.02).alias("n")).collect()}
+    if not counts:
         return []
-    # a hash threshold thins the rows before the bounded sort
-    share = min(1.0, 1.5 * most / n)
-    key = F.xxhash64(*order)
-    thin = labelled.where(F.pmod(key, F.lit(1 << 20)) < int(share * (1 << 20)) + 1) if share < 1 else labelled
-    return [(r[0], r[1]) for r in thin.select(F.col(text_col).alias("t"), F.col(label_col).alias("y"), key.alias("k")).orderBy("k", "t").limit(most).collect()]
+    # the sketch may be short of the true number; a language whose texts all fit is not thinned
+    room = {y: int(1.1 * n) + 1 for y, n in counts.items()}
+    quota = quotas(room, most)
+    # a hash threshold for each language thins the rows before copies go; the margin is beyond six deviations of what it lets through
+    bound = {y: (1 << 20) * (1.5 * q + 6 * q**0.5 + 40) / counts[y] for y, q in quota.items()}
+    thinned = [(y, int(b) + 1) for y, b in bound.items() if b < 1 << 20]
+    ends = docs.sparkSession.createDataFrame([(y, quota[y], dict(thinned).get(y, 1 << 20)) for y in quota], "y string, quota int, bound int")
+    thin = labelled.join(F.broadcast(ends), "y").where(F.pmod("k", F.lit(1 << 20)) < F.col("bound"))
+    distinct = thin.groupBy("y", "k", "quota").agg(F.min("t").alias("t"))
+    picked = distinct.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy("k", "t"))).where("n <= quota")
+    return [(r["t"], r["y"]) for r in sorted(picked.select("t", "y", "k").collect(), key=lambda r: (r["k"], r["t"], r["y"]))]
 
 
 def learn(docs: DataFrame, allowed, text_col: str = "text", label_col: str = "lang") -> LanguageModel:
-    """A model of at most MOST_ROWS rows of docs for which `allowed` holds and text and label are not null."""
+    """A model of at most MOST_ROWS distinct texts of docs (see learning_rows), of rows for which `allowed` holds and text and label are not null."""
     return train(learning_rows(docs, allowed, text_col, label_col, [text_col, label_col]))
 
 

@@ -34,6 +34,24 @@ def test_language_of_odd_texts(spark):
     assert {r["lang_pred"] for r in langid.identify(odd, nobody).collect()} == {"und"}
 
 
+def test_copies_do_not_fill_the_learning_sample(spark):
+    import pyspark.sql.functions as F
+
+    once = spark.range(3000).selectExpr("concat('text ', id) t", "if(id % 3 = 0, 'de', 'en') y")
+    copies = spark.range(20_000).selectExpr("concat('copy ', id % 2) t", "'en' y")
+    rare = spark.createDataFrame([("selten", "xx")], "t string, y string")
+    rows = langid.learning_rows(once.union(copies).union(rare).repartition(5), F.lit(True), "t", "y", ["t", "y"], most=400)
+    assert len(set(rows)) == len(rows) and 380 <= len(rows) <= 400
+    held = {y: sum(r[1] == y for r in rows) for y in ("de", "en", "xx")}
+    assert held["xx"] == 1 and min(held["de"], held["en"]) >= 180
+    assert rows == langid.learning_rows(rare.union(copies).union(once), F.lit(True), "t", "y", ["t", "y"], most=400)
+
+
+def test_quotas_of_languages():
+    assert langid.quotas({"a": 10, "b": 5000, "c": 5000}, 1010) == {"a": 10, "b": 500, "c": 500}
+    assert langid.quotas({"a": 9, "b": 9}, 1) == {"a": 1, "b": 1}
+
+
 def test_quality_accuracy(spark):
     truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = [r for r in catalog.op1_quality(spark, SF).collect() if r["held_out"] and r["doc_id"] in truth]
