@@ -141,15 +141,15 @@ class Scanner:
                                 found[p].add((at, template))
         return found
 
-    def scan(self, texts: pa.Array) -> list[dict[str, tuple[float, int, int]]]:
-        """For each text, licence -> (containment, first word, words) of its best window, the first of equals."""
+    def matches(self, texts: pa.Array) -> list[set[tuple[int, float, int, int, str]]]:
+        """For each text, (template's shingles held, containment, first word, words, licence) of every window and template that agree."""
         coded, counts = fold_words(texts)
         vocabulary = coded.dictionary.to_pylist()
         which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in vocabulary], np.uint64)[which] if len(which) else np.empty(0, np.uint64)
         text_of = np.repeat(np.arange(len(counts)), counts)
         starts = np.cumsum(counts) - counts
-        out: list[dict[str, tuple[float, int, int]]] = [{} for _ in range(len(counts))]
+        out: list[set[tuple[int, float, int, int, str]]] = [set() for _ in range(len(counts))]
         for width in {p.width for p in self.groups}:
             n = max(0, len(which) - width + 1)
             inside = text_of[:n] == text_of[width - 1 :]  # shingles of one text
@@ -163,18 +163,42 @@ class Scanner:
                     span = span[text_of[span] == of[at]]
                     held = [b" ".join([vocabulary[i] for i in which[k : k + width]]) for k in span.tolist()]
                     there = [k for k, s in zip(span.tolist(), held) if s in wanted]
-                    share = len(wanted & set(held)) / len(wanted)
-                    if share >= LEAST:
+                    shared = len(wanted & set(held))
+                    if shared / len(wanted) >= LEAST:
                         row = int(of[at])
-                        new = (share, there[0] - int(starts[row]), there[-1] + width - there[0])
-                        old = out[row].get(name)
-                        if old is None or (-new[0], new[1], new[2]) < (-old[0], old[1], old[2]):
-                            out[row][name] = new
+                        out[row].add((shared, shared / len(wanted), there[0] - int(starts[row]), there[-1] + width - there[0], name))
         return out
 
+    def scan(self, texts: pa.Array) -> list[dict[str, tuple[float, int, int]]]:
+        """For each text, licence -> (containment, first word, words) of its best window, the first of equals."""
+        return [best(found) for found in self.matches(texts)]
+
+
+def best(found) -> dict[str, tuple[float, int, int]]:
+    """licence -> (containment, first word, words) of its match of highest containment, the first of equals."""
+    out: dict[str, tuple[float, int, int]] = {}
+    for _, share, first, size, name in found:
+        old = out.get(name)
+        if old is None or (-share, first, size) < (-old[0], old[1], old[2]):
+            out[name] = (share, first, size)
+    return out
+
+
+def settled(found) -> list[tuple[int, float, int, int, str]]:
+    """The matches that stand where those of several licences overlap: the one with most of its template's shingles in the text, of equals the one of higher containment.
+
+    A match gives way if one of another licence that stands covers half of its words or more.
+    """
+    stand: list[tuple[int, float, int, int, str]] = []
+    for m in sorted(found, key=lambda m: (-m[0], -m[1], *m[2:])):
+        _, _, first, size, name = m
+        if not any(other != name and 2 * (min(first + size, at + n) - max(first, at)) >= size for _, _, at, n, other in stand):
+            stand.append(m)
+    return stand
+
 
 def find_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, license, containment double, first_word bigint, n_words bigint): a row for each licence that a text holds.
+    """(id_col, license, containment double, first_word bigint, n_words bigint): a row for each licence that a text holds; of variants that claim the same words only the closest, see settled().
 
     containment: the share of the distinct shingles of one of the licence's templates in the best window, LEAST or more; the span runs from the first to the last of
     them there, counted in words. Words are as in decontamination. Null and empty texts hold none; templates without words are ignored; rows are independent, so
@@ -188,7 +212,7 @@ def find_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not cache:
             cache.append(Scanner(texts))
-        found = cache[0].scan(batch.column(1))
+        found = [best(settled(m)) for m in cache[0].matches(batch.column(1))]
         rows = [(n, name, *found[n][name]) for n in range(len(found)) for name in sorted(found[n])]
         at, license_, share, first, size = zip(*rows) if rows else [()] * 5
         return pa.RecordBatch.from_arrays(

@@ -78,3 +78,40 @@ def test_lines_of_the_tables(spark):
     expected = {(r["doc_id"], k) for r in docs.collect() for k, v in lines.items() if v in (r["text"] or "")}
     found = {(r["doc_id"], r["license"]) for r in licenses.find_licenses(docs).collect()}
     assert expected and expected <= found
+
+
+def test_variants_of_the_same_words(spark):
+    gnu = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    bsd2, bsd3 = TEMPLATES["BSD"][0], TEMPLATES["BSD-3-Clause"][0]
+    texts = {
+        "GPL-3.0": ["x licensed under the GNU General Public License, version 3 y", gnu.format(""), TEMPLATES["GPL-3.0"][-1]],
+        "GPL-2.0": ["x licensed under the GNU General Public License, version 2 y", TEMPLATES["GPL-2.0"][-1]],
+        "LGPL-3.0": [gnu.format("Lesser "), TEMPLATES["LGPL-3.0"][-1]], "AGPL-3.0": [gnu.format("Affero "), TEMPLATES["AGPL-3.0"][-1]],
+        "LGPL-2.1": [TEMPLATES["LGPL-2.1"][-1]], "BSD": [bsd2], "BSD-3-Clause": [bsd3, bsd3.replace("endorse", "support")],
+    }
+    rows = [(n, text, name) for n, (name, text) in enumerate((k, t) for k, v in texts.items() for t in v)]
+    rows.append((100, f"{gnu.format('Lesser ')} and then, for the other half, {gnu.format('')}", None))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, name string")
+    found = {}
+    for r in licenses.find_licenses(docs).collect():
+        found.setdefault(r["doc_id"], set()).add(r["license"])
+    assert found.pop(100) == {"LGPL-3.0", "GPL-3.0"}
+    assert found == {n: {name} for n, _, name in rows if name}
+
+
+def test_against_all_positions():
+    rng = random.Random(12)
+    notices = {k: [t for t in v if len(t.split()) < 200] for k, v in TEMPLATES.items()}
+    texts = [made(rng, notices) for _ in range(150)]
+    pairs = missed = 0
+    for text, got in zip(texts, licenses.Scanner(notices).scan(pa.array(texts))):
+        own = words(text.encode())
+        for name, t in ((name, words(t.encode())) for name, x in notices.items() for t in x):
+            width = min(licenses.SHINGLE_WORDS, len(t))
+            wanted = {tuple(t[i : i + width]) for i in range(len(t) - width + 1)}
+            inside = [tuple(own[i : i + width]) for i in range(len(own) - width + 1)]
+            n = len(t) - width + 1
+            if any(len(wanted & set(inside[i : i + n])) >= licenses.LEAST * len(wanted) for i in range(max(1, len(inside) - n + 1))):
+                pairs += 1
+                missed += name not in got
+    assert pairs > 100 and missed <= 0.005 * pairs
