@@ -1,14 +1,17 @@
 """Main text of web pages: a host-wide suffix array over the page token streams, then the page's own structure.
 
-A page is cut into blocks of text. The tokens of its blocks outside an article form the page's stream. The streams of a host are concatenated and
-their suffixes sorted (prefix doubling, to a depth of RUN tokens); neighbours that share RUN tokens and lie on distinct pages show a substring
-that the host repeats. A token inside any such substring is covered: covered tokens are boilerplate and go, unique runs stay. What the page's
-structure says follows as an exact check: blocks of menus, headers, footers, sidebars, notices, adverts, forms and reader comments go
-whole, and the blocks of an article stay whole, even where other pages quote them.
-
-The suffix array of a host is held in parts: each task sorts the suffixes of its own pages and hands on each one's RUN-token
-prefix as (host, digest, page, position); the parts are merged by host and digest. That asks only for the least and greatest page of a
-digest, found in each task before anything moves, so a host with a third of all pages is never one group.
+A page is cut into blocks of text; the tokens of all its blocks, articles included, form the page's stream. The streams are concatenated and their
+suffixes sorted host by host (prefix doubling, to a depth of RUN tokens); neighbours that share RUN tokens and lie on distinct pages show a substring
+that the host repeats. Windows of RUN tokens overlap, so longer repeats are covered whole. Covered tokens are boilerplate and go, unique runs stay.
+
+What the page's structure says follows as a check. Blocks of menus, headers, footers, sidebars, notices, adverts, forms and reader comments go whole, unique or
+not. Plain blocks of an article stay whole, for articles may quote each other; inside an article the repeats decide about blocks whose own element bears a class or an
+id. Outside of both they decide alone. Pages of one host with equal text are mirrors of one page and
+count once, and a page with next to nothing of its own is a near copy and keeps its text.
+
+The suffix array of a host is held in parts: each task sorts the suffixes of its own pages and hands on each one's RUN-token prefix as a 128-bit digest that the host is
+part of; the parts are merged by digest. That asks only for the least and greatest page of a digest, found in each task before anything moves, so a host with a third of
+all pages is never one group. Digests that no token to be decided has are held back by a bitmap of fixed size.
 """
 
 from __future__ import annotations
@@ -22,12 +25,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.tables import by_slices
-from codequarry.storage import keep
+from codequarry.llm.tables import bitmap_filter, by_slices
+from codequarry.storage import discard, keep
 
 #: tokens that a repeated substring has at least
 RUN = 8
-CONTENT, OPEN, BOILER = "c", "o", "b"
+#: kinds of blocks: plain ones of an article; of an article, with a class or an id of their own; of neither; of what is not the article
+CONTENT, MARKED, OPEN, BOILER = "c", "m", "o", "b"
+#: the share of its tokens that a page has for itself, unless it is a near copy
+LEAST_OWN = 0.2
+#: covered tokens are broadcast up to this size, else joined
+MOST_BROADCAST = 16 << 20
 #: an open element that rules out what it holds, articles included: comments, sidebars, footers, forms
 _FIRM = "x"
 
@@ -67,19 +75,25 @@ def _hinted(attrs: str, in_article: bool) -> bool:
     return bool(words & _HINTS) and not words & _WRAPPERS
 
 
+def _own_mark(attrs: str) -> bool:
+    """Whether attributes name an element by class or id, other than as a wrapper."""
+    words = {w.lower() for value in _NAMED.findall(attrs) for w in _WORD.findall(value)}
+    return bool(words) and not words & _WRAPPERS
+
+
 def blocks(html: str | None) -> list[tuple[str, str]]:
     """(kind, text) of the page's blocks in order: character references decoded, white space runs as one space; empty blocks left out."""
     out: list[tuple[str, str]] = []
     held: list[str] = []
     stack: list[tuple[str, str]] = []  # open elements that say something about what they hold
-    kind, at = OPEN, 0
+    kind, at, marked = OPEN, 0, False
 
     def flush() -> None:
         if held:
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                out.append((kind, text))
+                out.append((MARKED if marked and kind == CONTENT else kind, text))
 
     def settle() -> str:
         marks = [k for _, k in stack]
@@ -114,6 +128,7 @@ def blocks(html: str | None) -> list[tuple[str, str]]:
             held.append(" ")
             continue
         flush()
+        marked = not ends and name not in ("article", "main") and bool(attrs) and _own_mark(attrs)
         if ends:
             own = [n for n, _ in stack]
             if name in own:
@@ -147,8 +162,23 @@ def blocks(html: str | None) -> list[tuple[str, str]]:
 
 
 def stream(page: list[tuple[str, str]]) -> list[str]:
-    """The tokens of a page's blocks outside its article."""
-    return [w for kind, text in page if kind != CONTENT for w in text.split(" ")]
+    """The tokens of a page's blocks."""
+    return [w for _, text in page for w in text.split(" ")]
+
+
+def undecided(page: list[tuple[str, str]], run: int = RUN) -> np.ndarray:
+    """For each token of the stream, whether one of the run tokens from there is in a block that repeats decide about."""
+    sizes = [text.count(" ") + 1 for _, text in page]
+    asked = np.repeat([kind in (OPEN, MARKED) for kind, _ in page], sizes).astype(np.int64)
+    past = np.append(0, np.cumsum(asked))
+    at = np.arange(len(asked))
+    return past[np.minimum(at + run, len(asked))] > past[at]
+
+
+def mirror(page: list[tuple[str, str]]) -> int:
+    """A number that pages share whose text, but for what structure rules out, is the same."""
+    own = [text for kind, text in page if kind != BOILER] or ["", *(text for _, text in page)]
+    return xxhash.xxh64_intdigest("\n".join(own)) - (1 << 63)
 
 
 def suffix_array(tokens: np.ndarray, depth: int = RUN) -> tuple[np.ndarray, np.ndarray]:
@@ -164,89 +194,102 @@ def suffix_array(tokens: np.ndarray, depth: int = RUN) -> tuple[np.ndarray, np.n
     return np.argsort(rank, kind="stable"), rank
 
 
-def run_digests(streams: list[list[str]], hosts: list[str], run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(stream number, position, digest of the run tokens from there) for the suffixes of at least run tokens.
+def run_digests(streams: list[list[str]], hosts: list[str], run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(stream number, position, two 64-bit digests of the host and the run tokens from there) for the suffixes of at least run tokens.
 
-    The digest is computed once for each group of neighbours in the suffix array that share their first run tokens.
+    Suffixes are sorted within each host. The digests are computed once for each group of neighbours that share their first run tokens.
     """
     sizes = np.fromiter(map(len, streams), np.int64, len(streams))
     coded = pa.array([w for s in streams for w in s], pa.string()).dictionary_encode()
-    tokens = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    if not len(tokens):
-        return (np.empty(0, np.int64),) * 3
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
+    words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    none = (np.empty(0, np.int64),) * 4
+    if not len(words):
+        return none
+    names = {h: n for n, h in enumerate(dict.fromkeys(hosts))}
     page = np.repeat(np.arange(len(streams)), sizes)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(tokens))
-    order, rank = suffix_array(tokens, run)
+    of_host = np.fromiter((names[h] for h in hosts), np.int64, len(hosts))[page]
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words))
+    order, rank = suffix_array(of_host * len(coded.dictionary) + words, run)
     order = order[left[order] >= run]
     if not len(order):
-        return (np.empty(0, np.int64),) * 3
+        return none
     heads = np.append(True, rank[order[1:]] != rank[order[:-1]])
-    first = order[heads]
-    digest = np.zeros(len(first), np.uint64)
-    for i in range(run):
-        digest = (digest ^ hashes[tokens[first + i]]) * np.uint64(0x9E3779B97F4A7C15)
-        digest ^= digest >> np.uint64(29)
+    first, group = order[heads], np.cumsum(heads) - 1
+    wide = [xxhash.xxh128_intdigest(w) for w in (*names, *coded.dictionary.to_pylist())]
+    digests = []
+    for lane in (0, 64):
+        hashes = np.array([w >> lane & (1 << 64) - 1 for w in wide], np.uint64)
+        digest = hashes[of_host[first]]
+        for i in range(run):
+            digest = (digest ^ hashes[len(names) + words[first + i]]) * np.uint64(0x9E3779B97F4A7C15)
+            digest ^= digest >> np.uint64(29)
+        digests.append(digest[group].view(np.int64))
     starts = np.cumsum(sizes) - sizes
-    return page[order], order - starts[page[order]], digest[np.cumsum(heads) - 1].view(np.int64)
+    return page[order], order - starts[page[order]], *digests
 
 
 def unique_text(page: list[tuple[str, str]], covered: set[int]) -> str:
-    """The article's blocks, and of blocks outside any article that structure does not rule out, the tokens that are not covered."""
-    out, at = [], 0
+    """Plain blocks of the article, and of blocks that structure neither keeps nor rules out the tokens that are not covered.
+
+    A page of which less than LEAST_OWN would be left is a near copy of another one and keeps its text.
+    """
+    out, at, tokens, left = [], 0, 0, 0
     for kind, text in page:
-        if kind == CONTENT:
-            out.append(text)
-            continue
         words = text.split(" ")
-        if kind == OPEN:
-            left = [w for n, w in enumerate(words, at) if n not in covered] if covered else words
-            if left:
-                out.append(" ".join(left))
+        if kind != BOILER:
+            own = words if kind == CONTENT or not covered else [w for n, w in enumerate(words, at) if n not in covered]
+            tokens, left = tokens + len(words), left + len(own)
+            out += [" ".join(own)] if own else []
         at += len(words)
-    return " ".join(out)
+    return " ".join(out) if left >= LEAST_OWN * tokens else " ".join(text for kind, text in page if kind != BOILER)
+
+
+def _suffixes(keyed: DataFrame, run: int) -> DataFrame:
+    """(digest, other, mirror, page, position, asked) of the suffixes of the streams of keyed(page, host, html); asked: one of its tokens is to be decided."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hosts, keys = batch.column(1).to_pylist(), batch.column(0).to_numpy()
+        pages = [blocks(h) for h in batch.column(2).to_pylist()]
+        of, position, digest, other = run_digests([stream(p) for p in pages], hosts, run)
+        asked = [undecided(p, run) for p in pages]
+        starts = np.cumsum([0, *map(len, asked)])[:-1]
+        flags = np.concatenate([*asked, np.empty(0, bool)])[starts[of] + position] if len(of) else np.empty(0, bool)
+        mirrors = np.array([mirror(p) for p in pages], np.int64)
+        return pa.record_batch([pa.array(digest), pa.array(other), pa.array(mirrors[of]), pa.array(keys[of]), pa.array(position.astype(np.int32)), pa.array(flags)], names=["digest", "other", "mirror", "page", "position", "asked"])
+
+    return keyed.select("page", "host", "html").mapInArrow(by_slices(work, "html"), "digest bigint, other bigint, mirror bigint, page bigint, position int, asked boolean")
+
+
+def covered_tokens(keyed: DataFrame, run: int = RUN) -> DataFrame:
+    """(page, starts array<int>): where runs of run tokens begin that distinct pages of the host share and that hold a token to be decided; a table in the shared folder."""
+    suffixes = _suffixes(keyed, run)
+    asked = keep(suffixes.where("asked").select("digest", "other", "page", "position"), "suffixes")
+    wanted = bitmap_filter(suffixes.select("digest", "other", "mirror"), "digest", asked.select("digest"))
+    repeated = wanted.groupBy("digest", "other").agg(F.min("mirror").alias("low"), F.max("mirror").alias("high")).where("low <> high")
+    repeated = keep(repeated.select("digest", "other"), "repeated")
+    # repeated rows give equal positions twice; a set holds them once
+    covered = keep(asked.join(repeated, ["digest", "other"]).groupBy("page").agg(F.collect_set("position").alias("starts")), "covered")
+    discard(asked)
+    discard(repeated)
+    return covered
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN) -> DataFrame:
     """(id_col, url_col, text string, n_chars bigint) for every row of pages.
 
-    Null and empty html have the text "". A null url, or one without a host, belongs to the host "". Equal rows are one page; repeated rows stay repeated. An
-    empty table gives an empty result; other columns are ignored, whatever their names.
+    Null and empty html have the text "". A null url, or one without a host, belongs to the host "". Equal rows are one page; repeated rows stay repeated. A page is
+    never split, whatever its length. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     given = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     keyed = given.withColumn("page", F.xxhash64("id", "url", "html")).withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)))
+    covered = covered_tokens(keyed, run)
 
-    def suffixes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hosts, keys = batch.column(1).to_pylist(), batch.column(0).to_numpy()
-        of, position, digest = run_digests([stream(blocks(h)) for h in batch.column(2).to_pylist()], hosts, run)
-        return pa.record_batch([pa.array(keys[of]), pa.array([hosts[i] for i in of.tolist()], pa.string()), pa.array(digest), pa.array(position.astype(np.int32))], names=["page", "host", "digest", "position"])
-
-    parts = keep(keyed.select("page", "host", "html").mapInArrow(by_slices(suffixes, "html"), "page bigint, host string, digest bigint, position int"), "suffixes")
-    repeated = parts.groupBy("host", "digest").agg(F.min("page").alias("low"), F.max("page").alias("high")).where("low <> high")
-    repeated = keep(repeated.select("host", "digest"), "repeated")
-    # repeated rows give equal positions twice; a set holds them once
-    covered = parts.join(repeated, ["host", "digest"]).groupBy("page").agg(F.collect_set("position").alias("starts"))
-
-    def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        zstd = pa.Codec("zstd")
-        payload = []
-        for h in batch.column(3).to_pylist():
-            data = "\x1e".join([kind + text for kind, text in blocks(h)]).encode()
-            payload.append(len(data).to_bytes(8, "little") + (zstd.compress(data, asbytes=True) if data else b""))
-        return pa.record_batch([*batch.columns[:3], pa.array(payload, pa.binary())], names=["id", "url", "page", "payload"])
-
-    def unpacked(batches):
-        zstd = pa.Codec("zstd")
-        for batch in batches:
-            texts = []
-            for payload, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                size = int.from_bytes(payload[:8], "little")
-                data = zstd.decompress(payload[8:], size, asbytes=True).decode() if size else ""
-                texts.append(unique_text([(b[0], b[1:]) for b in data.split("\x1e")] if data else [], {s + i for s in starts or () for i in range(run)}))
-            yield pa.record_batch([*batch.columns[:2], pa.array(texts, pa.string())], names=["id", "url", "text"])
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [unique_text(blocks(h), {s + i for s in starts or () for i in range(run)}) for h, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        return pa.record_batch([*batch.columns[:2], pa.array(texts, pa.string())], names=["id", "url", "text"])
 
+    size = covered.agg(F.coalesce(F.sum(F.size("starts") * 4 + 16), F.lit(0)).alias("n")).first()["n"]
+    joined = keyed.join(F.broadcast(covered) if size <= MOST_BROADCAST else covered, "page", "left").select("id", "url", "html", "starts")
     kind = given.schema["id"].dataType.simpleString()
-    pages_of = keyed.select("id", "url", "page", "html").mapInArrow(by_slices(packed, "html"), f"id {kind}, url string, page bigint, payload binary")
-    joined = pages_of.join(covered, "page", "left").select("id", "url", "payload", "starts")
-    text = joined.mapInArrow(unpacked, f"id {kind}, url string, text string")
+    text = joined.mapInArrow(by_slices(work, "html"), f"id {kind}, url string, text string")
     return text.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("bigint").alias("n_chars"))
