@@ -75,18 +75,22 @@ def _edited(text: str, following: str) -> Column:
     return F.concat(F.substring(F.col(text), F.lit(1), kept), F.substring(F.col(following), F.lit(1), F.length(text) - kept))
 
 
+def _row_key(id_col: str, text: str) -> Column:
+    """128 bits that tell rows apart: rows of one key are the same row, whatever else has their id."""
+    return F.concat_ws("-", *[F.hex(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text))) for seed in (3, 4)])
+
+
 def _repeated_forms(given: DataFrame, slim: DataFrame, digits: int) -> DataFrame:
-    """(digest, form) of the texts and edited texts whose digest occurs more than once in slim(id, next_id, digest, edited_digest)."""
+    """(digest, form) of the texts and edited texts whose digest occurs more than once in slim(key, next_key, digest, edited_digest)."""
     both = slim.select(F.explode(F.array("digest", "edited_digest")).alias("digest"))
     repeated = keep(both.groupBy("digest").count().where("count > 1").select("digest"), "repeated")
-    own = slim.join(repeated, "digest", "left_semi").select("id")
-    changed = slim.join(repeated.withColumnRenamed("digest", "edited_digest"), "edited_digest", "left_semi").select("id", "next_id")
-    wanted = keep(own.union(changed.select("id")).union(changed.select("next_id")).distinct(), "wanted")
-    near = bitmap_filter(given, "id", wanted).alias("g")
-    exact = near.join(wanted.alias("w"), F.expr("g.id <=> w.id"), "left_semi")
-    texts = keep(exact.select("id", "text").distinct(), "texts")
-    other = texts.select(F.col("id").alias("other_id"), F.col("text").alias("other"))
-    pairs = changed.distinct().alias("c").join(texts.alias("t"), F.expr("c.id <=> t.id")).join(other, F.expr("c.next_id <=> other_id"))
+    own = slim.join(repeated, "digest", "left_semi").select("key")
+    changed = slim.join(repeated.withColumnRenamed("digest", "edited_digest"), "edited_digest", "left_semi").select("key", "next_key").distinct()
+    wanted = keep(own.union(changed.select("key")).union(changed.select("next_key")).distinct(), "wanted")
+    near = bitmap_filter(given.select("key", "text"), "key", wanted)
+    texts = keep(near.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")), "texts")
+    other = texts.select(F.col("key").alias("next_key"), F.col("text").alias("other"))
+    pairs = changed.join(texts, "key").join(other, "next_key")
     forms = texts.select(canonical(F.col("text")).alias("form")).union(pairs.select(canonical(_edited("text", "other")).alias("form")))
     return forms.select(digest(F.col("form"), digits).alias("digest"), "form")
 
@@ -98,14 +102,14 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     descending id, the first after the last. Result: id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next (1.0 where
     the canonical forms are equal, else 0.0).
 
-    Null texts are empty. Null ids come last and rows of one id follow each other by text; an only row is its own next; an empty table gives an empty
+    Null texts are empty. Null ids come last and rows of one id follow each other by a hash of their text, then the text; an only row is its own next; an empty table gives an empty
     result; other columns are ignored. Whole texts move once, to the rows before them; the comparison inside buckets reads and moves those of repeated digests.
     """
-    given = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = next_rows(given.withColumn("digest", digest(canonical(F.col("text")), digits)), "id", "text", ["id", "text", "digest"])
+    given = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("key", _row_key("id", "text"))
+    rows = next_rows(given.withColumn("digest", digest(canonical(F.col("text")), digits)), "id", "text", ["key", "text", "digest"])
     full = rows.withColumn("edited", _edited("text", "next_text")).withColumn("form", canonical(F.col("text"))).withColumn("edited_form", canonical(F.col("edited")))
     result = full.select(
-        "id", "next_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "id", "key", "next_key", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         "digest", digest(F.col("edited_form"), digits).alias("edited_digest"), "form", "edited_form",
         (F.col("form") == F.col("edited_form")).cast("double").alias("near_edited"),
         F.when(F.col("digest") == F.col("next_digest"), F.col("form") == canonical(F.col("next_text"))).otherwise(False).cast("double").alias("near_next"),

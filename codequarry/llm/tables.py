@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -51,39 +52,37 @@ def by_slices(work: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, mos
 
 
 def next_rows(df: DataFrame, id_col: str, tie_col: str, carried: list[str], rows_per_bucket: int = 1000, most_buckets: int = 1 << 16) -> DataFrame:
-    """df with next_<c> for each carried column c: its value in the next row by descending id, then tie_col; the first row follows the last.
+    """df with next_<c> for each carried column c: its value in the next row by descending id, then a hash of tie_col, then tie_col; the first row follows the last.
 
-    Ids are integers; null ids come last. Rows are dealt to buckets of neighbouring ids, cut at quantiles; the first row of a bucket is also dealt to
-    the bucket before, so each row finds its successor in its own bucket and no task sorts the whole table. The driver holds the quantiles only.
+    Ids are integers; null ids come last, with the least integer. Rows are dealt to buckets of neighbouring ids and hashes, so that neither null ids nor many rows of one id share
+    a bucket; the first row of a bucket is also dealt to the bucket before, so each row finds its successor in its own bucket and no task sorts the whole table. The driver
+    holds the first key of each bucket only. Only rows that are the same in both columns stay in one bucket.
     """
-    ids = df.select(F.col(id_col).cast("bigint").alias("id"))
-    n = ids.count()
+    own_key = {"__hi": F.coalesce(F.bitwise_not(F.col(id_col).cast("bigint")), F.lit(2**63 - 1)), "__lo": F.xxhash64(tie_col)}
+    keyed = df.withColumns(own_key)
+    keys = keyed.select(*own_key)
+    n = keys.count()
     if not n:
         return df.withColumns({f"next_{c}": F.col(c) for c in carried})
-    buckets = min(most_buckets, -(-n // rows_per_bucket))
-    shares = [k / buckets for k in range(1, buckets)]
-    cuts = ids.agg(F.percentile_approx("id", shares, max(10_000, 4 * buckets)).alias("cuts")).first()["cuts"] if shares else []
-    cuts = sorted(set(cuts or []), reverse=True)
-    steps = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)])
-    cut = F.lit(cuts) if cuts else F.array(F.lit(0).cast("bigint"))
-
-    def bucket(value):
-        """How many cuts lie above the value, by bisection; nulls have a bucket of their own behind the others."""
-        found = F.aggregate(steps, F.lit(0), lambda i, s: F.when((i + s <= len(cuts)) & (F.get(cut, i + s - 1) > value), i + s).otherwise(i))
-        return F.when(value.isNull(), F.lit(len(cuts) + 1)).otherwise(found)
-
-    held = ids.groupBy(bucket(F.col("id")).alias("b")).agg(F.max("id").alias("first")).orderBy("b").collect()
-    firsts, before = [None] * (len(cuts) + 2), [None] * (len(cuts) + 2)
-    for k, row in enumerate(held):
-        firsts[row["b"]], before[row["b"]] = row["first"], held[k - 1]["b"]
-    first = F.lit(firsts) if any(f is not None for f in firsts) else F.array_repeat(F.lit(None).cast("bigint"), len(firsts))
-    value = F.col(id_col).cast("bigint")
+    ranged = keys.repartitionByRange(min(most_buckets, -(-n // rows_per_bucket)), *own_key)
+    firsts = ranged.groupBy(F.spark_partition_id()).agg(F.min(F.struct(*own_key)).alias("k")).select("k.*").collect()
+    firsts = sorted((r["__hi"], r["__lo"]) for r in firsts)
+    hi, lo = (F.from_json(F.lit(json.dumps([k[i] for k in firsts])), "array<bigint>") for i in (0, 1))
+    steps = F.array(*[F.lit(1 << k) for k in range(len(firsts).bit_length() - 1, -1, -1)])
+
+    def begun(i):
+        """Whether bucket i begins at or before the row's key."""
+        return (F.get(hi, i) < F.col("__hi")) | ((F.get(hi, i) == F.col("__hi")) & (F.get(lo, i) <= F.col("__lo")))
+
+    # the last bucket that has begun, by bisection
+    bucket = F.aggregate(steps, F.lit(0), lambda i, s: F.when((i + s < len(firsts)) & begun(i + s), i + s).otherwise(i))
+    opens = (F.get(hi, F.col("__b")) == F.col("__hi")) & (F.get(lo, F.col("__b")) == F.col("__lo"))
     own = F.struct(F.col("__b").alias("b"), F.lit(0).alias("turn"))
-    guest = F.when(value.eqNullSafe(F.get(first, F.col("__b"))), F.struct(F.get(F.lit(before), F.col("__b")).alias("b"), F.lit(1).alias("turn")))
-    dealt = df.withColumn("__b", bucket(value)).withColumn("__to", F.explode(F.array_compact(F.array(own, guest))))
-    window = Window.partitionBy("__to.b").orderBy("__to.turn", F.col(id_col).desc_nulls_last(), F.col(tie_col).asc_nulls_last())
+    guest = F.when(opens, F.struct(F.pmod(F.col("__b") - 1, F.lit(len(firsts))).alias("b"), F.lit(1).alias("turn")))
+    dealt = keyed.withColumn("__b", bucket).withColumn("__to", F.explode(F.array_compact(F.array(own, guest))))
+    window = Window.partitionBy("__to.b").orderBy("__to.turn", "__hi", "__lo", F.col(tie_col).asc_nulls_last())
     led = dealt.withColumns({f"next_{c}": F.lead(c).over(window) for c in carried})
-    return led.where("__to.turn = 0").drop("__b", "__to")
+    return led.where("__to.turn = 0").drop("__b", "__to", *own_key)
 
 
 def bitmap_filter(df: DataFrame, column: str, wanted: DataFrame, log_bits: int = 22) -> DataFrame:

@@ -4,8 +4,10 @@ import re
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from codequarry.llm import fingerprint
+from codequarry.llm.tables import next_rows
 
 
 def canon(text):
@@ -61,3 +63,34 @@ def test_fingerprint_column(spark):
         for a in rows:
             for b in rows:
                 assert (a["fingerprint"] == b["fingerprint"]) == (canon(a["text"]) == canon(b["text"]))
+
+
+def test_many_rows_of_one_id(spark):
+    """Rows of one id, or of none, neither meet as pairs nor lose a bucket's border: each follows another one, in a single ring."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.randrange(30))) for _ in range(3000)]
+    rows = [(rng.choice([None, None, 7, 7, n]), t) for n, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    ring = next_rows(docs.withColumn("key", F.monotonically_increasing_id()), "doc_id", "text", ["doc_id", "text", "key"], rows_per_bucket=50).collect()
+    follows = {r["key"]: r["next_key"] for r in ring}
+    assert len(ring) == len(follows) == len(set(follows.values())) == len(rows)
+    at, seen = ring[0]["key"], set()
+    while at not in seen:
+        seen.add(at)
+        at = follows[at]
+    assert len(seen) == len(rows)
+    ids = lambda x: (x is None, -(x or 0))
+    assert sum(ids(r["doc_id"]) > ids(r["next_doc_id"]) for r in ring) == 1
+    for digits in (32, 2):
+        found = fingerprint.edit_fingerprints(docs, digits=digits).collect()
+        assert sorted((r["doc_id"] or -1, r["n_chars"]) for r in found) == sorted((i or -1, len(t)) for i, t in rows)
+
+
+def test_forms_do_not_grow_with_the_square_of_an_id(spark):
+    sizes = []
+    for n in (200, 400):
+        docs = spark.createDataFrame([(None, f"same {i // 2}") for i in range(n)], "doc_id bigint, text string")
+        given = docs.select(F.col("doc_id").alias("id"), "text").withColumn("key", fingerprint._row_key("id", "text")).withColumn("digest", fingerprint.digest(fingerprint.canonical(F.col("text"))))
+        slim = next_rows(given, "id", "text", ["key", "text", "digest"]).withColumn("edited_digest", fingerprint.digest(fingerprint.canonical(fingerprint._edited("text", "next_text"))))
+        sizes.append(fingerprint._repeated_forms(given, slim, 32).count())
+    assert sizes[1] <= 2 * sizes[0] + 2
