@@ -39,7 +39,7 @@ def test_against_brute_force(spark):
     rows = [(n, t, 7) for n, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_hit int")
     bench = spark.createDataFrame(items + items[:3], "item_id bigint, text string")
-    for shard in (1 << 20, 60):
+    for shard in (1 << 20, 3000):
         out = decontaminate.find_items(docs, bench, shard_bytes=shard)
         found = {r["doc_id"]: (r["n_words"], r["n_hit"], sorted(r["items"])) for r in out.collect()}
         assert found == {i: brute(t, items) for i, t, _ in rows}
@@ -48,3 +48,11 @@ def test_against_brute_force(spark):
     assert decontaminate.find_items(docs, bench.where("false")).where("n_hit > 0").count() == 0
     assert decontaminate.find_items(docs.where("false"), bench).count() == 0
     assert out.select(F.sum("n_words")).first()[0] == sum(len(words(t)) for t in texts)
+
+
+def test_one_item_with_many_rows_is_dealt_to_several_shards(spark):
+    rows = [(1, " ".join(f"w{n}x{i}" for i in range(20))) for n in range(50)]
+    bench = spark.createDataFrame(rows, "item_id bigint, text string")
+    docs = spark.createDataFrame([(n, t, "x") for n, (_, t) in enumerate(rows)] + [(None, rows[0][1], "x")], "doc_id bigint, text string, items string")
+    out = decontaminate.find_items(docs, bench, shard_bytes=20_000)
+    assert [(r["n_words"], r["n_hit"], r["items"]) for r in out.collect()] == [(20, 20, ["1"])] * 51
