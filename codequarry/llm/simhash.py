@@ -3,8 +3,9 @@
 Two fingerprints that differ in at most 3 of 64 bits differ in at most 3 of their 8 bytes, so they share
 at least 5 positional bytes. Every 5 of the 8 positions hold 3 positions that lie in the same half of the fingerprint, hence
 posting lists keyed by the 8 triples within a half see each such pair, and pairs that share fewer than 3 bytes of a half are never formed.
-Within a posting list the shared positional bytes of each pair are tallied; pairs below 5 are dropped and the
-rest verified by their differing bits.
+Lists of single positions would each hold a 256th of all fingerprints. Within a posting list
+the shared positional bytes of each pair are tallied over all 8 positions; pairs below 5 are dropped, and only those that reach it are
+verified by their differing bits.
 
 Posting lists over BLOCK fingerprints are split into blocks and compared block by block in separate tasks. A
 task returns the links of its lists as a spanning forest (a row per linked fingerprint), not as all pairs: no link is lost for
@@ -32,6 +33,7 @@ LEAST_BYTES = 8 - MOST_BITS
 TRIPLES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
 BLOCK = 1024
 _LANES = np.uint64(0x0101010101010101)
+_LOW = np.uint64(0x7F7F7F7F7F7F7F7F)
 
 
 def shingle_hashes(text: bytes | None, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -95,13 +97,20 @@ def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return nodes[moved], nodes[label[moved]]
 
 
-def _linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Count filter on positional bytes, then verification on bits."""
+def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The tally of each pair: at how many of the 8 positions the bytes are equal."""
     differ = (a ^ b).view(np.uint64)
-    shared = np.zeros(differ.shape, np.uint8)
-    for byte in range(8):
-        shared += (differ >> np.uint64(8 * byte)) & np.uint64(255) == 0
-    return (shared >= LEAST_BYTES) & (np.bitwise_count(differ) <= MOST_BITS)
+    # the high bit of a byte ends up set if any bit of the byte is
+    unlike = ((differ & _LOW) + _LOW | differ) & ~_LOW
+    return 8 - np.bitwise_count(unlike)
+
+
+def _linked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Indices of the linked pairs of a and b (of one shape, or broadcast): the count filter on positional bytes, then the differing bits of those that pass it."""
+    at = np.nonzero(shared_bytes(a, b) >= LEAST_BYTES)
+    a, b = (np.broadcast_to(x, np.broadcast_shapes(a.shape, b.shape))[at] for x in (a, b))
+    near = np.bitwise_count((a ^ b).view(np.uint64)) <= MOST_BITS
+    return tuple(i[near] for i in at)
 
 
 def _links_of_runs(fp: np.ndarray, block: np.ndarray, starts: np.ndarray) -> tuple[list, list]:
@@ -116,7 +125,7 @@ def _links_of_runs(fp: np.ndarray, block: np.ndarray, starts: np.ndarray) -> tup
         i, j = at[:-step], at[step:]
         near = (run[i] == run[j]) & (one[i] | (block[i] != block[j]))
         i, j = i[near], j[near]
-        linked = _linked(fp[i], fp[j])
+        (linked,) = _linked(fp[i], fp[j])
         left.append(fp[i[linked]])
         right.append(fp[j[linked]])
     for start, size in zip(starts[sizes > 32].tolist(), sizes[sizes > 32].tolist()):
@@ -126,7 +135,7 @@ def _links_of_runs(fp: np.ndarray, block: np.ndarray, starts: np.ndarray) -> tup
         found: list = []
         for cut in range(0, len(rows), 256):
             part = rows[cut : cut + 256]
-            i, j = np.nonzero(_linked(part[:, None], columns[None, :]))
+            i, j = _linked(part[:, None], columns[None, :])
             found.append(np.stack([part[i], columns[j]]))
         a, b = np.concatenate(found, axis=1)
         a, b = spanning_forest(a, b)

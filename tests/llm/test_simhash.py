@@ -94,3 +94,29 @@ def test_components(spark):
     found = {r["node"]: r["root"] for r in connected_components(edges, "a", "b").collect()}
     assert found == {3: 3, 4: 3, 5: 3, 9: 3, 10: 3, 7: 7, 8: 7}
     assert connected_components(edges.where("false"), "a", "b").collect() == []
+
+
+def test_tallies_prune_before_bits_are_compared():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    a = rng.integers(-(2**63), 2**63, 4000)
+    flips = np.array([sum(1 << int(k) for k in set(rng.integers(0, 64, rng.integers(0, 9)))) for _ in a], np.uint64).view(np.int64)
+    b = a ^ flips
+    tally = simhash.shared_bytes(a, b)
+    octets = lambda v: v.astype("<i8").tobytes()
+    assert tally.tolist() == [sum(x == y for x, y in zip(octets(p), octets(q))) for p, q in zip(a, b)]
+    (linked,) = simhash._linked(a, b)
+    bits = np.array([int(f).bit_count() for f in flips.view(np.uint64)])
+    assert linked.tolist() == np.flatnonzero(bits <= 3).tolist()
+    # the tally loses no link, and drops pairs that are none
+    assert (tally[bits <= 3] >= simhash.LEAST_BYTES).all() and (tally < simhash.LEAST_BYTES).any() and ((tally >= simhash.LEAST_BYTES) & (bits > 3)).any()
+    i, j = simhash._linked(a[:50, None], b[None, :50])
+    assert sorted(zip(i.tolist(), j.tolist())) == [(x, y) for x in range(50) for y in range(50) if (int(a[x]) ^ int(b[y])).bit_count() <= 3]
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i % 977}q{i}" for i in range(150_000))
+    rows = [(1, long, "x"), (2, long + " tail", "y"), (3, "other words here", "z")]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string, fp string")).collect()}
+    assert found == {1: 1, 2: 1, 3: 3}
