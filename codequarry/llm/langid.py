@@ -4,8 +4,9 @@ A text's subwords are the runs of 2 to 4 bytes of its lower-cased letters, word
 embedding matrix; the mean of the rows goes through a linear layer and a softmax. Since mean and layer are
 linear, a trained model is scored from the product of embeddings and layer: one table row per bucket.
 
-Rejection is calibrated: a temperature is fitted on labelled texts that SGD has not seen, and the least confidence is the quantile
-of theirs that REJECT_RATE of them fall below, but never over MOST_DOUBT. A text without a letter is always rejected.
+Rejection is calibrated on a fifth of the sample, which SGD has not seen: a temperature is fitted on stretches of those texts of many lengths, so that the confidence is
+the chance of being right for short and long texts alike, and the least confidence is the one that REJECT_RATE of the whole texts fall below, but never over MOST_DOUBT.
+Samples with under LEAST_KEPT texts in that fifth are not calibrated and reject nothing but texts without a letter, which are always rejected.
 """
 
 from __future__ import annotations
@@ -25,9 +26,12 @@ WIDTH = 16
 ORDERS = (2, 3, 4)
 #: distinct texts that a model is fitted on, at most, in equal parts for the languages: the documented bound of the learning sample
 MOST_ROWS = 4000
-#: bytes of each of those rows that a step of SGD looks at (training only; scoring reads whole texts)
+#: characters of each of those texts that reach the driver, from a place that its hash decides, and bytes that a step of SGD looks at (training only; scoring reads whole texts)
+MOST_CHARS = 16_384
 STEP_BYTES = 1500
-REJECT_RATE = 0.0005
+#: share of labelled texts that may be rejected for doubt, and the number of texts that it takes to tell
+REJECT_RATE = 0.005
+LEAST_KEPT = 200
 MOST_DOUBT = 0.4
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F))
 #: ASCII other than letters becomes a border
@@ -89,15 +93,15 @@ class LanguageModel:
 
 
 def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 4, rate: float = 0.5) -> LanguageModel:
-    """rows: (text, language). A tenth is kept from SGD for calibration. Languages are balanced by weighting the steps."""
+    """rows: (text, language). A fifth is kept from SGD for calibration, if that is LEAST_KEPT texts or more. Languages are balanced by weighting the steps."""
     rows = [(t, y) for t, y in rows if t and y is not None and any(c.isalpha() for c in t)]
     languages = sorted({y for _, y in rows})
     rng = np.random.default_rng(seed)
     if len(languages) < 2:
         return LanguageModel(languages, np.zeros((BUCKETS, max(1, len(languages)))), np.zeros(max(1, len(languages))))
     rows = [rows[i] for i in rng.permutation(len(rows))]
-    kept = rows[: max(1, len(rows) // 10)] if len(rows) >= 20 else rows
-    learn = rows[len(kept) :] if len(rows) >= 20 else rows
+    kept = rows[: len(rows) // 5] if len(rows) // 5 >= LEAST_KEPT else []
+    learn = rows[len(kept) :]
     embed = rng.normal(0, 0.1, (BUCKETS, WIDTH))
     layer, bias = rng.normal(0, 0.1, (WIDTH, len(languages))), np.zeros(len(languages))
     of = {y: n for n, y in enumerate(languages)}
@@ -127,23 +131,37 @@ def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 4, rate: flo
             bias -= 0.01 * step * p
             embed[found] -= step * len(found) ** 0.5 * share_of[:, None] * back
     model = LanguageModel(languages, embed @ layer, bias)
-    scored = [(model.logits(t), of[y]) for t, y in kept]
-    scored = [(z, y) for z, y in scored if z is not None]
-    if scored:
-        z, y = np.array([s[0] for s in scored]), np.array([s[1] for s in scored])
-
-        def loss(temperature: float) -> float:
-            q = z / temperature
-            q = q - q.max(axis=1, keepdims=True)
-            return float((np.log(np.exp(q).sum(axis=1)) - q[np.arange(len(q)), y]).mean())
-
-        model.temperature = float(min(np.geomspace(0.25, 8, 41), key=loss))
-        q = z / model.temperature
-        top = np.exp(q - q.max(axis=1, keepdims=True))
-        model.least = float(min(np.quantile(top.max(axis=1) / top.sum(axis=1), REJECT_RATE), MOST_DOUBT))
+    if kept:
+        calibrate(model, kept, rng)
     return model
 
 
+def calibrate(model: LanguageModel, kept: list[tuple[str, str]], rng: np.random.Generator) -> None:
+    """Set the model's temperature and least confidence from texts that it has not learnt from."""
+    of = {y: n for n, y in enumerate(model.languages)}
+    whole = [(z, of[y]) for t, y in kept if y in of and (z := model.logits(t)) is not None]
+    parts = []
+    for text, y in kept:
+        for _ in range(4):
+            size = int(2 ** rng.uniform(3, 11))
+            at = int(rng.integers(0, max(1, len(text) - size + 1)))
+            if y in of and (z := model.logits(text[at : at + size])) is not None:
+                parts.append((z, of[y]))
+    if not whole:
+        return
+    z, y = np.array([s[0] for s in whole + parts]), np.array([s[1] for s in whole + parts])
+
+    def loss(temperature: float) -> float:
+        q = z / temperature
+        q = q - q.max(axis=1, keepdims=True)
+        return float((np.log(np.exp(q).sum(axis=1)) - q[np.arange(len(q)), y]).mean())
+
+    model.temperature = float(min(np.geomspace(0.25, 8, 41), key=loss))
+    q = z[: len(whole)] / model.temperature
+    top = np.exp(q - q.max(axis=1, keepdims=True))
+    model.least = float(min(np.quantile(top.max(axis=1) / top.sum(axis=1), REJECT_RATE), MOST_DOUBT))
+
+
 def quotas(counts: dict[str, int], most: int = MOST_ROWS) -> dict[str, int]:
     """Texts of each language in the sample: an equal share of `most`; what rarer languages leave over goes to the others. At least one for each."""
     out, left = {}, most
@@ -156,7 +174,7 @@ def quotas(counts: dict[str, int], most: int = MOST_ROWS) -> dict[str, int]:
 def learning_rows(docs: DataFrame, allowed, text_col: str, label_col: str, order: list, most: int = MOST_ROWS) -> list[tuple[str, str]]:
     """Distinct labelled texts, by quotas() for each label, picked by a hash of `order`, so that copies, partitioning and row order do not matter.
 
-    At most `most`, or one for each label if there are more labels. Distinct texts are counted by a sketch, which only sets how many rows are thinned out before the exact pick.
+    Of a text of over MOST_CHARS characters a stretch of that many is taken, from a place that its hash decides. At most `most`, or one for each label if there are more labels. Distinct texts are counted by a sketch, which only sets how many rows are thinned out before the exact pick.
     """
     labelled = docs.where(allowed & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(label_col).alias("y"), F.xxhash64(*order).alias("k"))
     counts = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.approx_count_distinct("k", 0.02).alias("n")).collect()}
@@ -172,7 +190,8 @@ def learning_rows(docs: DataFrame, allowed, text_col: str, label_col: str, order
     thin = labelled.join(F.broadcast(ends), "y").where(F.pmod("k", F.lit(1 << 20)) < F.col("bound"))
     distinct = thin.groupBy("y", "k", "quota").agg(F.min("t").alias("t"))
     picked = distinct.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy("k", "t"))).where("n <= quota")
-    return [(r["t"], r["y"]) for r in sorted(picked.select("t", "y", "k").collect(), key=lambda r: (r["k"], r["t"], r["y"]))]
+    stretch = F.substring(F.col("t"), (F.pmod("k", F.greatest(F.length("t") - F.lit(MOST_CHARS - 1), F.lit(1))) + 1).cast("int"), F.lit(MOST_CHARS))
+    return [(r["t"], r["y"]) for r in sorted(picked.select(stretch.alias("t"), "y", "k").collect(), key=lambda r: (r["k"], r["t"], r["y"]))]
 
 
 def learn(docs: DataFrame, allowed, text_col: str = "text", label_col: str = "lang") -> LanguageModel:

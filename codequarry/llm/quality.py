@@ -165,14 +165,15 @@ def features(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text") ->
 def learn(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", most: int = MOST_ROWS) -> Additive:
     """Fit on at most `most` labelled rows for which allowed holds, picked by a hash of the id.
 
-    Rows with a null id, label or text teach nothing; of repeated labels of an id the smallest counts. Only ids, labels and feature vectors of that sample reach
+    Rows with a null id, label or text teach nothing; of repeated labels of an id the smallest counts. Documents that share an id share its label; repeated ones count once, and
+    of over 2 * most that remain a hash of id and features picks. Only ids, labels and feature vectors of that sample reach
     the driver; its ids are broadcast, a size that `most` bounds.
     """
     key = F.xxhash64(id_col)
     usable = labels.where(allowed & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("__label"))
     sample = docs.sparkSession.createDataFrame(usable.orderBy(key, id_col).limit(most).collect(), usable.schema)
     rows = docs.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("__text")).join(F.broadcast(sample), id_col)
-    found = features(rows, (id_col, "__label"), "__text").orderBy(id_col, "features").limit(2 * most).collect()
+    found = features(rows, (id_col, "__label"), "__text").distinct().orderBy(F.xxhash64(id_col, "features"), id_col, "features").limit(2 * most).collect()
     x = np.array([r["features"] for r in found], np.float64).reshape(-1, len(FEATURES))
     return fit(x, np.array([float(r["__label"]) for r in found]))
 
