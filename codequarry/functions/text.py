@@ -9,8 +9,19 @@ from pyspark.sql import functions as F
 
 #: letters, digits and underscore, as they bound a word
 WORD = r"[\p{IsAlphabetic}\p{N}_]"
-#: one string literal of a line: ordinary, or raw with up to three hashes
-LITERAL = r'"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+"|r"[^"]*"|r#"(?s:.*?)"#|r##"(?s:.*?)"##|r###"(?s:.*?)"###'
+#: an ordinary string literal
+QUOTED = r'"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+"'
+
+
+def literal(group: int) -> str:
+    """A pattern for one string literal, ordinary or raw with any number of hashes; these are the capturing group of the given number."""
+    return rf'(?:{QUOTED}|r(#*+)"(?:(?!"\{group})(?s:.))*+"\{group})'
+
+
+#: what is before, in and after a literal, as the tiles of group 1
+_TILES = rf'({literal(2)}|[^"r]+|(?s:.))'
+#: the same where parentheses are tiles of their own
+_ARGUMENT_TILES = rf'({literal(2)}|[^"r()]+|(?s:.))'
 
 
 def size_in_bytes(text: Column) -> Column:
@@ -49,44 +60,54 @@ def words_at(line: Column, word: str, then: str = "") -> Column:
     return starts_of(line, f"(?<!{WORD}){re.escape(word)}(?!{WORD}){f'(?={then})' if then else ''}")
 
 
-def matches_of(line: Column, pattern: str, filler: str = "(?s:.)") -> Column:
-    """array<struct<column int, text string>>: matches that do not overlap, with their byte columns. filler covers what is between them; no groups that capture."""
-    tiles = F.regexp_extract_all(line, F.lit(f"({pattern}|{filler})"), 1)
-    at = F.transform(F.sequence(F.lit(1), F.size(tiles)), lambda i: F.struct((F.octet_length(F.array_join(F.slice(tiles, 1, i - 1), "")) + 1).alias("column"), F.element_at(tiles, i).alias("text")))
-    return F.filter(F.when(F.size(tiles) > 0, at), lambda t: t["text"].rlike(f"^(?:{pattern})$"))
-
-
 def literals_of(line: Column) -> Column:
     """array<struct<column int, value string>>: the string literals of a line, escapes dropped."""
-    return F.transform(matches_of(line, LITERAL, '[^"r]+|(?s:.)'), lambda t: F.struct(t["column"].alias("column"), literal_value(t["text"]).alias("value")))
+    tiles = F.regexp_extract_all(line, F.lit(_TILES), 1)
+    at = F.transform(F.sequence(F.lit(1), F.size(tiles)), lambda i: F.struct((F.octet_length(F.array_join(F.slice(tiles, 1, i - 1), "")) + 1).alias("column"), literal_value(F.element_at(tiles, i)).alias("value")))
+    return F.filter(F.when(F.size(tiles) > 0, at), lambda t: t["value"].isNotNull())
 
 
 def literal_value(text: Column) -> Column:
     """The value of text if it is one whole string literal, else null."""
     plain = F.regexp_replace(F.substring(text, F.lit(2), F.length(text) - 2), r"(?s)\\(.)", "$1")
     raw = F.regexp_extract(text, r'(?s)^r#*"(.*)"#*$', 1)
-    return F.when(text.rlike(f"^(?:{LITERAL})$"), F.when(text.startswith("r"), raw).otherwise(plain))
+    return F.when(text.rlike(f"^{literal(1)}\\z"), F.when(text.startswith("r"), raw).otherwise(plain))
 
 
-def contains_any(text: Column, markers: tuple[str, ...]) -> Column:
-    return text.rlike("|".join(re.escape(m) for m in markers))
+def closing_at(tiles: Column) -> Column:
+    """How many characters of the text that tiles make up come before the parenthesis that closes one opened before it; null if none does."""
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"), F.lit(-1).alias("end"))
 
+    def step(state: Column, tile: Column) -> Column:
+        depth = state["depth"] + F.when(tile == "(", 1).when(tile == ")", -1).otherwise(0)
+        return F.struct(depth.alias("depth"), (state["at"] + F.length(tile)).alias("at"), F.when((state["end"] < 0) & (depth == 0), state["at"]).otherwise(state["end"]).alias("end"))
 
-def balanced(depth: int = 5) -> str:
-    """A pattern for text whose parentheses match, nested to the given depth."""
-    inner = "[^()]*+"
-    for _ in range(depth):
-        inner = rf"[^()]*+(?:\({inner}\)[^()]*+)*+"
-    return inner
+    return F.aggregate(tiles, start, step, lambda state: F.when(state["end"] >= 0, state["end"]))
 
 
-def argument(depth: int = 5) -> str:
-    """A pattern for the rest of an argument list up to its closing parenthesis; parentheses in string literals do not count."""
-    plain = rf'(?:{LITERAL}|[^()])*+'
-    inner = plain
-    for _ in range(depth):
-        inner = rf"{plain}(?:\({inner}\){plain})*+"
-    return inner
+def argument_at(rest: Column) -> Column:
+    """The text of rest up to the parenthesis that closes an argument list, at any depth; parentheses in string literals do not count. Null if none does."""
+    return F.substring(rest, F.lit(1), closing_at(F.regexp_extract_all(rest, F.lit(_ARGUMENT_TILES), 1)))
+
+
+def calls_of(line: Column, call: str) -> Column:
+    """array<struct<column int, arg string>>: closed calls `call(...)` of a line that are in no other such call, with their byte columns; every parenthesis counts."""
+    pieces = F.split(line, rf"(?<={re.escape(call)}\()", -1)
+    tiles = lambda rest: F.regexp_extract_all(rest, F.lit(r"[()]|[^()]+"), 0)
+
+    def made(i: Column) -> Column:
+        head, rest = F.array_join(F.slice(pieces, F.lit(1), i), ""), F.array_join(F.slice(pieces, i + 1, F.size(pieces)), "")
+        arg = F.substring(rest, F.lit(1), closing_at(tiles(rest)))
+        begin = F.length(head)
+        return F.struct((F.octet_length(head) - len(call)).alias("column"), arg.alias("arg"), begin.alias("begin"), (begin + F.length(arg)).alias("end"))
+
+    closed = F.filter(F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), made), lambda c: c["arg"].isNotNull())
+    outer = F.filter(closed, lambda c: ~F.exists(closed, lambda o: (o["begin"] < c["begin"]) & (o["end"] > c["begin"])))
+    return F.when(F.size(pieces) > 1, F.transform(outer, lambda c: F.struct(c["column"].alias("column"), c["arg"].alias("arg"))))
+
+
+def contains_any(text: Column, markers: tuple[str, ...]) -> Column:
+    return text.rlike("|".join(re.escape(m) for m in markers))
 
 
 def assigned_name(line: Column) -> Column:

@@ -10,10 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: block comments may be nested so deep; the parts of deeper ones end at their first */
+COMMENT_DEPTH = 32
+
+
+def _block_comment() -> str:
+    """A pattern for a block comment and those nested in it; what is never closed goes to the end of the file."""
+    inside = r"(?:[^*]++|\*(?!/))*+"
+    for _ in range(COMMENT_DEPTH - 1):
+        inside = rf"(?:[^*/]++|\*(?!/)|/(?!\*)|/\*{inside}(?:\*/|\z))*+"
+    return rf"/\*{inside}(?:\*/|\z)"
+
+
 #: comments, raw strings, strings, character literals (a lifetime's quote opens one), identifiers, white space, path separators, single characters
 TOKEN = (
-    r"//[^\n]*|/\*(?s:.*?)(?:\*/|\z)"
-    r"|r\"(?s:[^\"]*)(?:\"|\z)|r(#{1,3})\"(?s:.*?)(?:\"\1|\z)"
+    rf"//[^\n]*|{_block_comment()}"
+    r"|r(#*+)\"(?:(?!\"\1)(?s:.))*+(?:\"\1|\z)"
     r"|\"[^\"\\]*+(?:\\(?s:.)[^\"\\]*+)*+(?:\"|\\?\z)|'[^'\\]*+(?:\\(?s:.)[^'\\]*+)*+(?:'|\\?\z)"
     r"|[A-Za-z_][A-Za-z0-9_]*|[ \t\r\n\f]+|::|(?s:.)"
 )
@@ -51,33 +63,54 @@ def raw_tokens(files: DataFrame) -> DataFrame:
 def _kind(text: Column) -> Column:
     return (
         F.when(text.rlike(r"^(//|/\*)"), "comment")
-        .when(text.rlike(r'^(r#{0,3}"|"|\')'), "literal")
+        .when(text.rlike(r'^(r#*"|"|\')'), "literal")
         .when(text.rlike(r"^[A-Za-z_]"), "ident")
         .when(text.rlike(r"^[ \t\r\n\f]"), "space")
         .otherwise("mark")
     )
 
 
-def tokens_of(files: DataFrame) -> DataFrame:
-    """Tokens without white space: path, idx, text, kind, start (byte offset), line, col, gap and the depths of (), [] and {} before the token.
+def _placed(files: DataFrame) -> DataFrame:
+    """All tokens with what one pass in order gives: kind, start, line, depths, and the tokens around.
 
-    gap is the white space before the token, "" if there is none. idx also counts white space, so neighbours that touch have consecutive numbers.
+    before, gap, gap_after and after: the white space that touches the token on either side ("" if none), and the next tokens beyond it (null if none).
     """
     window = Window.partitionBy("path").orderBy("idx")
     past = window.rowsBetween(Window.unboundedPreceding, -1)
     text = F.col("text")
     size, newlines = F.octet_length(text), F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    placed = raw_tokens(files).withColumn("kind", _kind(text)).withColumn("start", F.coalesce(F.sum(size).over(past), F.lit(0)))
-    line_start = F.col("start") + size - F.octet_length(F.regexp_extract(text, r"[^\n]*\z", 0))
 
     def depth(opening: str, closing: str) -> Column:
         return F.coalesce(F.sum(F.when(text == opening, 1).when(text == closing, -1).otherwise(0)).over(past), F.lit(0))
 
-    return (
-        placed.withColumn("line", (1 + F.coalesce(F.sum(newlines).over(past), F.lit(0))).cast("int"))
-        .withColumn("col", (F.col("start") - F.coalesce(F.max(F.when(newlines > 0, line_start)).over(past), F.lit(0)) + 1).cast("int"))
-        .withColumns({"parens": depth("(", ")"), "brackets": depth("[", "]"), "braces": depth("{", "}")})
-        .withColumn("gap", F.when(F.lag("kind").over(window) == "space", F.lag("text").over(window)).otherwise(""))
-        .where("kind <> 'space'")
-        .withColumn("end", F.col("start") + size)
-    )
+    def is_space(token: Column) -> Column:
+        return token.rlike(r"^[ \t\r\n\f]")
+
+    (p1, p2), (n1, n2) = ([step("text", k).over(window) for k in (1, 2)] for step in (F.lag, F.lead))
+    return raw_tokens(files).withColumns(
+        {
+            "kind": _kind(text), "start": F.coalesce(F.sum(size).over(past), F.lit(0)), "line": (1 + F.coalesce(F.sum(newlines).over(past), F.lit(0))).cast("int"),
+            "parens": depth("(", ")"), "brackets": depth("[", "]"), "braces": depth("{", "}"),
+            "gap": F.when(is_space(p1), p1).otherwise(""), "before": F.when(is_space(p1), p2).otherwise(p1),
+            "gap_after": F.when(is_space(n1), n1).otherwise(""), "after": F.when(is_space(n1), n2).otherwise(n1),
+        }
+    ).withColumns({"end": F.col("start") + size, "line_from": F.when(newlines > 0, F.col("start") + size - F.octet_length(F.regexp_extract(text, r"[^\n]*\z", 0)))})
+
+
+def _columned(placed: DataFrame) -> Column:
+    """The byte column of each token, from the last line that began before it."""
+    past = Window.partitionBy("path").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    return (F.col("start") - F.coalesce(F.max("line_from").over(past), F.lit(0)) + 1).cast("int")
+
+
+def tokens_of(files: DataFrame, **marks: Column) -> DataFrame:
+    """Tokens without white space: path, idx, text, kind, start and end (byte offsets), line, col, gap and the depths of (), [] and {} before the token.
+
+    gap is the white space before the token, "" if there is none. idx also counts white space, so neighbours that touch have consecutive numbers. marks: for each name a
+    column over the tokens, and over before, after and gap_after; the result then has these three too, and under the name the last value so far that is not null.
+    """
+    so_far = Window.partitionBy("path").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    placed = _placed(files)
+    out = placed.withColumns({"col": _columned(placed)} | {name: F.last(mark, True).over(so_far) for name, mark in marks.items()})
+    around = ["before", "after", "gap_after", *marks] if marks else []
+    return out.where("kind <> 'space'").select("path", "idx", "text", "kind", "start", "end", "line", "col", "gap", "parens", "brackets", "braces", *around)

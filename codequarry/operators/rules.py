@@ -20,6 +20,9 @@ from codequarry.storage import discard, keep
 
 #: rules that read tokens: their views are worth sharing even for one rule
 TOKEN_RULES = frozenset({63, 64, 65, 75, 76, 77, 78, 79, 101, 121, 122})
+#: stored bytes that a partition of sources is to come from, and the number that a source of unknown size (reported as enormous) is held to
+PARTITION_BYTES = 16 << 20
+MOST_PARTITIONS = 1 << 20
 CANDIDATE = ["path", "rule_id", "line", "column", "message", "anchor_line", "snippet", "code_only"]
 
 # fixed values: the markers that the rules look for
@@ -47,9 +50,16 @@ class Views:
     def __init__(self, files: DataFrame, settings: Settings = Settings(), share: bool = False):
         self.settings, self.share, self.held = settings, share, []
         #: dealt by path; windows and joins below are on path too. The number is given, for tokens are many times the size of the contents by which partitions would be merged
+        self.files = self.shared(files.select("path", "content").where("content is not null"), "sources").repartition(self.spread(files), "path")
+
+    @staticmethod
+    def spread(files: DataFrame) -> int:
+        """Partitions for a scan: one for each PARTITION_BYTES that the plan of files reads, by the sizes that its sources report, but not under the cluster's cores or the shuffle's number, the smaller one."""
         session = files.sparkSession
-        spread = min(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
-        self.files = self.shared(files.select("path", "content").where("content is not null"), "sources").repartition(spread, "path")
+        leaves = files._jdf.queryExecution().optimizedPlan().collectLeaves()
+        size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+        least = min(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+        return max(least, min(-(-size // PARTITION_BYTES), MOST_PARTITIONS))
 
     def shared(self, df: DataFrame, name: str) -> DataFrame:
         if not self.share:
@@ -81,7 +91,7 @@ class Views:
 
     @cached_property
     def call_arguments(self) -> DataFrame:
-        return self.shared(syntax.inner_text(self.chains[1], self.files, "open_idx", "close_idx", "args"), "arguments")
+        return self.shared(syntax.inner_text(self.chains[1], self.files, "open_start", "close_start", "args"), "arguments")
 
     @cached_property
     def test_functions(self) -> DataFrame:
@@ -89,7 +99,9 @@ class Views:
 
     @cached_property
     def declarations(self) -> DataFrame:
-        return self.shared(syntax.declarations(self.tokens), "declarations")
+        # lexed anew: the tokens arrive dealt and in order, which a table of them would not be
+        found = self.shared(syntax.statements(self.files), "statements")
+        return self.shared(syntax.declarations(found), "declarations")
 
     @cached_property
     def regex_sites(self) -> DataFrame:
@@ -136,8 +148,7 @@ def _traversal(line: Column) -> Column:
     """array<struct<column, what>> of literal .. segments given to join, push and PathBuf::from."""
 
     def calls(call: str) -> Column:
-        made = T.matches_of(line, rf"{re.escape(call)}\({T.balanced()}\)", r"[^.]+|(?s:.)")
-        risky = F.filter(made, lambda m: F.substring(m["text"], len(call) + 2, 1 << 30).contains("..") & m["text"].rlike("[\"']"))
+        risky = F.filter(T.calls_of(line, call), lambda m: m["arg"].contains("..") & m["arg"].rlike("[\"']"))
         return F.when(line.contains(call + "("), F.transform(risky, lambda m: F.struct(m["column"].alias("column"), F.lit(call).alias("what"))))
 
     found = [calls(".join"), calls(".push")]
@@ -213,7 +224,8 @@ def manual_clamp(views: Views) -> DataFrame:
 
 
 def unused_bindings(views: Views, binding: str) -> DataFrame:
-    left = syntax.unused(views.tokens, views.declarations.where(F.col("binding") == binding))
+    declared = views.declarations.where(F.col("binding") == binding)
+    left = syntax.unused(syntax.uses_of(views.files, declared), declared)
     number, word = (63, "variable") if binding == "let" else (64, "constant")
     return _candidates(left, views.id_of(number), "line", "col", F.concat(F.lit(f"unused {word} `"), F.col("name"), F.lit("`")))
 
@@ -227,7 +239,7 @@ def _test_facts(views: Views) -> DataFrame:
     called = syntax.within(views.invocations, views.test_functions.select("path", F.col("open_idx").alias("body"), F.col("close_idx").alias("body_end")), "idx", "body", "body_end").where("body is not null and idx > body and idx < body_end")
     product = views.settings.product
     asks = (F.col("kind") == "macro") & (F.col("name") == "env") | (F.col("kind") == "call") & F.col("name").isin("Command::new", "std::process::Command::new")
-    asked = syntax.inner_text(called.where(asks), views.files, "open_idx", "close_idx", "args")
+    asked = syntax.inner_text(called.where(asks), views.files, "open_start", "close_start", "args")
     binary = F.when(F.col("kind") == "macro", F.col("args").contains(f'"CARGO_BIN_EXE_{product}"')).otherwise(T.trim_start(F.col("args")).startswith(f'"{product}"'))
     indirect = asked.where(binary).select("path", "body").distinct().withColumn("indirect", F.lit(True))
     is_assert = (F.col("kind") == "macro") & F.col("name").isin(*ASSERT_MACROS)
@@ -253,7 +265,7 @@ def fallible_rules(views: Views) -> dict[int, DataFrame]:
     tests = views.test_functions.select("path", F.col("line").alias("test_line"), F.col("end_line").alias("test_end"))
     calls = views.invocations.where(F.col("kind") == "call").where(~F.col("path").rlike("(^|/)tests/")).where(F.col("method").isin(*UNWRAP_CALLS, "map_err", "or_else"))
     outside = syntax.within(calls, tests, "line", "test_line", "test_end").where("test_line is null")
-    erased = syntax.inner_text(outside.where(F.col("method").isin("map_err", "or_else")), views.files, "open_idx", "close_idx", "args").where(T.trim_start(F.col("args")).startswith("|_|"))
+    erased = syntax.inner_text(outside.where(F.col("method").isin("map_err", "or_else")), views.files, "open_start", "close_start", "args").where(T.trim_start(F.col("args")).startswith("|_|"))
     return {
         76: _candidates(outside.where(F.col("method").isin(*UNWRAP_CALLS)), views.id_of(76), "line", "col", F.concat(F.lit("non-test code uses `"), F.col("method"), F.lit("`")), code_only=True),
         77: _candidates(erased, views.id_of(77), "line", "col", F.lit("error mapping erases the original error value"), code_only=True),
@@ -285,19 +297,26 @@ def regex_sites(lines: DataFrame) -> DataFrame:
     each = near.withColumn("pieces", pieces).withColumn("later", later).select("path", "line", "later", "pieces", F.explode(F.sequence(F.lit(1), F.size("pieces") - 1)).alias("n"))
     column = F.octet_length(F.array_join(F.slice("pieces", F.lit(1), F.col("n")), "")) + 1
     rest = F.concat(F.array_join(F.slice("pieces", F.col("n") + 1, F.size("pieces")), ""), F.col("later"))
-    arg = T.trim(F.regexp_extract("rest", rf"^({T.argument()})\)", 1))
-    sited = each.withColumn("column", column).withColumn("rest", rest).where(F.col("rest").rlike(rf"^{T.argument()}\)")).withColumn("arg", arg)
+    sited = each.withColumn("column", column).withColumn("arg", T.trim(T.argument_at(rest))).where("arg is not null")
     return sited.select("path", "line", "column", "arg", T.literal_value(F.col("arg")).alias("pattern")).distinct()
 
 
-def nested_quantifier() -> str:
-    """A pattern for regexes in which a repeated group repeats something itself; groups nested three deep are seen."""
-    item = r"(?:\\.|\[[^\]]*\]|[^()\\\[])"
-    inside, holds = rf"{item}*", rf"{item}*[*+{{]{item}*"
-    for _ in range(3):
-        group, repeated = rf"\({inside}\)", rf"\({holds}\)"
-        inside, holds = rf"(?:{item}|{group})*", rf"(?:{item}|{group})*(?:[*+{{]|{repeated})(?:{item}|{group})*"
-    return rf"\({holds}\)[*+{{]"
+def nested_quantifier(pattern: Column) -> Column:
+    """Whether the regex repeats a group that repeats something itself, however deep; escaped characters and character classes do not count.
+
+    One pass over the characters: the state has a digit for each open group, 1 once something in it is repeated.
+    """
+    start = F.struct(F.lit("").alias("open"), F.lit(False).alias("within"), F.lit(False).alias("closed"), F.lit(False).alias("hit"))
+
+    def step(state: Column, x: Column) -> Column:
+        plain, held = ~state["within"], state["open"]
+        opens, closes = plain & (x == "("), plain & (x == ")") & (held != "")
+        repeats = x.isin("*", "+", "{")
+        inner = F.when(opens, F.concat(held, F.lit("0"))).when(closes, F.substring(held, F.lit(1), F.length(held) - 1)).when(plain & repeats, F.replace(held, F.lit("0"), F.lit("1"))).otherwise(held)
+        within = F.when(x == "[", True).when(x == "]", False).otherwise(state["within"])
+        return F.struct(inner.alias("open"), within.alias("within"), (closes & held.endswith("1")).alias("closed"), (state["hit"] | (state["closed"] & repeats)).alias("hit"))
+
+    return F.aggregate(F.regexp_extract_all(pattern, F.lit(r"\\?(?s:.)"), 0), start, step, lambda state: state["hit"])
 
 
 def suspicious(pattern: Column) -> Column:
@@ -309,8 +328,7 @@ def suspicious(pattern: Column) -> Column:
 
 def dynamic(arg: Column) -> Column:
     """Neither a whole string literal nor concat! of such; the parts of concat! are cut at its commas."""
-    literal = rf"(?:{T.LITERAL})"
-    static = arg.rlike(rf"^concat!\(\s*(?:{literal}\s*(?:,\s*{literal}\s*)*,?\s*)?\)$")
+    static = arg.rlike(rf"^concat!\(\s*(?:{T.literal(1)}\s*(?:,\s*{T.literal(2)}\s*)*,?\s*)?\)\z")
     return (arg != "") & T.literal_value(arg).isNull() & ~static
 
 
@@ -335,7 +353,7 @@ def regex_rules(views: Views) -> dict[int, DataFrame]:
     first = Window.partitionBy("path", "at").orderBy("line", "column", "value")
     nearby = reach.join(without, ["path", "at"]).withColumn("n", F.row_number().over(first)).where("n = 1").select(*own.columns)
     return {
-        80: _candidates(sites.where(F.col("pattern").rlike(nested_quantifier())), views.id_of(80), "line", "column", F.concat(F.lit("suspicious nested regex quantifier in pattern `"), F.col("pattern"), F.lit("`"))),
+        80: _candidates(sites.where(nested_quantifier(F.col("pattern"))), views.id_of(80), "line", "column", F.concat(F.lit("suspicious nested regex quantifier in pattern `"), F.col("pattern"), F.lit("`"))),
         81: _candidates(sites.where(suspicious(F.col("pattern"))), views.id_of(81), "line", "column", F.concat(F.lit("suspicious regex pattern `"), F.col("pattern"), F.lit("`"))),
         82: _candidates(sites.where(dynamic(F.col("arg"))), views.id_of(82), "line", "column", F.lit("dynamic regex pattern construction found")),
         83: _candidates(own.unionByName(nearby), views.id_of(83), "line", "column", quoted, anchor="at"),
@@ -354,7 +372,7 @@ def _literal_of(arg: Column, allowed: tuple[str, ...]) -> Column:
 
 def shell_injection(views: Views) -> DataFrame:
     chains = views.chains[0].where(F.col("root").endswith("Command::new") & F.col("args_close").isNotNull())
-    shells = syntax.inner_text(chains, views.files, "args_open", "args_close", "root_args").where(_literal_of(F.col("root_args"), SHELLS)).select("path", "root_idx", F.col("line").alias("chain_line"))
+    shells = syntax.inner_text(chains, views.files, "args_from", "args_to", "root_args").where(_literal_of(F.col("root_args"), SHELLS)).select("path", "root_idx", F.col("line").alias("chain_line"))
     calls = views.call_arguments.where(F.col("name").isin("arg", "args")).join(shells, ["path", "root_idx"]).join(env_bound(views.lines), "path", "left")
     words = F.regexp_extract_all("args", F.lit(f"{T.WORD}+"), 0)
     risky = T.contains_any(F.col("args"), DYNAMIC_MARKERS + ENV_MARKERS) | F.coalesce(F.arrays_overlap(words, "names"), F.lit(False))

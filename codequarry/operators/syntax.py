@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codequarry.operators import lexer
+
 TEST_MARKERS = ("#[test]", "#[tokio::test]", "#[actix_rt::test]", "#[actix_web::test]", "#[async_std::test]")  # fixed values
 
 
@@ -16,31 +18,25 @@ def _order(*partition: str):
 
 
 def partners(tokens: DataFrame, opening: str, closing: str, depth: str) -> DataFrame:
-    """(path, open_idx, close_idx, close_start, close_line) of matching delimiters.
+    """(path, open_idx, open_start, close_idx, close_start, close_line) of matching delimiters; starts are byte offsets.
 
     Opener and closer of one pair follow each other among the delimiters of their level.
     """
     pairs = tokens.where(F.col("text").isin(opening, closing)).withColumn("level", F.col(depth) - F.when(F.col("text") == closing, 1).otherwise(0))
     window = _order("level")
-    led = pairs.select("path", F.col("idx").alias("open_idx"), "text", *[F.lead(c).over(window).alias(f"close_{c}") for c in ("idx", "start", "line", "text")])
+    led = pairs.select("path", F.col("idx").alias("open_idx"), F.col("start").alias("open_start"), "text", *[F.lead(c).over(window).alias(f"close_{c}") for c in ("idx", "start", "line", "text")])
     return led.where((F.col("text") == opening) & (F.col("close_text") == closing)).drop("text", "close_text")
 
 
 def inner_text(spans: DataFrame, files: DataFrame, first: str, last: str, into: str) -> DataFrame:
-    """spans with the content strictly between the tokens `first` and `last`; null where last is."""
-    words = files.select("path", F.regexp_extract_all("content", F.lit(_token()), 0).alias("__tokens"))
-    inside = F.array_join(F.slice("__tokens", F.col(first) + 2, F.col(last) - F.col(first) - 1), "")
-    return spans.join(words, "path").withColumn(into, F.when(F.col(last).isNotNull(), inside)).drop("__tokens")
-
-
-def _token() -> str:
-    from codequarry.operators.lexer import TOKEN
-
-    return TOKEN
+    """spans with the content strictly between two delimiters of one byte, given by columns of their byte offsets; null where last is."""
+    whole = files.select("path", F.col("content").cast("binary").alias("__bytes"))
+    inside = F.substring("__bytes", (F.col(first) + 2).cast("int"), (F.col(last) - F.col(first) - 1).cast("int")).cast("string")
+    return spans.join(whole, "path").withColumn(into, F.when(F.col(last).isNotNull(), inside)).drop("__bytes")
 
 
 def invocations(tokens: DataFrame) -> DataFrame:
-    """(path, idx, line, col, name, method, kind, open_idx, close_idx): paths of identifiers followed by ( or !.
+    """(path, idx, line, col, name, method, kind, open_idx, close_idx, open_start, close_start): paths of identifiers followed by ( or !.
 
     An identifier continues a path if . or :: and an identifier precede it, white space allowed, comments not. name is the path without white space, method what follows its
     last dot. open_idx is the parenthesis, for a macro only one that touches the !; close_idx is null where it is never closed.
@@ -60,16 +56,16 @@ def invocations(tokens: DataFrame) -> DataFrame:
     ends = named.where(F.col("n1").isin("(", "!"))
     opened = F.when(F.col("n1") == "(", F.col("n1_idx")).when((F.col("n2") == "(") & (F.col("n2_idx") == F.col("n1_idx") + 1), F.col("n2_idx"))
     called = ends.select("path", F.col("first_idx").alias("idx"), F.col("first_line").alias("line"), F.col("first_col").alias("col"), "name", "method", F.when(F.col("n1") == "(", "call").otherwise("macro").alias("kind"), opened.alias("open_idx"))
-    closed = partners(tokens, "(", ")", "parens").select("path", "open_idx", "close_idx")
+    closed = partners(tokens, "(", ")", "parens").drop("close_line")
     return called.join(closed, ["path", "open_idx"], "left")
 
 
 def chain_parts(tokens: DataFrame) -> DataFrame:
-    """Identifiers that may take part in method chains: path, idx, text, line, col, call, head (idx, line, col of the root's first segment), root, args_open, args_close and `of`, the root (idx, line, col) they belong to.
+    """Identifiers that may take part in method chains: path, idx, text, line, col, call, head (idx, line, col of the root's first segment), root, args_open, args_close, their byte offsets args_from and args_to, and `of`, the root (idx, line, col) they belong to.
 
     White space and comments may stand between the parts of a chain, not inside a root.
     """
-    closed = partners(tokens, "(", ")", "parens").select("path", F.col("open_idx").alias("idx"), "close_idx")
+    closed = partners(tokens, "(", ")", "parens").select("path", F.col("open_idx").alias("idx"), "close_idx", "close_start")
     stream = tokens.where("kind <> 'comment'").join(closed, ["path", "idx"], "left")
     touching = _order()
     segment = stream.withColumn("inner", (F.col("kind") == "ident") & (F.lag("text").over(touching) == "::") & (F.lag("kind", 2).over(touching) == "ident") & (F.lag("idx", 2).over(touching) == F.col("idx") - 2))
@@ -84,23 +80,23 @@ def chain_parts(tokens: DataFrame) -> DataFrame:
     levels = rooted.withColumn("at", F.explode(F.array_compact(F.array(own, cut)))).withColumns({"level": F.col("at.level"), "mark": F.col("at.mark")}).withColumn("kind", F.when(F.col("mark") == "cut", "cut").otherwise(F.col("kind")))
     window = _order("level")
     seen = levels.withColumns(
-        {"p1": F.lag("mark").over(window), "p2": F.lag("mark", 2).over(window), "k2": F.lag("kind", 2).over(window), "k4": F.lag("kind", 4).over(window), "p3": F.lag("mark", 3).over(window), "n1": F.lead("mark").over(window), "n1_idx": F.lead("idx").over(window), "n1_close": F.lead("close_idx").over(window)}
+        {"p1": F.lag("mark").over(window), "p2": F.lag("mark", 2).over(window), "k2": F.lag("kind", 2).over(window), "k4": F.lag("kind", 4).over(window), "p3": F.lag("mark", 3).over(window), "n1": F.lead("mark").over(window), "n1_idx": F.lead("idx").over(window), "n1_close": F.lead("close_idx").over(window), "n1_from": F.lead("start").over(window), "n1_to": F.lead("close_start").over(window)}
     ).where("kind <> 'cut'")
     attached = (F.col("k2") == "ident") | ((F.col("p2") == ")") & (F.col("p3") == "(") & (F.col("k4") == "ident"))
     has_args = (F.col("n1") == "(") & F.col("n1_close").isNotNull()
     seen = seen.withColumn("call", F.coalesce((F.col("kind") == "ident") & (F.col("p1") == ".") & has_args & attached, F.lit(False)))
     seen = seen.withColumn("of", F.last(F.when((F.col("kind") == "ident") & ~F.col("call"), F.col("head")), True).over(window.rowsBetween(Window.unboundedPreceding, 0)))
-    return seen.where("kind = 'ident'").select("path", "idx", "text", "line", "col", "call", "head", "root", F.when(has_args, F.col("n1_idx")).alias("args_open"), F.when(has_args, F.col("n1_close")).alias("args_close"), "of")
+    return seen.where("kind = 'ident'").select("path", "idx", "text", "line", "col", "call", "head", "root", F.when(has_args, F.col("n1_idx")).alias("args_open"), F.when(has_args, F.col("n1_close")).alias("args_close"), F.when(has_args, F.col("n1_from")).alias("args_from"), F.when(has_args, F.col("n1_to")).alias("args_to"), "of")
 
 
 def chain_calls(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(chains, calls) of method chains `root::path(args).name(args).name(args)`, from chain_parts().
 
-    chains: path, root_idx, root, line, col, args_open, args_close (null without root arguments), end_idx, n_calls. calls: path, root_idx, idx, name, line, col, open_idx,
-    close_idx. A chain inside the arguments of a chain with calls is left out.
+    chains: path, root_idx, root, line, col, args_open, args_close, args_from, args_to (null without root arguments), end_idx, n_calls. calls: path, root_idx, idx, name, line,
+    col, open_idx, close_idx, open_start, close_start. A chain inside the arguments of a chain with calls is left out.
     """
-    roots = parts.where("not call").select("path", F.col("head.idx").alias("root_idx"), "root", F.col("head.line").alias("line"), F.col("head.col").alias("col"), F.col("idx").alias("root_end"), "args_open", "args_close")
-    calls = parts.where("call").select("path", F.col("of.idx").alias("root_idx"), "idx", F.col("text").alias("name"), "line", "col", F.col("args_open").alias("open_idx"), F.col("args_close").alias("close_idx"))
+    roots = parts.where("not call").select("path", F.col("head.idx").alias("root_idx"), "root", F.col("head.line").alias("line"), F.col("head.col").alias("col"), F.col("idx").alias("root_end"), "args_open", "args_close", "args_from", "args_to")
+    calls = parts.where("call").select("path", F.col("of.idx").alias("root_idx"), "idx", F.col("text").alias("name"), "line", "col", F.col("args_open").alias("open_idx"), F.col("args_close").alias("close_idx"), F.col("args_from").alias("open_start"), F.col("args_to").alias("close_start"))
     tally = calls.groupBy("path", "root_idx").agg(F.count(F.lit(1)).alias("n_calls"), F.max("close_idx").alias("last_close"))
     # a root's last segment stands for the root; earlier segments are not ends of it
     last = Window.partitionBy("path", "root_idx").orderBy(F.col("root_end").desc())
@@ -122,12 +118,10 @@ def test_functions(tokens: DataFrame) -> DataFrame:
     marked = tokens.join(brackets, ["path", "idx"], "left").withColumn("opens", (F.col("text") == "[") & (F.lag("text").over(window) == "#") & (F.lag("idx").over(window) == F.col("idx") - 1))
     attribute_end = F.max(F.when(F.col("opens"), F.coalesce("close_idx", F.lit(2**31 - 1)))).over(window.rowsBetween(Window.unboundedPreceding, 0))
     marked = marked.withColumn("in_attribute", F.coalesce((F.col("idx") <= attribute_end), F.lit(False)) | ((F.col("text") == "#") & F.coalesce(F.lead("opens").over(window), F.lit(False))))
-    after = F.concat(*[F.coalesce(F.lead("text", n).over(window), F.lit("")) for n in (1, 2, 3, 4)])
     touching = F.lead("idx", 2).over(window) == F.col("idx") + 2
     texts = [m[2:] for m in TEST_MARKERS]
     five = F.concat(F.lead("text", 1).over(window), F.lead("text", 2).over(window), F.lead("text", 3).over(window), F.lead("text", 4).over(window))
     is_test = F.col("opens") & ((F.concat(F.lead("text", 1).over(window), F.lead("text", 2).over(window)).isin(*texts) & touching) | (five.isin(*texts) & (F.lead("idx", 4).over(window) == F.col("idx") + 4)))
-    del after
     noted = marked.withColumn("marker", F.last(F.when(is_test, F.struct("idx", "line")), True).over(window.rowsBetween(Window.unboundedPreceding, 0)))
     core = noted.where("not in_attribute and kind not in ('comment', 'literal')")
     core = core.withColumn("before_idx", F.coalesce(F.lag("idx").over(window), F.lit(-1))).withColumn("n_open", F.sum(F.when(F.col("text") == "{", 1).otherwise(0)).over(window))
@@ -154,58 +148,83 @@ def within(points: DataFrame, intervals: DataFrame, at: str, first: str, last: s
     return found.withColumn("held", F.when(F.col("__held.last") >= F.col(at), F.col("__held"))).select(*points.columns, F.col("held.first").alias(first), F.col("held.last").alias(last))
 
 
-def declarations(tokens: DataFrame) -> DataFrame:
-    """(path, binding, name, idx, line, col, after, scope_end): names bound by statements that begin a line with let, const or pub const.
+def statements(files: DataFrame) -> DataFrame:
+    """What declarations() reads, from one pass over the tokens in order: those that begin a line with let, const or pub const, every ; and }, and the tokens of each statement
+    before its first =.
+
+    begins and in_head tell them apart; heads carry their statement_idx and its word. before, after and gap_after are the tokens around and the white space behind.
+    """
+    text = F.col("text")
+    starts = (text.isin("let", "const") | ((text == "pub") & (F.col("after") == "const"))) & F.col("gap_after").startswith(" ")
+    begins = starts & (F.col("gap").contains("\n") | F.col("before").isNull())
+    mark = F.when(begins, F.struct("idx", text.alias("word"))).when(text.contains("=") & (F.col("kind") != "comment"), F.struct(F.lit(-1).alias("idx"), F.lit("=").alias("word")))
+    marked = lexer.tokens_of(files, mark=mark).withColumns({"begins": F.coalesce(begins, F.lit(False)), "statement_idx": F.col("mark.idx"), "word": F.col("mark.word")})
+    marked = marked.withColumn("in_head", ~F.col("begins") & F.coalesce(F.col("statement_idx") >= 0, F.lit(False)))
+    return marked.where(F.col("begins") | F.col("in_head") | text.isin(";", "}")).drop("mark", "start", "end", "gap")
+
+
+def declarations(found: DataFrame) -> DataFrame:
+    """(path, binding, name, idx, line, col, after, scope_end, parens, brackets, braces): names bound by statements that begin a line with let, const or pub const, from statements().
 
     binding is let or const. after: the token that ends the statement, its ; at the depth of its beginning. scope_end: the brace that closes the block around it; both far
-    beyond the file's tokens where there is none. A let with one of ( { [ , before its = binds the identifiers of the pattern, but path segments, field names, constructor names,
-    names after mut or another word, and names that begin with an underscore; repeated names count once.
+    beyond the file's tokens where there is none. The depths are those of the statement. A let with one of ( { [ , before its = binds the identifiers of the pattern, but path
+    segments, field names, constructor names, names after mut or another word, and names that begin with an underscore; repeated names count once.
     """
-    window, far = _order(), F.lit(2**31 - 1)
-    first = (F.col("gap").contains("\n")) | F.lag("text").over(window).isNull()
-    near = tokens.withColumns({"first": first, "n1": F.lead("text").over(window), "g1": F.lead("gap").over(window), "p1": F.lag("text").over(window), "pk": F.lag("kind").over(window), "nk": F.lead("kind").over(window)})
-    starts_const = (F.col("text") == "pub") & F.col("g1").startswith(" ") & (F.col("n1") == "const")
-    begins = F.col("first") & ((F.col("text").isin("let", "const") & F.col("g1").startswith(" ")) | starts_const)
-    numbered = near.withColumn("statement", F.last(F.when(begins, F.struct("idx", F.col("text").alias("word"), "parens", "brackets", "braces")), True).over(window.rowsBetween(Window.unboundedPreceding, 0)))
-    # the end of a statement and of its block: the next ; or } of its depths, found by counting those before it
-    same = _order("parens", "brackets", "braces")
-    counted = near.withColumn("begins", begins).where("begins or text = ';'").withColumn("n", F.sum(F.when(F.col("text") == ";", 1).otherwise(0)).over(same))
-    ends = counted.where("text = ';'").select("path", "parens", "brackets", "braces", "n", F.col("idx").alias("after"))
-    closes = near.withColumn("begins", begins).where("begins or text = '}'").withColumn("n", F.sum(F.when(F.col("text") == "}", 1).otherwise(0)).over(_order("braces")))
-    scopes = closes.where("text = '}'").select("path", "braces", "n", F.col("idx").alias("scope_end"))
-    spans = (
-        counted.where("begins").select("path", F.col("idx").alias("statement_idx"), "parens", "brackets", "braces", (F.col("n") + 1).alias("n")).join(ends, ["path", "parens", "brackets", "braces", "n"], "left").select("path", "statement_idx", "after")
-        .join(closes.where("begins").select("path", F.col("idx").alias("statement_idx"), "braces", (F.col("n") + 1).alias("n")).join(scopes, ["path", "braces", "n"], "left").select("path", "statement_idx", "scope_end"), ["path", "statement_idx"])
-        .select("path", "statement_idx", F.coalesce("after", far).alias("after"), F.coalesce("scope_end", far).alias("scope_end"))
-    )
-    inside = numbered.where("statement is not null and idx > statement.idx").withColumn("statement_idx", F.col("statement.idx")).join(spans, ["path", "statement_idx"]).where("idx < after")
-    own = Window.partitionBy("path", "statement_idx").orderBy("idx")
-    head = inside.withColumn("passed", F.sum(F.when(F.col("text").rlike("=") & (F.col("kind") != "comment"), 1).otherwise(0)).over(own)).withColumn("n", F.row_number().over(own))
-    pattern = head.where("statement.word = 'let' and passed = 0")
-    mut = (F.col("n") == 1) & (F.col("text") == "mut") & F.col("g1").startswith(" ")
-    pattern = pattern.withColumn("mut_first", F.max(mut).over(Window.partitionBy("path", "statement_idx"))).where(~mut)
-    several = F.max(F.col("text").rlike(r"[(\[{,]")).over(Window.partitionBy("path", "statement_idx"))
-    pattern = pattern.withColumn("several", several)
+    far = F.lit(2**31 - 1)
+    begun, depths = F.col("begins"), ["parens", "brackets", "braces"]
+
+    def following(text: str, *partition: str):
+        """For each beginning the next token of that text at its depth."""
+        later = _order(*partition).rowsBetween(1, Window.unboundedFollowing)
+        return F.first(F.when(F.col("text") == text, F.col("idx")), True).over(later)
+
+    ends = found.where(begun | (F.col("text") == ";")).withColumn("after", following(";", *depths)).where(begun).select("path", F.col("idx").alias("statement_idx"), "after", *depths)
+    scopes = found.where(begun | (F.col("text") == "}")).withColumn("scope_end", following("}", "braces")).where(begun).select("path", F.col("idx").alias("statement_idx"), "scope_end")
+    spans = ends.join(scopes, ["path", "statement_idx"]).withColumns({"after": F.coalesce("after", far), "scope_end": F.coalesce("scope_end", far)})
+    head = found.where("in_head").withColumnRenamed("after", "next").drop(*depths).join(spans, ["path", "statement_idx"]).where("idx < after")
+    whole = Window.partitionBy("path", "statement_idx")
+    head = head.withColumn("n", F.row_number().over(whole.orderBy("idx")))
+    mut = (F.col("n") == 1) & (F.col("text") == "mut") & F.col("gap_after").startswith(" ")
+    pattern = head.where("word = 'let'").withColumn("mut_first", F.max(mut).over(whole)).where(~mut)
+    pattern = pattern.withColumn("several", F.max(F.col("text").rlike(r"[(\[{,]")).over(whole))
     plain = ~F.col("several") & (F.col("n") == F.when(F.col("mut_first"), 2).otherwise(1)) & (F.col("kind") == "ident")
-    previous = F.when((F.col("n") == 1) | (F.col("mut_first") & (F.col("n") == 2)), F.lit(None)).otherwise(F.col("p1"))
-    constructor = F.coalesce(F.col("n1").isin("(", "{", "["), F.lit(False)) & F.col("text").rlike("^[A-Z]")
-    in_pattern = F.col("several") & (F.col("kind") == "ident") & ~F.col("text").isin("mut", "ref", "pub") & ~constructor & ~F.coalesce(F.col("n1").startswith(":"), F.lit(False)) & ~F.coalesce(previous.rlike("[A-Za-z0-9_]$"), F.lit(False))
+    previous = F.when((F.col("n") == 1) | (F.col("mut_first") & (F.col("n") == 2)), F.lit(None)).otherwise(F.col("before"))
+    constructor = F.coalesce(F.col("next").isin("(", "{", "["), F.lit(False)) & F.col("text").rlike("^[A-Z]")
+    in_pattern = F.col("several") & (F.col("kind") == "ident") & ~F.col("text").isin("mut", "ref", "pub") & ~constructor & ~F.coalesce(F.col("next").startswith(":"), F.lit(False)) & ~F.coalesce(previous.rlike("[A-Za-z0-9_]$"), F.lit(False))
     lets = pattern.where((plain | in_pattern) & ~F.col("text").startswith("_")).withColumn("n_name", F.row_number().over(Window.partitionBy("path", "statement_idx", "text").orderBy("idx"))).where("n_name = 1")
-    word = F.when(F.col("statement.word") == "pub", 2).otherwise(1)
-    consts = head.where((F.col("statement.word") != "let") & (F.col("n") == word) & (F.col("kind") == "ident") & (F.col("g1").isNotNull()) & F.col("n1").rlike("^[:=]") & ~F.col("text").startswith("_"))
-    columns = ["path", F.col("text").alias("name"), "idx", "line", "col", "after", "scope_end"]
+    named = F.when(F.col("word") == "pub", 2).otherwise(1)
+    consts = head.where((F.col("word") != "let") & (F.col("n") == named) & (F.col("kind") == "ident") & F.col("next").rlike("^[:=]") & ~F.col("text").startswith("_"))
+    columns = ["path", F.col("text").alias("name"), "idx", "line", "col", "after", "scope_end", *depths]
     return lets.select(F.lit("let").alias("binding"), *columns).unionByName(consts.select(F.lit("const").alias("binding"), *columns))
 
 
-def unused(tokens: DataFrame, declared: DataFrame) -> DataFrame:
-    """The declarations of declared, all of one binding, whose name is not used after them in their scope.
+def uses_of(files: DataFrame, declared: DataFrame) -> DataFrame:
+    """(path, name, use): the identifiers of files that are a declared name of their file, by their token's number."""
+    names = declared.groupBy("path").agg(F.collect_set("name").alias("names"))
+    each = files.join(names, "path").select("path", "names", F.posexplode(F.regexp_extract_all("content", F.lit(lexer.TOKEN), 0)).alias("use", "name"))
+    return each.where(F.array_contains("names", F.col("name"))).select("path", "name", "use")
+
+
+def unused(uses: DataFrame, declared: DataFrame) -> DataFrame:
+    """The declarations of declared, all of one binding, whose name is not used after them in their scope; uses are uses_of() them.
 
-    A use does not count for a declaration once a later one of the same name has taken over: from the end of that one's statement to the end of its scope.
+    A use does not count for a declaration once a later one of the same name has taken over: from the end of that one's statement to the end of its scope. So it counts for the
+    latest that has taken over there, and for later ones in whose own statement it stands. Statements of one depth follow each other, so both are maxima so far among the
+    declarations of a name and depth: no declaration is paired with all uses of its name.
     """
-    names = declared.select("path", "name").distinct()
-    idents = tokens.where("kind = 'ident'").select("path", F.col("text").alias("name"), F.col("idx").alias("use"))
-    uses = idents.join(names, ["path", "name"], "left_semi").join(declared.select("path", "name", F.col("idx").alias("use")), ["path", "name", "use"], "left_anti")
-    pairs = uses.join(declared.select("path", "name", "idx", "after", "scope_end"), ["path", "name"]).where("use > idx and use < scope_end")
-    latest = F.max(F.when(F.col("use") >= F.col("after"), F.col("idx"))).over(Window.partitionBy("path", "name", "use"))
-    used = pairs.withColumn("latest", latest).where("latest is null or idx >= latest").select("path", "idx").distinct()
+    depths = ["parens", "brackets", "braces"]
+    levels = declared.select("path", "name", *depths).distinct()
+    own = declared.select("path", "name", F.col("idx").alias("use"))
+    uses = uses.join(levels, ["path", "name"]).join(own, ["path", "name", "use"], "left_anti").select("path", "name", *depths, F.col("use").alias("at"), F.lit(1).alias("turn"), "use")
+    begun = F.struct("idx", "after", "scope_end")
+    over = F.struct("scope_end", "idx")
+    marks = declared.select("path", "name", *depths, F.explode(F.array(F.struct(F.col("idx").alias("at"), begun.alias("begun"), F.lit(None).cast("struct<scope_end:int,idx:int>").alias("over")), F.struct(F.col("after").alias("at"), F.lit(None).cast("struct<idx:int,after:int,scope_end:int>").alias("begun"), over.alias("over")))).alias("m"))
+    marks = marks.select("path", "name", *depths, "m.at", F.lit(0).alias("turn"), "m.begun", "m.over")
+    so_far = Window.partitionBy("path", "name", *depths).orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    seen = uses.unionByName(marks, allowMissingColumns=True).withColumns({"begun": F.max("begun").over(so_far), "over": F.max("over").over(so_far)}).where("turn = 1")
+    latest = F.when(F.col("over.scope_end") > F.col("use"), F.col("over.idx"))
+    inside = F.when((F.col("begun.after") > F.col("use")) & (F.col("begun.scope_end") > F.col("use")), F.col("begun.idx"))
+    each = seen.groupBy("path", "name", "use").agg(F.max(latest).alias("latest"), F.collect_set(inside).alias("inside"))
+    counted = F.concat(F.array_compact(F.array("latest")), F.filter("inside", lambda i: F.col("latest").isNull() | (i > F.col("latest"))))
+    used = each.select("path", F.explode(counted).alias("idx")).distinct()
     return declared.join(used, ["path", "idx"], "left_anti")

@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.operators import lexer, prefilter, suppress, syntax
-from codequarry.operators.rule_table import all_rules, rule_frame
-from codequarry.operators.rules import TOKEN_RULES, Views, env_bound
+from codequarry.operators.rule_table import all_rules, enabled_rules, rule_frame
+from codequarry.operators.rules import TOKEN_RULES, Views, candidates, env_bound
 from codequarry.operators.settings import Settings
 from codequarry.plans import oracle
-from codequarry.plans.scan import ordered, scan, signatures, without_baseline
+from codequarry.plans.scan import ordered, scan, shown, signatures, without_baseline
 from codequarry.sources.corpus import synthetic_code
+from codequarry.storage import keep
 
 Query = Callable[[SparkSession, str], DataFrame]
 RULE_COLUMNS = ["rule_id", "file", "line", "column", "message", "snippet", "severity"]
@@ -70,7 +71,7 @@ def test_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views(spark, sf_dir, share=True).declarations
+    return views(spark, sf_dir, share=True).declarations.drop("parens", "brackets", "braces")
 
 
 def regex_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,23 +95,58 @@ def prefilter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-def _todo(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    files, settings = synthetic_code(spark, sf_dir), Settings(only_rules=("FE001",), **options)
-    return scan(files, settings, views=Views(files, settings))
-
-
 def severity_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _todo(spark, sf_dir, severity={"FE001": "critical"}).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+    found = scan(synthetic_code(spark, sf_dir), Settings(severity={"FE001": "critical", "FE063": "info"}))
+    return found.groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def baseline_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signatures(_todo(spark, sf_dir)).select("signature")
+    return signatures(scan(synthetic_code(spark, sf_dir))).select("signature")
 
 
 def baseline_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left after a baseline of the findings in even lines."""
-    found = _todo(spark, sf_dir)
-    return without_baseline(found, signatures(found.where("line % 2 = 0"))).select("file", "line", "column")
+    found = keep(scan(synthetic_code(spark, sf_dir)), "findings")
+    return without_baseline(found, signatures(found.where("line % 2 = 0"))).select("rule_id", "file", "line", "column")
+
+
+DEBUG = Settings(only_categories=("debug",))
+
+
+def _debug_views(spark: SparkSession, sf_dir: str) -> Views:
+    return Views(synthetic_code(spark, sf_dir), DEBUG)
+
+
+def dead_suppressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directives that no finding of any rule answers."""
+    return scan(synthetic_code(spark, sf_dir)).where("rule_id = 'FE066'").select(*RULE_COLUMNS)
+
+
+def suppressed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What directives keep from the report, of the debug rules."""
+    seen = _debug_views(spark, sf_dir)
+    rules = rule_frame(spark, all_rules())
+    found = shown(candidates(seen, {1, 2, 3, 4}), seen).join(prefilter.allowed_rules(seen.files, all_rules()), ["path", "rule_id"], "left_semi")
+    kept = suppress.without_suppressed(found, suppress.suppressed_rules(suppress.directives(seen.lines), rules))
+    columns = ["rule_id", F.col("path").alias("file"), "line", "column"]
+    return found.select(*columns).exceptAll(kept.select(*columns))
+
+
+def prefilter_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the regex rules in files that the prefilter skips."""
+    files, ids = synthetic_code(spark, sf_dir), ("FE080", "FE081", "FE082", "FE083")
+    loose, tight = (scan(files, s, views=Views(files, s)).select("rule_id", "file", "line", "column") for s in (Settings(only_rules=ids, prefilter=False), Settings(only_rules=ids)))
+    return loose.exceptAll(tight)
+
+
+def rules_enabled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules that toggles leave on: one of its own wins over its category's."""
+    return rule_frame(spark, enabled_rules(Settings(rulesets={"debug": False, "shell": False}, rules={"FE003": True, "FE063": False}))).select("rule_id")
+
+
+def rules_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules that lists of ids and categories leave on."""
+    return rule_frame(spark, enabled_rules(Settings(only_rules=("fe001", "FE063", "FE120"), only_categories=("debug", "path")))).select("rule_id")
 
 
 def sarif_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +158,7 @@ def sarif_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codequarry.sinks.report import json_row
 
-    return _todo(spark, sf_dir).select("file", "line", "column", json_row().alias("json"))
+    return scan(synthetic_code(spark, sf_dir)).select("rule_id", "file", "line", "column", "message", json_row().alias("json"))
 
 
 def path_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +193,7 @@ PLAIN: dict[str, Query] = {
     f"q_{f.__name__}": f
     for f in (
         lines, token_index, tokens, invocations, method_chains, chain_calls, test_functions, declarations, regex_sites, env_bound_vars, directives, suppressed_rules, prefilter_files,
-        severity_override, baseline_signatures, baseline_apply, sarif_levels, json_rows, path_globs, scan_summary, bench_stats, cache_misses,
+        severity_override, baseline_signatures, baseline_apply, dead_suppressions, suppressed_findings, prefilter_losses, rules_enabled, rules_chosen, sarif_levels, json_rows, path_globs, scan_summary, bench_stats, cache_misses,
     )
 }
 

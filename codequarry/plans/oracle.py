@@ -102,16 +102,16 @@ tests as (
 
 DECLARED = r"""
 aside as (select *, lag(text) over w as p1, lead(text) over w as n1, lead(gap) over w as g1 from tokens window w as (partition by path order by idx)),
-statements as (select * from aside where (contains(gap, chr(10)) or p1 is null) and starts_with(g1, ' ') and (text in ('let', 'const') or text = 'pub' and n1 = 'const')),
+flagged as (select *, (contains(gap, chr(10)) or p1 is null) and coalesce(starts_with(g1, ' '), false) and coalesce(text in ('let', 'const') or text = 'pub' and n1 = 'const', false) as begins from aside),
+ends as (select path, idx, min(case when text = ';' then idx end) over (partition by path, parens, brackets, braces order by idx rows between 1 following and unbounded following) as after from flagged where begins or text = ';'),
+scopes as (select path, idx, min(case when text = '}' then idx end) over (partition by path, braces order by idx rows between 1 following and unbounded following) as scope_end from flagged where begins or text = '}'),
 spans as (
-  select s.path, s.idx as begin, s.text as word,
-         coalesce((select min(e.idx) from tokens e where e.path = s.path and e.text = ';' and e.idx > s.idx and e.parens = s.parens and e.brackets = s.brackets and e.braces = s.braces), 2147483647) as after,
-         coalesce((select min(e.idx) from tokens e where e.path = s.path and e.text = '}' and e.idx > s.idx and e.braces = s.braces), 2147483647) as scope_end
-  from statements s),
-inner_tokens as (select a.*, s.begin, s.word, s.after, s.scope_end, row_number() over (partition by a.path, s.begin order by a.idx) as n,
-                 max(case when contains(a.text, '=') and a.kind <> 'comment' then 1 else 0 end) over (partition by a.path, s.begin order by a.idx) as passed
-          from aside a join spans s on s.path = a.path and a.idx > s.begin and a.idx < s.after
-          qualify not exists (select 1 from spans o where o.path = a.path and o.begin > s.begin and o.begin < a.idx and o.begin < s.after)),
+  select f.path, f.idx as begin, f.text as word, coalesce(e.after, 2147483647) as after, coalesce(s.scope_end, 2147483647) as scope_end
+  from flagged f join ends e on e.path = f.path and e.idx = f.idx join scopes s on s.path = f.path and s.idx = f.idx where f.begins),
+owned as (select *, max(case when begins then idx end) over (partition by path order by idx) as begin from flagged),
+inner_tokens as (select a.*, s.word, s.after, s.scope_end, row_number() over (partition by a.path, a.begin order by a.idx) as n,
+                 max(case when contains(a.text, '=') and a.kind <> 'comment' then 1 else 0 end) over (partition by a.path, a.begin order by a.idx) as passed
+          from owned a join spans s on s.path = a.path and s.begin = a.begin where a.idx > a.begin and a.idx < s.after),
 pattern as (select *, max(n = 1 and text = 'mut' and starts_with(g1, ' ')) over (partition by path, begin) as mut_first, max(regexp_matches(text, '[(\[{,]')) over (partition by path, begin) as several
             from inner_tokens where word = 'let' and passed = 0),
 bound as (
@@ -330,17 +330,16 @@ def _prefilter(signatures: tuple[str, ...]) -> str:
     return " or ".join(parts + [f"contains(content, {_quoted(s)})" for s in signatures if not s.replace("_", "a").isalnum()])
 
 
-def rule_sql(number: int) -> str:
-    """Findings of one rule over the synthetic corpus, with prefilter and suppressions."""
+def rule_sql(number: int, prefilter: bool = True, suppressions: bool = True) -> str:
+    """Findings of one rule over the synthetic corpus, with or without prefilter and suppressions."""
     rule = next(r for r in all_rules() if r.rule_id == f"FE{number:03d}")
     relations, cand = RULE_SQL[number]
     return f"""
 with {RULES}, {FILES}, {relations}, {SUPPRESSED}, {cand},
-passed as (select path from files where {_prefilter(rule.signatures)})
+passed as (select path from files where {_prefilter(rule.signatures) if prefilter else "true"})
 select '{rule.rule_id}' as rule_id, c.path as file, c.line as line, c.col as "column", c.message as message, coalesce(c.snippet, regexp_replace(regexp_replace(l.text, '^\\s+', ''), '\\s+$', '')) as snippet, '{rule.severity}' as severity
 from cand c join lines l on l.path = c.path and l.line = c.anchor
-where c.path in (select path from passed)
-  and not exists (select 1 from suppressed s where s.path = c.path and s.rule_id = '{rule.rule_id}' and (s.form = 'file' or c.anchor in (s.line, s.line + 1)))
+where c.path in (select path from passed){f" and not exists (select 1 from suppressed s where s.path = c.path and s.rule_id = '{rule.rule_id}' and (s.form = 'file' or c.anchor in (s.line, s.line + 1)))" if suppressions else ""}
 """
 
 
@@ -348,9 +347,30 @@ def _with(*relations: str) -> str:
     return "with " + ", ".join([RULES, FILES, *relations])
 
 
+def _findings() -> str:
+    """The rows of all rules, dead suppressions included."""
+    return " union all ".join(f"({rule_sql(n)})" for n in RULE_SQL) + f" union all ({_stale_sql()})"
+
+
+def _text(value: str | None) -> str:
+    return "null::varchar" if value is None else _quoted(value)
+
+
+def scan_sql() -> str:
+    """Findings of every rule with all their columns."""
+    values = ", ".join(f"({_quoted(r.rule_id)}, {_quoted(r.rule_name)}, {_quoted(r.category)}, {_text(r.suggestion)}, {_text(r.suggestion_example)})" for r in all_rules())
+    return f"""
+select f.rule_id, t.rule_name, t.category, f.severity, f.file, f.line, f."column", f.message, f.snippet, t.suggestion, t.suggestion_example
+from ({_findings()}) f join (values {values}) t(rule_id, rule_name, category, suggestion, suggestion_example) on t.rule_id = f.rule_id"""
+
+
 def plain_sql() -> dict[str, str]:
     """The twins of the queries that are not about one rule."""
-    todo = rule_sql(1)
+    debug = [r for r in all_rules() if r.category == "debug"]
+    found = " union all ".join(f"({rule_sql(int(r.rule_id[2:]))})" for r in debug)
+    loose = " union all ".join(f"({rule_sql(n, prefilter=False)})" for n in (80, 81, 82, 83))
+    tight = " union all ".join(f"({rule_sql(n)})" for n in (80, 81, 82, 83))
+    hidden = " union all ".join(f"({rule_sql(int(r.rule_id[2:]), suppressions=False)})" for r in debug)
     each = " union all ".join(f"select '{r.rule_id}' as rule_id, count(*) as n_files from files where {_prefilter(r.signatures)} having count(*) > 0" for r in all_rules())
     syntax = (LINES, TOKENS, PAIRS)
     return {
@@ -367,14 +387,20 @@ def plain_sql() -> dict[str, str]:
         "q_directives": _with(LINES, SUPPRESSED) + " select path, line, form, token from directives",
         "q_suppressed_rules": _with(LINES, SUPPRESSED) + " select path, line, form, rule_id from suppressed",
         "q_prefilter_files": _with() + " " + each,
-        "q_severity_override": f"select rule_id, 'critical' as severity, count(*) as n from ({todo}) group by 1, 2",
-        "q_baseline_signatures": f"select concat_ws('|', rule_id, file, line, \"column\", message) as signature from ({todo})",
-        "q_baseline_apply": f'select file, line, "column" from ({todo}) where line % 2 = 1',
-        "q_json_rows": f"""select file, line, "column", to_json({{'rule_id': rule_id, 'rule_name': 'todo-macro', 'category': 'debug', 'severity': severity, 'file': file, 'line': line, 'column': "column", 'message': message, 'snippet': snippet,
-            'suggestion': {_quoted(all_rules()[0].suggestion)}, 'suggestion_example': {_quoted(all_rules()[0].suggestion_example)}}})::varchar as json from ({todo})""",
+        "q_scan": scan_sql(),
+        "q_severity_override": f"select rule_id, case rule_id when 'FE001' then 'critical' when 'FE063' then 'info' else severity end as severity, count(*) as n from ({_findings()}) group by 1, 2",
+        "q_baseline_signatures": f"select concat_ws('|', rule_id, file, line, \"column\", replace(message, chr(10), '\\n')) as signature from ({_findings()})",
+        "q_baseline_apply": f'select rule_id, file, line, "column" from ({_findings()}) where line % 2 = 1',
+        "q_json_rows": f"""select rule_id, file, line, "column", message, to_json({{'rule_id': rule_id, 'rule_name': rule_name, 'category': category, 'severity': severity, 'file': file, 'line': line, 'column': "column", 'message': message, 'snippet': snippet,
+            'suggestion': suggestion, 'suggestion_example': suggestion_example}})::varchar as json from ({scan_sql()})""",
+        "q_dead_suppressions": _stale_sql(),
+        "q_suppressed_findings": f'select rule_id, file, line, "column" from ({hidden}) except all select rule_id, file, line, "column" from ({found})',
+        "q_prefilter_losses": f'select rule_id, file, line, "column" from ({loose}) except all select rule_id, file, line, "column" from ({tight})',
+        "q_rules_enabled": f"with {RULES} select rule_id from rules where rule_id = 'FE003' or category not in ('debug', 'shell') and rule_id <> 'FE063'",
+        "q_rules_chosen": f"with {RULES} select rule_id from rules where rule_id in ('FE001', 'FE063', 'FE120') and category in ('debug', 'path')",
         "q_sarif_levels": f"with {RULES} select rule_id, severity, case when severity in ('critical', 'high') then 'error' when severity = 'warning' then 'warning' else 'note' end as level from rules",
         "q_path_globs": _with() + r" select path from files where starts_with(path, 'tests/') or regexp_full_match(path, '.*/[^/]*1[^/]\.rs') or regexp_full_match(path, 'src/(?:[^/]+/)*f2[^/]*\.rs')",
-        "q_scan_summary": "select rule_id, severity, count(*) as n from (" + " union all ".join(f"({rule_sql(n)})" for n in RULE_SQL) + f" union all ({_stale_sql()})) group by 1, 2",
+        "q_scan_summary": f"select rule_id, severity, count(*) as n from ({_findings()}) group by 1, 2",
         "q_rule_fe066": _stale_sql(only=True),
         "q_bench_stats": "select event_type, min(value) as min_value, max(value) as max_value, avg(value) as mean_value, list_sort(list(value))[len(list(value)) // 2 + 1] as median_value, count(*) as n from events group by event_type",
         "q_cache_misses": _with() + r" select path from files where regexp_extract(path, '(\d+)\.rs$', 1)::bigint % 2 = 1",

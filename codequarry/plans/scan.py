@@ -20,7 +20,7 @@ def numbers_of(rules: list[Rule], settings: Settings) -> set[int]:
     return {int(r.rule_id[len(settings.rule_prefix) :]) for r in rules}
 
 
-def _shown(found: DataFrame, views: Views) -> DataFrame:
+def shown(found: DataFrame, views: Views) -> DataFrame:
     """found with the snippet of its anchor line, without code_only candidates on comment lines."""
     lines = views.lines.select("path", F.col("line").alias("anchor_line"), "text")
     joined = found.join(lines, ["path", "anchor_line"])
@@ -38,14 +38,14 @@ def scan(files: DataFrame, settings: Settings = Settings(), extra: list[Rule] |
     dimension = rule_frame(spark, rules)
     numbers = numbers_of(rules, settings)
     dead = views.id_of(66)
-    found = views.shared(_shown(candidates(views, numbers - {66}), views), "candidates")
+    found = views.shared(shown(candidates(views, numbers - {66}), views), "candidates")
     if settings.prefilter and not settings.maximum:
         found = found.join(allowed_rules(views.files, rules), ["path", "rule_id"], "left_semi")
     directed = suppress.directives(views.lines, settings)
     suppressed = suppress.suppressed_rules(directed, dimension)
     kept = suppress.without_suppressed(found, suppressed)
     if 66 in numbers:
-        active = kept if settings.dead_suppressions == "pipeline" else _shown(candidates(views, numbers_of(all_rules(settings), settings) - {66}), views)
+        active = kept if settings.dead_suppressions == "pipeline" else shown(candidates(views, numbers_of(all_rules(settings), settings) - {66}), views)
         stale = suppress.stale_directives(directed, active, settings).select(
             "path", F.lit(dead).alias("rule_id"), F.col("line"), F.lit(1).alias("column"), F.concat(F.lit("suppression for `"), F.col("rule_id"), F.lit("` does not match any finding in this file")).alias("message"),
             F.col("line").alias("anchor_line"), T.trim(F.col("text")).alias("snippet"), F.lit(False).alias("code_only"),

@@ -55,6 +55,7 @@ TEMPLATES = [
     "unimplemented!(\"later {k}\");",
     "let shared_secret = \"x{k}\";",
     "let raw = r#\"todo!() \"quoted\" {k}\"#; show(raw);",
+    "RegexBuilder::new(pattern_{k}).build();",
 ]
 
 
