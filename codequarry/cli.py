@@ -6,19 +6,28 @@ Not provided: running cargo, updating the program itself, editing PATH.
 from __future__ import annotations
 
 import argparse
+import os
 import sys
+import time
 from dataclasses import replace
 from pathlib import Path
 
 from codequarry.operators.rule_table import all_rules, enabled_rules, explain_rule, rule_index
 from codequarry.operators.settings import Settings
 from codequarry.sources.config import ConfigError, config_template, read_config
+from codequarry.sources.files import expand_targets
+
+
+VERSION = "2"
+#: read from the working folder where no --config is given
+DEFAULT_CONFIG = "codequarry.toml"
 
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="codequarry", description="Rules over source trees, as Spark queries.")
-    p.add_argument("paths", nargs="*", help="folders or single files")
-    p.add_argument("--config", help="configuration file")
+    p.add_argument("paths", nargs="*", help="folders, single files or manifests; a manifest stands for its folder and the members of its workspace")
+    p.add_argument("-V", "--version", action="version", version=f"codequarry {VERSION}")
+    p.add_argument("--config", help=f"configuration file (default: {DEFAULT_CONFIG} in the working folder, if it is there)")
     p.add_argument("--rules", action="append", default=[], help="rule ids, comma-separated")
     p.add_argument("--categories", action="append", default=[], help="categories, comma-separated")
     p.add_argument("--max", action="store_true", dest="maximum", help="every rule, no prefilter")
@@ -29,12 +38,21 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--baseline", help="baseline folder or file: its findings are left out")
     p.add_argument("--init-baseline", help="write the findings as a baseline to a new folder")
     p.add_argument("--cache", help="folder of the incremental cache")
+    p.add_argument("--output", help="write the report, one row a line, to a new folder: distributed, for reports of any size")
+    p.add_argument("--benchmark", nargs="?", type=_iterations, const=5, metavar="N", help="scan N times (5) and report the times")
+    p.add_argument("--quiet", action="store_true", help="no progress")
     p.add_argument("--list-rules", action="store_true")
     p.add_argument("--explain", metavar="ID")
     p.add_argument("--init-config", action="store_true", help="print a configuration template")
     return p
 
 
+def _iterations(value: str) -> int:
+    if not value.isdigit() or not int(value):
+        raise argparse.ArgumentTypeError("a positive number is expected")
+    return int(value)
+
+
 def _listed(values: list[str]) -> tuple[str, ...]:
     return tuple(dict.fromkeys(x.strip() for v in values for x in v.split(",") if x.strip()))
 
@@ -48,11 +66,12 @@ def main(argv: list[str] | None = None) -> int:
         return 2 if stop.code else 0
     out, err = sys.stdout.write, sys.stderr.write
     settings = Settings()
+    config = args.config or (DEFAULT_CONFIG if Path(DEFAULT_CONFIG).is_file() else None)
     try:
-        if args.config:
-            settings = read_config(Path(args.config).read_text(), settings)
+        if config:
+            settings = read_config(Path(config).read_text(), settings)
     except (OSError, ConfigError) as error:
-        err(f"invalid config {args.config}: {error}\n")
+        err(f"invalid config {config}: {error}\n")
         return 2
     settings = replace(settings, only_rules=_listed(args.rules), only_categories=_listed(args.categories), maximum=args.maximum, prefilter=not (args.no_prefilter or args.maximum))
     if args.json and args.sarif:
@@ -79,31 +98,90 @@ def main(argv: list[str] | None = None) -> int:
     return _scan(args, settings, len(rules), out)
 
 
+def _targets(paths: list[str]) -> list[str]:
+    """The given paths, with the folders of manifests and the members of their workspaces, each once. Manifests are looked for on the local file system."""
+    manifests = {}
+    for path in paths:
+        file = Path(path) if path.endswith("Cargo.toml") else Path(path) / "Cargo.toml"
+        if file.is_file():
+            manifests[str(file)] = file.read_text()
+    targets = [p for p in expand_targets(paths, manifests) if p in paths or Path(p).exists()] if manifests else list(dict.fromkeys(paths))
+    # the JVM may have been started in another folder
+    return [os.path.abspath(p) if Path(p).exists() else p for p in targets]
+
+
 def _scan(args: argparse.Namespace, settings: Settings, n_rules: int, out) -> int:
     from pyspark.sql import SparkSession
 
-    from codequarry.plans.cache import scan_with_cache
-    from codequarry.plans.scan import scan, without_baseline
-    from codequarry.sinks import report
     from codequarry.sources.files import read_tree
 
     spark = SparkSession.builder.appName("codequarry").getOrCreate()
-    files = read_tree(spark, args.paths[0], settings.exclude, settings.include)
-    for path in args.paths[1:]:
-        files = files.unionByName(read_tree(spark, path, settings.exclude, settings.include))
+    began, files = time.perf_counter(), None
+    for path in _targets(args.paths):
+        tree = read_tree(spark, path, settings.exclude, settings.include)
+        files = tree if files is None else files.unionByName(tree)
     files = files.dropDuplicates(["path"]).persist()
-    found = (scan_with_cache(files, args.cache, settings) if args.cache else scan(files, settings)).persist()
-    if args.init_baseline:
-        report.write_baseline(found, args.init_baseline)
-        return 0
-    if args.baseline:
-        found = without_baseline(found, report.read_baseline(spark, args.baseline))
-    if args.json or args.sarif:
-        text = report.json_document(found) if args.json else report.sarif_document(found, "codequarry", "1")
-        out(report.pretty_json(text) if args.pretty else text + "\n")
-    else:
-        out(report.human_document(found, files.count(), n_rules))
-    return 0 if found.isEmpty() else 1
+    n_files = files.count()
+    tell = (lambda text: None) if args.quiet or args.json or args.sarif else sys.stderr.write
+    tell(f"info: discovered {n_files} files in {time.perf_counter() - began:.2f}s\n")
+    try:
+        if args.benchmark:
+            return _benchmark(args, settings, files, out)
+        return _report(args, settings, files, n_files, n_rules, out, tell)
+    finally:
+        files.unpersist()
+
+
+def _found(args: argparse.Namespace, settings: Settings, files):
+    """A with block's findings of the files, from the cache where there is one."""
+    from contextlib import nullcontext
+
+    from codequarry.plans.cache import scan_with_cache
+    from codequarry.plans.scan import scanning
+
+    return nullcontext(scan_with_cache(files, args.cache, settings)) if args.cache else scanning(files, settings)
+
+
+def _benchmark(args: argparse.Namespace, settings: Settings, files, out) -> int:
+    """Times of repeated scans, every finding made and none kept: each run, then least, greatest, mean and upper median."""
+    from codequarry.plans.stats import timing_stats
+
+    spark, times = files.sparkSession, []
+    for n in range(args.benchmark):
+        began = time.perf_counter()
+        with _found(args, settings, files) as found:
+            found.write.format("noop").mode("overwrite").save()
+        times.append(1000 * (time.perf_counter() - began))
+        out(f"run {n + 1:>2}: {times[-1]:.2f}ms\n")
+    row = timing_stats(spark.createDataFrame([("all", t) for t in times], "k string, v double"), "k", "v").first()
+    out("\nsummary\n" + "".join(f"{name + ':':<7} {row[f'{name}_value']:.2f}ms\n" for name in ("min", "max", "mean", "median")))
+    return 0
+
+
+def _report(args: argparse.Namespace, settings: Settings, files, n_files: int, n_rules: int, out, tell) -> int:
+    from codequarry.plans.scan import without_baseline
+    from codequarry.sinks import report
+
+    began = time.perf_counter()
+    with _found(args, settings, files) as found:
+        if args.init_baseline:
+            report.write_baseline(found, args.init_baseline)
+            return 0
+        if args.baseline:
+            found = without_baseline(found, report.read_baseline(files.sparkSession, args.baseline))
+        found = found.persist()
+        empty = found.isEmpty()
+        took = time.perf_counter() - began
+        tell(f"info: scanned {n_files} files with {n_rules} rules in {took:.2f}s ({n_files / max(took, 0.001):.1f} files/s)\n")
+        if args.output:
+            report.write_findings(found, args.output, "json" if args.json else "sarif" if args.sarif else "human")
+        elif args.json or args.sarif:
+            text = report.json_document(found) if args.json else report.sarif_document(found, "codequarry", VERSION)
+            out(report.pretty_json(text) if args.pretty else text + "\n")
+        else:
+            out(report.human_document(found, n_files, n_rules))
+        found.unpersist()
+    return 0 if empty else 1
 
 
 if __name__ == "__main__":

@@ -20,9 +20,9 @@ from codequarry.storage import discard, keep
 
 #: rules that read tokens: their views are worth sharing even for one rule
 TOKEN_RULES = frozenset({63, 64, 65, 75, 76, 77, 78, 79, 101, 121, 122})
-#: stored bytes that a partition of sources is to come from, and the number that a source of unknown size (reported as enormous) is held to
+#: stored bytes that a partition of sources is to come from, and what sources that do not know their size report at least
 PARTITION_BYTES = 16 << 20
-MOST_PARTITIONS = 1 << 20
+UNKNOWN_BYTES = 1 << 60
 CANDIDATE = ["path", "rule_id", "line", "column", "message", "anchor_line", "snippet", "code_only"]
 
 # fixed values: the markers that the rules look for
@@ -50,16 +50,20 @@ class Views:
     def __init__(self, files: DataFrame, settings: Settings = Settings(), share: bool = False):
         self.settings, self.share, self.held = settings, share, []
         #: dealt by path; windows and joins below are on path too. The number is given, for tokens are many times the size of the contents by which partitions would be merged
-        self.files = self.shared(files.select("path", "content").where("content is not null"), "sources").repartition(self.spread(files), "path")
+        sources = self.shared(files.select("path", "content").where("content is not null"), "sources")
+        self.files = sources.repartition(self.spread(sources), "path")
 
     @staticmethod
     def spread(files: DataFrame) -> int:
-        """Partitions for a scan: one for each PARTITION_BYTES that the plan of files reads, by the sizes that its sources report, but not under the cluster's cores or the shuffle's number, the smaller one."""
+        """Partitions for a scan: one for each PARTITION_BYTES of the stored tables that the plan of files reads, but no fewer than the shuffle's number or four for each of the
+        cluster's cores, whichever is less. Sources that report no size do not count.
+        """
         session = files.sparkSession
         leaves = files._jdf.queryExecution().optimizedPlan().collectLeaves()
-        size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+        size = sum(n for n in sizes if n < UNKNOWN_BYTES)
         least = min(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
-        return max(least, min(-(-size // PARTITION_BYTES), MOST_PARTITIONS))
+        return max(least, -(-size // PARTITION_BYTES))
 
     def shared(self, df: DataFrame, name: str) -> DataFrame:
         if not self.share:

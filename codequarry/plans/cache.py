@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from codequarry.operators.rule_table import enabled_rules
 from codequarry.operators.settings import Settings
-from codequarry.plans.scan import FINDING, scan
+from codequarry.plans.scan import FINDING, scanning
 
 
 def fingerprint(settings: Settings) -> str:
@@ -52,7 +52,8 @@ def scan_with_cache(files: DataFrame, cache: str, settings: Settings = Settings(
 
     changed = split_by_cache(files, known().select("path", "content_key"))[1] if _exists(spark, keys) else files
     stamp = {"run": F.lit(run), "fingerprint": F.lit(mark)}
-    scan(changed, settings).withColumns({"run": F.lit(run)}).write.mode("append").parquet(found)
+    with scanning(changed, settings) as fresh:
+        fresh.withColumns({"run": F.lit(run)}).write.mode("append").parquet(found)
     content_keys(changed).withColumns(stamp).write.mode("append").parquet(keys)
     present = content_keys(files).join(known(), ["path", "content_key"]).select(F.col("path").alias("file"), "run").distinct()
     return spark.read.parquet(found).join(present, ["file", "run"], "left_semi").select(*FINDING)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ def shown(found: DataFrame, views: Views) -> DataFrame:
 def scan(files: DataFrame, settings: Settings = Settings(), extra: list[Rule] | None = None, views: Views | None = None) -> DataFrame:
     """Findings of files(path, content), not ordered; null contents are skipped. extra: rows of registered rules.
 
-    views: relations of the same files and settings to use, for a caller that releases them once the findings are written.
+    views: relations of the same files and settings to use, for a caller that releases them once the findings are written (see scanning()).
     """
     rules = enabled_rules(settings) + list(extra or [])
     spark, views = files.sparkSession, views or Views(files, settings, share=True)
@@ -64,6 +66,16 @@ def with_severity(findings: DataFrame, overrides: dict[str, str]) -> DataFrame:
     return joined.withColumn("severity", F.coalesce("override", "severity")).drop("override")
 
 
+@contextmanager
+def scanning(files: DataFrame, settings: Settings = Settings(), extra: list[Rule] | None = None):
+    """scan() for a with block: the relations that it keeps in the shared folder are removed when the block ends, so the findings are to be written or counted inside."""
+    views = Views(files, settings, share=True)
+    try:
+        yield scan(files, settings, extra, views)
+    finally:
+        views.release()
+
+
 def ordered(findings: DataFrame) -> DataFrame:
     """One global order: file, line, column, rule id, message."""
     return findings.orderBy(*ORDER)

@@ -43,11 +43,10 @@ def sarif_row() -> Column:
     place = F.struct(
         F.struct(
             F.struct(F.regexp_replace("file", r"\\", "/").alias("uri")).alias("artifactLocation"),
-            F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn"), F.struct(F.col("snippet").alias("text")).alias("snippet")).alias("region"),
+            F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn")).alias("region"),
         ).alias("physicalLocation")
     )
-    help_ = F.when(F.col("suggestion").isNotNull(), F.struct(F.struct(F.col("suggestion").alias("text")).alias("help")))
-    return F.to_json(F.struct(F.col("rule_id").alias("ruleId"), sarif_level(F.col("severity")).alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"), help_.alias("properties")))
+    return F.to_json(F.struct(F.col("rule_id").alias("ruleId"), sarif_level(F.col("severity")).alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"), F.col("suggestion").alias("help")))
 
 
 def write_findings(findings: DataFrame, path: str, form: str = "json") -> None:
@@ -97,8 +96,9 @@ def pretty_json(text: str) -> str:
 
 
 def write_baseline(findings: DataFrame, path: str) -> None:
-    """The findings' signatures as text, one a line; fails where the path exists."""
-    signatures(findings).select("signature").distinct().write.mode("error").text(path)
+    """A heading, then the findings' signatures as text, one a line, in files of a folder; fails where the path exists."""
+    head = findings.sparkSession.createDataFrame([(BASELINE_HEAD,)], "value string").coalesce(1)
+    head.union(signatures(findings).select("signature").distinct()).write.mode("error").text(path)
 
 
 def read_baseline(spark, path: str) -> DataFrame:

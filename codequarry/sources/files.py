@@ -54,17 +54,24 @@ def matches_pattern(path: Column, patterns: list[str] | tuple[str, ...], root: s
     return out
 
 
+def _is_folder(spark: SparkSession, root: str) -> bool:
+    """Whether the file system that root is in says that it is a folder; an error where there is nothing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
 def read_tree(spark: SparkSession, root: str, exclude: tuple[str, ...] = ("target", ".git"), include: tuple[str, ...] = ()) -> DataFrame:
     """files(path, content) of the .rs files below root and of those that include names, without excluded paths; content is null where it is not UTF-8.
 
-    A single file is read whatever its name. Only matching files are read.
+    A single file is read whatever its name; whether root is one is asked of the file system. Only matching files are read: the patterns are asked of the file names
+    (_metadata), by which Spark leaves files out before it opens any.
     """
-    if re.search(r"\.[A-Za-z0-9]+$", PurePosixPath(root).name):
+    if not _is_folder(spark, root):
         return _decoded(spark.read.format("binaryFile").load(root))
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = _plain("path")
     base = re.sub(r"^file:(//)?", "", root).rstrip("/")
+    path = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:(//)?", "")
     wanted = path.endswith(".rs") | matches_pattern(path, include, base)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return _decoded(found.where(wanted & ~matches_pattern(path, exclude, base)))
 
 

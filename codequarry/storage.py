@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where it is unset (local tests)."""
+    """The folder named by spark.checkpoint.dir; one of our own only where it is unset and driver and executors are one process (local tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not path:
         path = context.getCheckpointDir()
         if not path:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             own = tempfile.mkdtemp(prefix="codequarry-")
             atexit.register(shutil.rmtree, own, True)
             path = "file://" + own

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from codequarry.operators.settings import Settings
-from codequarry.plans.scan import scan
+from codequarry.plans.scan import scanning
 from codequarry.sources.files import _decoded
 
 
@@ -19,11 +19,12 @@ def new_files(spark: SparkSession, root: str, most_files: int = 256) -> DataFram
 def watch(files: DataFrame, findings: str, checkpoint: str, settings: Settings = Settings(), once: bool = False) -> StreamingQuery:
     """Scan each batch of a stream of files and append its findings to a Parquet folder, a sub-folder for each batch.
 
-    A batch that is run again after a failure overwrites its own sub-folder, so every file's findings are there once. once: work off what is there and stop.
+    A batch that is run again after a failure overwrites its own sub-folder, so every file's findings are there once; what a scan keeps in the shared folder goes with its batch. once: work off what is there and stop.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        scan(rows, settings).write.mode("overwrite").parquet(f"{findings}/batch={number}")
+        with scanning(rows, settings) as found:
+            found.write.mode("overwrite").parquet(f"{findings}/batch={number}")
 
     writer = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -1,6 +1,7 @@
 """Sources, configuration, reports, baseline, cache, streaming and command line."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from codequarry import cli
 from codequarry.operators.rule_table import all_rules, enabled_rules
 from codequarry.operators.settings import Settings
 from codequarry.plans.cache import scan_with_cache
-from codequarry.plans.scan import scan, signatures, without_baseline
+from codequarry.plans.scan import scan, scanning, signatures, without_baseline
 from codequarry.plans.stats import timing_stats
 from codequarry.sinks import report
 from codequarry.sources.config import ConfigError, config_template, read_config
@@ -71,7 +72,9 @@ def test_reports(spark, tmp_path):
     assert list(row) == ["rule_id", "rule_name", "category", "severity", "file", "line", "column", "message", "snippet", "suggestion", "suggestion_example"]
     assert (row["snippet"], row["line"]) == ('todo!("x\\ty"); // "é"', 1)
     log = json.loads(report.sarif_document(found, "tool", "1"))
-    assert log["runs"][0]["results"][0]["level"] == "warning"
+    (result,) = log["runs"][0]["results"]
+    assert (result["level"], result["help"]) == ("warning", row["suggestion"])
+    assert result["locations"][0]["physicalLocation"]["region"] == {"startLine": 1, "startColumn": 1}
     text = report.human_document(found, 1, 1)
     assert text.startswith("a.rs:1:1  warning  FE001  `todo!` macro found [todo-macro]\n      | todo!") and text.endswith("1 finding(s) in 1 file(s) scanned (1 rule(s) enabled)\n")
     assert json.loads(report.pretty_json(report.json_document(found))) == [row]
@@ -83,6 +86,8 @@ def test_reports(spark, tmp_path):
 def test_baseline(spark, tmp_path):
     found = scan(files(spark, a="todo!();\ntodo!();"), ONE).persist()
     report.write_baseline(found.where("line = 1"), f"file://{tmp_path}/base")
+    written = [r["value"] for r in spark.read.text(f"file://{tmp_path}/base").collect()]
+    assert sorted(written) == ["# baseline v1", "FE001|a.rs|1|1|`todo!` macro found"]
     left = without_baseline(found, report.read_baseline(spark, f"file://{tmp_path}/base")).collect()
     assert [r["line"] for r in left] == [2]
     assert signatures(found).orderBy("line").first()["signature"] == "FE001|a.rs|1|1|`todo!` macro found"
@@ -112,6 +117,104 @@ def test_upper_median(spark):
     assert found == {"a": (1.0, 4.0, 2.5, 3.0, 4), "b": (5.0, 5.0, 5.0, 5.0, 1), "c": (1.0, 1.0, 1.0, 1.0, 2)}
 
 
+def test_only_matching_files_are_read(spark, tmp_path):
+    root = tmp_path / "my.crate"
+    for path in ("src/b c+d.rs", "src/é.rs", "x.txt", "notes/n.md"):
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text("todo!();")
+    for path in ("target/big.rs", "data.bin"):
+        (root / path).parent.mkdir(exist_ok=True)
+        (root / path).write_text("x" * 5000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)
+    try:
+        rows = read_tree(spark, f"{root}/", include=("notes",)).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert sorted(r["path"].removeprefix(f"{root}/") for r in rows) == ["notes/n.md", "src/b c+d.rs", "src/é.rs"]
+    with pytest.raises(Exception, match="(?i)not ?(exist|found)|FileNotFound"):
+        read_tree(spark, f"{root}/nothing").collect()
+
+
+def test_partitions_follow_the_size_of_the_sources(spark, monkeypatch):
+    from codequarry.operators import rules as R
+
+    least = R.Views.spread(files(spark, a="x"))
+    lineitem = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").groupBy("l_orderkey").count()
+    assert R.Views.spread(lineitem) == least == 8
+    monkeypatch.setattr(R, "PARTITION_BYTES", 1000)
+    assert R.Views.spread(lineitem) == -(-os.path.getsize("/root/testdata/sf0.001/lineitem.parquet") // 1000) > 8
+    assert R.Views.spread(files(spark, a="x")) == 8
+
+
+def test_scans_leave_nothing_in_the_shared_folder(spark, tmp_path):
+    from codequarry.storage import shared_dir
+
+    def kept():
+        folder = shared_dir(spark).removeprefix("file://")
+        return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+    before = kept()
+    with scanning(files(spark, a="todo!();"), Settings(only_rules=("FE001", "FE063"))) as found:
+        assert found.count() == 1 and kept() - before
+    assert kept() == before
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Session:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+    from codequarry.storage import shared_dir
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+
+
+def test_registered_rules(spark):
+    from codequarry.operators import rules as R
+    from codequarry.operators.rule_table import Rule
+
+    @R.register_rule(900)
+    def long_lines(views):
+        return R._candidates(views.lines.where("length(text) > 20"), views.id_of(900), "line", F.lit(1), F.lit("long line"))
+
+    try:
+        extra = [Rule("FE900", "long-line", "lint", "info", "lines over 20 characters", None, None, ())]
+        rows = scan(files(spark, a="short\n" + "x" * 30 + "\n// scan-ignore long-line\n" + "y" * 30), ONE, extra=extra).collect()
+        assert [(r["rule_id"], r["line"], r["message"]) for r in rows] == [("FE900", 2, "long line")]
+    finally:
+        R.EXTRA_RULES.pop(900)
+
+
+def test_default_config_manifests_and_benchmark(spark, tmp_path, monkeypatch, capsys):
+    for path in ("one/src/a.rs", "two/src/b.rs", "two/src/c.txt"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("todo!();")
+    (tmp_path / "two/Cargo.toml").write_text('[workspace]\nmembers = ["../one", "gone"]\n')
+    monkeypatch.chdir(tmp_path)
+    assert cli.main(["two/Cargo.toml", "--rules", "FE001", "--json", "--quiet"]) == 1
+    assert sorted(r["file"].removeprefix(f"{tmp_path}/") for r in json.loads(capsys.readouterr().out)) == ["one/src/a.rs", "two/src/b.rs"]
+    (tmp_path / "codequarry.toml").write_text("[rules]\nFE001 = false\n")
+    assert cli.main(["one", "--rules", "FE001"]) == 0 and "no rule is enabled" in capsys.readouterr().err
+    (tmp_path / "codequarry.toml").write_text("nonsense")
+    assert cli.main(["one"]) == 2 and "codequarry.toml: line 1" in capsys.readouterr().err
+    (tmp_path / "codequarry.toml").unlink()
+    assert cli.main(["one", "--rules", "FE001", "--benchmark", "2"]) == 0
+    text = capsys.readouterr().out
+    assert text.count("run ") == 2 and [line.split(":")[0] for line in text.splitlines()[-4:]] == ["min", "max", "mean", "median"]
+    assert cli.main(["one", "--benchmark=0"]) == 2 and cli.main(["--version"]) == 0
+    capsys.readouterr()
+    assert cli.main(["one", "--rules", "FE001", "--sarif", "--output", f"file://{tmp_path}/report"]) == 1
+    (line,) = [r["value"] for r in spark.read.text(f"file://{tmp_path}/report").collect()]
+    assert isinstance(json.loads(line)["help"], str)
+    assert cli.main(["one", "--rules", "FE001"]) == 1
+    assert "files/s" in capsys.readouterr().err
+
+
 def test_command_line(spark, tree, capsys):
     assert cli.main([str(tree), "--rules", "fe001,FE999", "--json"]) == 1
     assert sorted(r["line"] for r in json.loads(capsys.readouterr().out)) == [1, 2]
