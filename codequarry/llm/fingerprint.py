@@ -88,7 +88,8 @@ def _repeated_forms(given: DataFrame, slim: DataFrame, digits: int) -> DataFrame
     changed = slim.join(repeated.withColumnRenamed("digest", "edited_digest"), "edited_digest", "left_semi").select("key", "next_key").distinct()
     wanted = keep(own.union(changed.select("key")).union(changed.select("next_key")).distinct(), "wanted")
     near = bitmap_filter(given.select("key", "text"), "key", wanted)
-    texts = keep(near.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")), "texts")
+    # wanted keys are distinct: a semi join would be pushed below the bitmap and move every text
+    texts = keep(near.join(wanted, "key").groupBy("key").agg(F.min("text").alias("text")), "texts")
     other = texts.select(F.col("key").alias("next_key"), F.col("text").alias("other"))
     pairs = changed.join(texts, "key").join(other, "next_key")
     forms = texts.select(canonical(F.col("text")).alias("form")).union(pairs.select(canonical(_edited("text", "other")).alias("form")))
