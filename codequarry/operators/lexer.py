@@ -60,12 +60,19 @@ def raw_tokens(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(F.regexp_extract_all("content", F.lit(TOKEN), 0)).alias("idx", "text"))
 
 
+def _is_space(token: Column) -> Column:
+    """Whether a token is white space: its first character tells."""
+    return F.ascii(token).isin(9, 10, 12, 13, 32)
+
+
 def _kind(text: Column) -> Column:
+    """A token's kind, from how it begins; no pattern is run over tokens again. An r before a quote or a hash is a token with them only in a raw string."""
+    first = F.ascii(text)
     return (
-        F.when(text.rlike(r"^(//|/\*)"), "comment")
-        .when(text.rlike(r'^(r#*"|"|\')'), "literal")
-        .when(text.rlike(r"^[A-Za-z_]"), "ident")
-        .when(text.rlike(r"^[ \t\r\n\f]"), "space")
+        F.when(text.startswith("//") | text.startswith("/*"), "comment")
+        .when(first.isin(34, 39) | text.startswith('r"') | text.startswith("r#"), "literal")
+        .when(first.between(97, 122) | first.between(65, 90) | (first == 95), "ident")
+        .when(_is_space(text), "space")
         .otherwise("mark")
     )
 
@@ -83,16 +90,13 @@ def _placed(files: DataFrame) -> DataFrame:
     def depth(opening: str, closing: str) -> Column:
         return F.coalesce(F.sum(F.when(text == opening, 1).when(text == closing, -1).otherwise(0)).over(past), F.lit(0))
 
-    def is_space(token: Column) -> Column:
-        return token.rlike(r"^[ \t\r\n\f]")
-
     (p1, p2), (n1, n2) = ([step("text", k).over(window) for k in (1, 2)] for step in (F.lag, F.lead))
     return raw_tokens(files).withColumns(
         {
             "kind": _kind(text), "start": F.coalesce(F.sum(size).over(past), F.lit(0)), "line": (1 + F.coalesce(F.sum(newlines).over(past), F.lit(0))).cast("int"),
             "parens": depth("(", ")"), "brackets": depth("[", "]"), "braces": depth("{", "}"),
-            "gap": F.when(is_space(p1), p1).otherwise(""), "before": F.when(is_space(p1), p2).otherwise(p1),
-            "gap_after": F.when(is_space(n1), n1).otherwise(""), "after": F.when(is_space(n1), n2).otherwise(n1),
+            "gap": F.when(_is_space(p1), p1).otherwise(""), "before": F.when(_is_space(p1), p2).otherwise(p1),
+            "gap_after": F.when(_is_space(n1), n1).otherwise(""), "after": F.when(_is_space(n1), n2).otherwise(n1),
         }
     ).withColumns({"end": F.col("start") + size, "line_from": F.when(newlines > 0, F.col("start") + size - F.octet_length(F.regexp_extract(text, r"[^\n]*\z", 0)))})
 

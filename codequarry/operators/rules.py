@@ -103,9 +103,8 @@ class Views:
 
     @cached_property
     def declarations(self) -> DataFrame:
-        # lexed anew: the tokens arrive dealt and in order, which a table of them would not be
-        found = self.shared(syntax.statements(self.files), "statements")
-        return self.shared(syntax.declarations(found), "declarations")
+        # lexed anew: the tokens arrive dealt by path, which a table of them would not be, so nothing is shuffled or written on the way
+        return self.shared(syntax.declarations(syntax.statements(self.files)), "declarations")
 
     @cached_property
     def regex_sites(self) -> DataFrame:

@@ -17,10 +17,8 @@ def directives(lines: DataFrame, settings: Settings = Settings()) -> DataFrame:
     comment = comment_text(F.col("text"))
     word = settings.directive
     held = lines.where(F.col("text").contains(word)).withColumn("comment", comment).where(F.col("comment").contains(word))
-    rest = F.substring_index("comment", word, -1)
     first = F.expr(f"substring(comment, locate('{word}', comment) + {len(word)})")
     by_file = F.expr(f"substring(comment, locate('{word}-file', comment) + {len(word) + 5})")
-    del rest
     forms = held.select(
         "path", "line", "text", F.when(F.col("comment").contains(f"{word}-file"), by_file).alias("file_rest"), F.when(~first.startswith("-file"), first).alias("line_rest")
     )

@@ -170,32 +170,29 @@ def declarations(found: DataFrame) -> DataFrame:
     beyond the file's tokens where there is none. The depths are those of the statement. A let with one of ( { [ , before its = binds the identifiers of the pattern, but path
     segments, field names, constructor names, names after mut or another word, and names that begin with an underscore; repeated names count once.
     """
-    far = F.lit(2**31 - 1)
-    begun, depths = F.col("begins"), ["parens", "brackets", "braces"]
+    far, begun, depths = F.lit(2**31 - 1), F.col("begins"), ["parens", "brackets", "braces"]
 
     def following(text: str, *partition: str):
-        """For each beginning the next token of that text at its depth."""
-        later = _order(*partition).rowsBetween(1, Window.unboundedFollowing)
-        return F.first(F.when(F.col("text") == text, F.col("idx")), True).over(later)
-
-    ends = found.where(begun | (F.col("text") == ";")).withColumn("after", following(";", *depths)).where(begun).select("path", F.col("idx").alias("statement_idx"), "after", *depths)
-    scopes = found.where(begun | (F.col("text") == "}")).withColumn("scope_end", following("}", "braces")).where(begun).select("path", F.col("idx").alias("statement_idx"), "scope_end")
-    spans = ends.join(scopes, ["path", "statement_idx"]).withColumns({"after": F.coalesce("after", far), "scope_end": F.coalesce("scope_end", far)})
-    head = found.where("in_head").withColumnRenamed("after", "next").drop(*depths).join(spans, ["path", "statement_idx"]).where("idx < after")
+        """The next token of that text among those of the same depth; in falling order, so that it is a last value so far."""
+        later = Window.partitionBy("path", *partition).orderBy(F.col("idx").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.last(F.when(F.col("text") == text, F.col("idx")), True).over(later), far)
+
+    ended = found.withColumnRenamed("after", "next").withColumns({"after": following(";", *depths), "scope_end": following("}", "braces")})
+    # the tokens of a head stand between its beginning and the next one, so the latest beginning is theirs
+    span = F.last(F.when(begun, F.struct("after", "scope_end", *depths)), True).over(_order().rowsBetween(Window.unboundedPreceding, 0))
+    head = ended.withColumn("span", span).where("in_head").drop("after", "scope_end", *depths).select("*", "span.*").where("idx < after")
     whole = Window.partitionBy("path", "statement_idx")
-    head = head.withColumn("n", F.row_number().over(whole.orderBy("idx")))
     mut = (F.col("n") == 1) & (F.col("text") == "mut") & F.col("gap_after").startswith(" ")
-    pattern = head.where("word = 'let'").withColumn("mut_first", F.max(mut).over(whole)).where(~mut)
-    pattern = pattern.withColumn("several", F.max(F.col("text").rlike(r"[(\[{,]")).over(whole))
-    plain = ~F.col("several") & (F.col("n") == F.when(F.col("mut_first"), 2).otherwise(1)) & (F.col("kind") == "ident")
+    head = head.withColumn("n", F.row_number().over(whole.orderBy("idx"))).withColumns({"mut": mut, "is_let": F.col("word") == "let"})
+    head = head.withColumns({"mut_first": F.max("mut").over(whole), "several": F.max(F.col("text").rlike(r"[(\[{,]")).over(whole)}).where("not (is_let and mut)")
+    plain = ~F.col("several") & (F.col("n") == F.when(F.col("mut_first"), 2).otherwise(1))
     previous = F.when((F.col("n") == 1) | (F.col("mut_first") & (F.col("n") == 2)), F.lit(None)).otherwise(F.col("before"))
     constructor = F.coalesce(F.col("next").isin("(", "{", "["), F.lit(False)) & F.col("text").rlike("^[A-Z]")
-    in_pattern = F.col("several") & (F.col("kind") == "ident") & ~F.col("text").isin("mut", "ref", "pub") & ~constructor & ~F.coalesce(F.col("next").startswith(":"), F.lit(False)) & ~F.coalesce(previous.rlike("[A-Za-z0-9_]$"), F.lit(False))
-    lets = pattern.where((plain | in_pattern) & ~F.col("text").startswith("_")).withColumn("n_name", F.row_number().over(Window.partitionBy("path", "statement_idx", "text").orderBy("idx"))).where("n_name = 1")
-    named = F.when(F.col("word") == "pub", 2).otherwise(1)
-    consts = head.where((F.col("word") != "let") & (F.col("n") == named) & (F.col("kind") == "ident") & F.col("next").rlike("^[:=]") & ~F.col("text").startswith("_"))
-    columns = ["path", F.col("text").alias("name"), "idx", "line", "col", "after", "scope_end", *depths]
-    return lets.select(F.lit("let").alias("binding"), *columns).unionByName(consts.select(F.lit("const").alias("binding"), *columns))
+    in_pattern = F.col("several") & ~F.col("text").isin("mut", "ref", "pub") & ~constructor & ~F.coalesce(F.col("next").startswith(":"), F.lit(False)) & ~F.coalesce(previous.rlike("[A-Za-z0-9_]$"), F.lit(False))
+    const_name = (F.col("n") == F.when(F.col("word") == "pub", 2).otherwise(1)) & F.coalesce(F.col("next").rlike("^[:=]"), F.lit(False))
+    named = head.where((F.col("kind") == "ident") & ~F.col("text").startswith("_") & F.when(F.col("is_let"), plain | in_pattern).otherwise(const_name))
+    first = named.withColumn("n_name", F.row_number().over(Window.partitionBy("path", "statement_idx", "text").orderBy("idx"))).where("n_name = 1")
+    return first.select(F.when(F.col("is_let"), "let").otherwise("const").alias("binding"), "path", F.col("text").alias("name"), "idx", "line", "col", "after", "scope_end", *depths)
 
 
 def uses_of(files: DataFrame, declared: DataFrame) -> DataFrame:
