@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codequarry.llm import decontaminate, extract, fingerprint, langid, licenses, packing, quality, simhash, spiece, warc
+from codequarry.llm import collocations, conversation, decontaminate, extract, fingerprint, langid, licenses, packing, quality, simhash, spiece, token_counts, warc
 from codequarry.llm.tables import held_out, table
 
 TOKENIZER = "piece_bpe_32k.model"
+COUNTED_TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,10 +46,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path(TOKENIZER))
+    return str(public_tokenizers.path(name))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +72,20 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(COUNTED_TOKENIZER))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.repair(conversation.damage(table(spark, sf_dir, "conversations")), copies_col="copies")
+
+
 def queries() -> dict:
-    named = {f.__name__: f for f in (op1_quality, op2_packing, op3_decontamination, op4_fingerprint, op5_html_extraction, op6_language_id, op7_sentencepiece, op8_warc, op9_simhash_near_dedup, op10_licenses)}
+    named = {f.__name__: f for f in (op1_quality, op2_packing, op3_decontamination, op4_fingerprint, op5_html_extraction, op6_language_id, op7_sentencepiece, op8_warc, op9_simhash_near_dedup, op10_licenses, op11_token_counts, op12_collocations, op13_conversation_repair)}
     return named | {"pipeline": corpus_pipeline.run}
 
 
@@ -86,5 +99,25 @@ from d left join f on f.payload_digest = d.payload_digest
 """
 
 
+OP12_SQL = r"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+     pieces as (select lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) as piece from d),
+     w as (select lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') as words from pieces),
+     grams as (select lang, k.k, unnest(list_transform(range(1, len(words) - k.k + 2), lambda i: array_to_string(words[i:i + k.k - 1], ' '))) as phrase from w, (values (1), (2), (3)) as k(k) where len(words) >= k.k),
+     f as materialized (select lang, k, phrase, count(*)::bigint as a from grams group by all),
+     n as (select lang, sum(a)::bigint as n from f where k = 1 group by 1),
+     c as (select *, string_split(phrase, ' ') as words from f where k > 1 and a >= 10),
+     longer as (select lang, unnest([array_to_string(words[1:k - 1], ' '), array_to_string(words[2:k], ' ')]) as phrase, a from c where k > 2),
+     most as (select lang, phrase, max(a) as longest from longer group by all),
+     cuts as (select c.lang, c.phrase, c.a, t.t as k, array_to_string(words[1:t.t], ' ') as lp, array_to_string(words[t.t + 1:], ' ') as rp
+              from c left join most on most.lang = c.lang and most.phrase = c.phrase, (values (1), (2)) as t(t) where t.t < c.k and (longest is null or 100 * longest < 50 * c.a)),
+     scored as (select cuts.lang, cuts.phrase, cuts.a, x.a as l, y.a as r, cuts.k, ((1000000::hugeint * cuts.a * cuts.a) // (x.a::hugeint * y.a))::bigint as score
+                from cuts join f as x on x.lang = cuts.lang and x.phrase = lp join f as y on y.lang = cuts.lang and y.phrase = rp),
+     least as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+     ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from least)
+select ranked.lang, rank, phrase, a, l, r, n, score from ranked join n on n.lang = ranked.lang where rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL}
+    return {"op8_warc": OP8_SQL, "op12_collocations": OP12_SQL}
