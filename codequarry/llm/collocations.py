@@ -27,7 +27,7 @@ from codequarry.llm.tables import utf8
 from codequarry.storage import keep
 
 #: bytes of text in a shard's automaton
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: bits of the bitmap of frequent phrases
 LOG_BITS = 26
 #: groups in which a language's best phrases are found before they meet
@@ -50,19 +50,23 @@ class Automaton:
     A state is a chain of links with equal counts.
     """
 
-    def __init__(self, words: list[bytes], depth: int):
+    def __init__(self, texts: list[bytes], depth: int):
         known: dict[bytes, int] = defaultdict(count(1).__next__)
         known[b"."] = 0
+        words = words_of(texts)
         ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        # the words are many small objects: they go before anything is sorted
+        del words
         self.words = pa.array(known, pa.binary())
+        base = len(known)
+        del known
         self.ids, self.depth = ids, depth
-        n, base = len(ids), len(known)
+        n = len(ids)
         self.count, self.link, self.prefix, self.end = {}, {}, {}, {}
         #: node of the k words that end at a position, -1 where a piece has fewer before it
         at = np.full(n, -1, np.int64)
         ends = np.flatnonzero(ids)
         self.total = len(ends)
-        before = at
         for k in range(1, depth + 1):
             if k > 1:
                 ends = ends[(ends >= k - 1)]
@@ -72,9 +76,8 @@ class Automaton:
             self.end[k] = ends[first]
             self.link[k] = at[self.end[k]]
             self.prefix[k] = at[self.end[k] - 1] if k > 1 else self.link[k]
-            before, at = at, np.full(n, -1, np.int64)
+            at = np.full(n, -1, np.int64)
             at[ends] = which
-        del before
 
     def states(self) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
         """(nodes, longest, shortest, count) of the states whose longest substrings are these nodes of depth longest."""
@@ -122,7 +125,7 @@ def _place(lang: bytes, phrase: bytes) -> int:
 def _shard_rows(by_lang: dict[bytes, list[bytes]], least: int, most: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """(lang, phrase, size, a) of a shard; with least 1 also the number of words, as size 0."""
     for lang, texts in by_lang.items():
-        automaton = Automaton(words_of(texts), most)
+        automaton = Automaton(texts, most)
         texts.clear()
         if least == 1 and automaton.total:
             yield _batch(lang, pa.array([b""], pa.binary()), 0, np.array([automaton.total]))
@@ -136,8 +139,8 @@ def _shard_rows(by_lang: dict[bytes, list[bytes]], least: int, most: int, bits:
             if k in hopeful:
                 stays = hopeful[k][automaton.link[k][nodes]] & hopeful[k][automaton.prefix[k][nodes]]
                 nodes, counts = nodes[stays], counts[stays]
-            for start in range(0, len(nodes), 1 << 16):
-                some = slice(start, start + (1 << 16))
+            for start in range(0, len(nodes), 1 << 15):
+                some = slice(start, start + (1 << 15))
                 yield _batch(lang, automaton.phrases(k, nodes[some]), k, counts[some])
 
 
@@ -154,6 +157,7 @@ def shard_counts(docs: DataFrame, text_col: str, lang_col: str, least: int, most
         by_lang: dict[bytes, list[bytes]] = defaultdict(list)
         held = 0
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             for lang, text in zip(utf8(batch.column(0)), utf8(batch.column(1))):
                 by_lang[lang].append(text)
                 held += len(text)

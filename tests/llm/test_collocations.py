@@ -60,7 +60,7 @@ def test_automaton_has_all_substrings_and_their_ends():
     rng = random.Random(4)
     for depth in (1, 2, 3, 5):
         shard = [t.encode() for t in texts(rng, 20)]
-        auto = co.Automaton(co.words_of(shard), depth)
+        auto = co.Automaton(shard, depth)
         want, ends = Counter(), defaultdict(set)
         at = 0
         for t in shard:
