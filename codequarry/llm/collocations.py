@@ -11,7 +11,6 @@ candidates those with one word more decide, since a still longer one holds one o
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -20,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.llm.tables import utf8
@@ -30,27 +29,28 @@ from codequarry.storage import keep
 SHARD_BYTES = 8 << 20
 #: bits of the bitmap of frequent phrases
 LOG_BITS = 26
+SHIFT = 11
 #: groups in which a language's best phrases are found before they meet
 GROUPS = 256
 
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\x0a\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz" + b"." * 9)
-_WORDS = re.compile(rb"[^\x20\x09]+")
 
 
 def words_of(texts: list[bytes]) -> list[bytes]:
     """The words of texts with A-Z in lower case; "." stands between pieces and between texts."""
-    joined = b".".join(texts).translate(_FOLD).replace(b".", b" . ")
-    return _WORDS.findall(joined)
+    # of white space only spaces and tabs are left when pieces are cut
+    return b".".join(texts).translate(_FOLD).replace(b".", b" . ").split()
 
 
 class Automaton:
     """Suffix automaton of the pieces of a shard, for substrings of at most depth words.
 
     Nodes of depth k are numbered from 0: `count[k]` has the ends of each, `link[k]` its suffix of k - 1 words, `prefix[k]` its first k - 1 words and `end[k]` one of its ends.
-    A state is a chain of links with equal counts.
+    A state is a chain of links with equal counts. hopeful: given the automaton, says of each node of one word less than depth whether the substrings of depth words that begin or end
+    with it are wanted; the others get no nodes.
     """
 
-    def __init__(self, texts: list[bytes], depth: int):
+    def __init__(self, texts: list[bytes], depth: int, hopeful=None):
         known: dict[bytes, int] = defaultdict(count(1).__next__)
         known[b"."] = 0
         words = words_of(texts)
@@ -71,6 +71,9 @@ class Automaton:
             if k > 1:
                 ends = ends[(ends >= k - 1)]
                 ends = ends[(at[ends] >= 0) & (at[ends - 1] >= 0)]
+                if hopeful and k == depth:
+                    wanted = hopeful(self)
+                    ends = ends[wanted[at[ends]] & wanted[at[ends - 1]]]
             key = ids[ends - k + 1] if k == 1 else at[ends] * base + ids[ends - k + 1]
             nodes, first, which, self.count[k] = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
             self.end[k] = ends[first]
@@ -117,28 +120,33 @@ class Automaton:
                 k -= 1
 
 
-def _place(lang: bytes, phrase: bytes) -> int:
-    """The bit of a phrase: the low bits of XXH64 as Spark's xxhash64 gives it."""
-    return xxhash.xxh64_intdigest(lang + b"\0" + phrase, 42) & (1 << LOG_BITS) - 1
+def _places(automaton: Automaton, k: int, lang: bytes) -> np.ndarray:
+    """The bit of each node of depth k, as _place() gives it."""
+    words = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in automaton.words.to_pylist()), np.uint64, len(automaton.words))
+    out = np.full(len(automaton.count[k]), xxhash.xxh64_intdigest(lang, 42), np.uint64)
+    for n in range(k):
+        out ^= words[automaton.ids[automaton.end[k] - (k - 1 - n)]] >> np.uint64(SHIFT * n)
+    return (out & np.uint64((1 << LOG_BITS) - 1)).astype(np.int64)
+
+
+def _place() -> Column:
+    """The bit of a phrase: the XXH64 of its language and words, each word's shifted by its place."""
+    return F.expr(f"(xxhash64(lang) ^ aggregate(transform(split(phrase, ' '), (w, i) -> shiftrightunsigned(xxhash64(w), {SHIFT} * i)), 0L, (a, x) -> a ^ x)) & {(1 << LOG_BITS) - 1}L")
 
 
 def _shard_rows(by_lang: dict[bytes, list[bytes]], least: int, most: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """(lang, phrase, size, a) of a shard; with least 1 also the number of words, as size 0."""
     for lang, texts in by_lang.items():
-        automaton = Automaton(texts, most)
+
+        def hopeful(automaton: Automaton) -> np.ndarray:
+            places = _places(automaton, most - 1, lang)
+            return (bits[places >> 3] >> (places & 7)) & 1 == 1
+
+        automaton = Automaton(texts, most, hopeful if bits is not None else None)
         texts.clear()
         if least == 1 and automaton.total:
             yield _batch(lang, pa.array([b""], pa.binary()), 0, np.array([automaton.total]))
-        hopeful: dict[int, np.ndarray] = {}
-        if bits is not None:
-            # nodes of one word less that may be frequent
-            k = most - 1
-            places = np.fromiter((_place(lang, p) for p in automaton.phrases(k).to_pylist()), np.int64, len(automaton.count[k]))
-            hopeful[most] = (bits[places >> 3] >> (places & 7)) & 1 == 1
         for k, nodes, counts in automaton.substrings(least, most):
-            if k in hopeful:
-                stays = hopeful[k][automaton.link[k][nodes]] & hopeful[k][automaton.prefix[k][nodes]]
-                nodes, counts = nodes[stays], counts[stays]
             for start in range(0, len(nodes), 1 << 15):
                 some = slice(start, start + (1 << 15))
                 yield _batch(lang, automaton.phrases(k, nodes[some]), k, counts[some])
@@ -146,7 +154,7 @@ def _shard_rows(by_lang: dict[bytes, list[bytes]], least: int, most: int, bits:
 
 def _batch(lang: bytes, phrases: pa.Array, size: int, counts: np.ndarray) -> pa.RecordBatch:
     n = len(phrases)
-    return pa.record_batch([pa.array([lang] * n, pa.binary()).cast(pa.string()), phrases.cast(pa.string()), pa.array(np.full(n, size, np.int32)), pa.array(counts.astype(np.int64))], names=["lang", "phrase", "size", "a"])
+    return pa.record_batch([pa.repeat(pa.scalar(lang.decode()), n), phrases.cast(pa.string()), pa.array(np.full(n, size, np.int32)), pa.array(counts.astype(np.int64))], names=["lang", "phrase", "size", "a"])
 
 
 def shard_counts(docs: DataFrame, text_col: str, lang_col: str, least: int, most: int, bits=None) -> DataFrame:
@@ -178,8 +186,7 @@ def _frequent(docs: DataFrame, text_col: str, lang_col: str, least: int, most: i
 
 def _bitmap(phrases: DataFrame) -> bytes:
     """Bitmap of (lang, phrase), 2 ** LOG_BITS bits whatever the number of phrases."""
-    place = F.xxhash64(F.concat("lang", F.lit("\0"), "phrase")).bitwiseAND(F.lit((1 << LOG_BITS) - 1)) + 1
-    at = phrases.select(place.alias("at"))
+    at = phrases.select((_place() + 1).alias("at"))
     rows = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
     out = bytearray(1 << LOG_BITS - 3)
     for r in rows:

@@ -84,6 +84,14 @@ def test_automaton_has_all_substrings_and_their_ends():
                 assert phrase.split(b" ")[1:] == link.split(b" ") and phrase.split(b" ")[:-1] == prefix.split(b" ")
 
 
+def test_bits_of_phrases_are_the_same_on_both_sides(spark):
+    auto = co.Automaton(["New york in time. the X-y é".encode()], 3)
+    for k in (1, 2, 3):
+        phrases = [p.decode() for p in auto.phrases(k).to_pylist()]
+        rows = spark.createDataFrame([("en", p, n) for n, p in enumerate(phrases)], "lang string, phrase string, n int")
+        assert [r["at"] for r in rows.select(co._place().alias("at"), "n").orderBy("n").collect()] == co._places(auto, k, b"en").tolist()
+
+
 def test_scores_beyond_64_bits(spark):
     # a * a * 1000000 and l * r pass 64 bits
     counts = [("en", "x y", 2, 3 * 10**9), ("en", "x", 1, 4 * 10**9), ("en", "y", 1, 5 * 10**9), ("en", "", 0, 10**10)]
