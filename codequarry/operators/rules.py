@@ -23,6 +23,8 @@ TOKEN_RULES = frozenset({63, 64, 65, 75, 76, 77, 78, 79, 101, 121, 122})
 #: stored bytes that a partition of sources is to come from, and what sources that do not know their size report at least
 PARTITION_BYTES = 16 << 20
 UNKNOWN_BYTES = 1 << 60
+#: partitions at most, however large the sources: the driver holds a status for each pair of map task and partition group
+MOST_PARTITIONS = 10_000
 CANDIDATE = ["path", "rule_id", "line", "column", "message", "anchor_line", "snippet", "code_only"]
 
 # fixed values: the markers that the rules look for
@@ -49,21 +51,22 @@ class Views:
 
     def __init__(self, files: DataFrame, settings: Settings = Settings(), share: bool = False):
         self.settings, self.share, self.held = settings, share, []
-        #: dealt by path; windows and joins below are on path too. The number is given, for tokens are many times the size of the contents by which partitions would be merged
-        sources = self.shared(files.select("path", "content").where("content is not null"), "sources")
-        self.files = sources.repartition(self.spread(sources), "path")
+        #: as they are stored: tokens are cut where contents are read
+        self.sources = self.shared(files.select("path", "content").where("content is not null"), "sources")
+        #: dealt by path; windows and joins over lines are on path too. The number is given, for lines are larger than the contents by which partitions would be merged
+        self.files = self.sources.repartition(self.spread(self.sources), "path")
 
     @staticmethod
     def spread(files: DataFrame) -> int:
-        """Partitions for a scan: one for each PARTITION_BYTES of the stored tables that the plan of files reads, but no fewer than the shuffle's number or four for each of the
-        cluster's cores, whichever is less. Sources that report no size do not count.
+        """Partitions for what looks at lines: one for each PARTITION_BYTES of the stored tables that the plan of files reads, but no fewer than the shuffle's number or four for each of the
+        cluster's cores, whichever is less, and no more than MOST_PARTITIONS. Sources that report no size do not count.
         """
         session = files.sparkSession
         leaves = files._jdf.queryExecution().optimizedPlan().collectLeaves()
         sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
         size = sum(n for n in sizes if n < UNKNOWN_BYTES)
         least = min(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
-        return max(least, -(-size // PARTITION_BYTES))
+        return max(least, min(MOST_PARTITIONS, -(-size // PARTITION_BYTES)))
 
     def shared(self, df: DataFrame, name: str) -> DataFrame:
         if not self.share:
@@ -82,7 +85,7 @@ class Views:
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return self.shared(lexer.tokens_of(self.files), "tokens")
+        return self.shared(lexer.tokens_of(self.sources), "tokens")
 
     @cached_property
     def invocations(self) -> DataFrame:
@@ -101,10 +104,13 @@ class Views:
     def test_functions(self) -> DataFrame:
         return self.shared(syntax.test_functions(self.tokens), "tests")
 
+    @cached_property
+    def statements(self) -> DataFrame:
+        return self.shared(lexer.statements_of(self.sources), "statements")
+
     @cached_property
     def declarations(self) -> DataFrame:
-        # lexed anew: the tokens arrive dealt by path, which a table of them would not be, so nothing is shuffled or written on the way
-        return self.shared(syntax.declarations(syntax.statements(self.files)), "declarations")
+        return self.shared(syntax.declarations(self.statements), "declarations")
 
     @cached_property
     def regex_sites(self) -> DataFrame:
@@ -228,7 +234,7 @@ def manual_clamp(views: Views) -> DataFrame:
 
 def unused_bindings(views: Views, binding: str) -> DataFrame:
     declared = views.declarations.where(F.col("binding") == binding)
-    left = syntax.unused(syntax.uses_of(views.files, declared), declared)
+    left = syntax.unused(syntax.uses_of(views.statements, declared), declared)
     number, word = (63, "variable") if binding == "let" else (64, "constant")
     return _candidates(left, views.id_of(number), "line", "col", F.concat(F.lit(f"unused {word} `"), F.col("name"), F.lit("`")))
 

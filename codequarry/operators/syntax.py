@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codequarry.operators import lexer
-
 TEST_MARKERS = ("#[test]", "#[tokio::test]", "#[actix_rt::test]", "#[actix_web::test]", "#[async_std::test]")  # fixed values
 
 
@@ -148,23 +146,8 @@ def within(points: DataFrame, intervals: DataFrame, at: str, first: str, last: s
     return found.withColumn("held", F.when(F.col("__held.last") >= F.col(at), F.col("__held"))).select(*points.columns, F.col("held.first").alias(first), F.col("held.last").alias(last))
 
 
-def statements(files: DataFrame) -> DataFrame:
-    """What declarations() reads, from one pass over the tokens in order: those that begin a line with let, const or pub const, every ; and }, and the tokens of each statement
-    before its first =.
-
-    begins and in_head tell them apart; heads carry their statement_idx and its word. before, after and gap_after are the tokens around and the white space behind.
-    """
-    text = F.col("text")
-    starts = (text.isin("let", "const") | ((text == "pub") & (F.col("after") == "const"))) & F.col("gap_after").startswith(" ")
-    begins = starts & (F.col("gap").contains("\n") | F.col("before").isNull())
-    mark = F.when(begins, F.struct("idx", text.alias("word"))).when(text.contains("=") & (F.col("kind") != "comment"), F.struct(F.lit(-1).alias("idx"), F.lit("=").alias("word")))
-    marked = lexer.tokens_of(files, mark=mark).withColumns({"begins": F.coalesce(begins, F.lit(False)), "statement_idx": F.col("mark.idx"), "word": F.col("mark.word")})
-    marked = marked.withColumn("in_head", ~F.col("begins") & F.coalesce(F.col("statement_idx") >= 0, F.lit(False)))
-    return marked.where(F.col("begins") | F.col("in_head") | text.isin(";", "}")).drop("mark", "start", "end", "gap")
-
-
 def declarations(found: DataFrame) -> DataFrame:
-    """(path, binding, name, idx, line, col, after, scope_end, parens, brackets, braces): names bound by statements that begin a line with let, const or pub const, from statements().
+    """(path, binding, name, idx, line, col, after, scope_end, parens, brackets, braces): names bound by statements that begin a line with let, const or pub const, from lexer.statements_of().
 
     binding is let or const. after: the token that ends the statement, its ; at the depth of its beginning. scope_end: the brace that closes the block around it; both far
     beyond the file's tokens where there is none. The depths are those of the statement. A let with one of ( { [ , before its = binds the identifiers of the pattern, but path
@@ -177,6 +160,7 @@ def declarations(found: DataFrame) -> DataFrame:
         later = Window.partitionBy("path", *partition).orderBy(F.col("idx").desc()).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.last(F.when(F.col("text") == text, F.col("idx")), True).over(later), far)
 
+    found = found.where(F.col("begins") | F.col("in_head") | F.col("text").isin(";", "}"))
     ended = found.withColumnRenamed("after", "next").withColumns({"after": following(";", *depths), "scope_end": following("}", "braces")})
     # the tokens of a head stand between its beginning and the next one, so the latest beginning is theirs
     span = F.last(F.when(begun, F.struct("after", "scope_end", *depths)), True).over(_order().rowsBetween(Window.unboundedPreceding, 0))
@@ -195,11 +179,10 @@ def declarations(found: DataFrame) -> DataFrame:
     return first.select(F.when(F.col("is_let"), "let").otherwise("const").alias("binding"), "path", F.col("text").alias("name"), "idx", "line", "col", "after", "scope_end", *depths)
 
 
-def uses_of(files: DataFrame, declared: DataFrame) -> DataFrame:
-    """(path, name, use): the identifiers of files that are a declared name of their file, by their token's number."""
-    names = declared.groupBy("path").agg(F.collect_set("name").alias("names"))
-    each = files.join(names, "path").select("path", "names", F.posexplode(F.regexp_extract_all("content", F.lit(lexer.TOKEN), 0)).alias("use", "name"))
-    return each.where(F.array_contains("names", F.col("name"))).select("path", "name", "use")
+def uses_of(found: DataFrame, declared: DataFrame) -> DataFrame:
+    """(path, name, use): the identifiers that are a declared name of their file, by their token's number, from lexer.statements_of()."""
+    names = declared.select("path", "name").distinct()
+    return found.where("is_use").select("path", F.col("text").alias("name"), F.col("idx").alias("use")).join(names, ["path", "name"])
 
 
 def unused(uses: DataFrame, declared: DataFrame) -> DataFrame:

@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import groupby
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codequarry.session import ship_package
+
+#: bytes of a piece of a file that is read in splits, at least, but for its last
+PIECE_BYTES = 8 << 20
+
 
 def compile_pattern(pattern: str) -> str | None:
     """The pattern without surrounding white space, leading ./ and trailing /; None if nothing is left."""
@@ -68,11 +76,25 @@ def read_tree(spark: SparkSession, root: str, exclude: tuple[str, ...] = ("targe
     """
     if not _is_folder(spark, root):
         return _decoded(spark.read.format("binaryFile").load(root))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return _decoded(found.where(_wanted(root, exclude, include)))
+
+
+def _wanted(root: str, exclude: tuple[str, ...], include: tuple[str, ...]) -> Column:
     base = re.sub(r"^file:(//)?", "", root).rstrip("/")
-    path = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:(//)?", "")
-    wanted = path.endswith(".rs") | matches_pattern(path, include, base)
+    path = _plain_url(F.col("_metadata.file_path"))
+    return (path.endswith(".rs") | matches_pattern(path, include, base)) & ~matches_pattern(path, exclude, base)
+
+
+def list_tree(spark: SparkSession, root: str, exclude: tuple[str, ...] = ("target", ".git"), include: tuple[str, ...] = ()) -> DataFrame:
+    """(path, modified, length) of the files that read_tree() reads; no content is read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return _decoded(found.where(wanted & ~matches_pattern(path, exclude, base)))
+    found = found.where(_wanted(root, exclude, include)) if _is_folder(spark, root) else found
+    return found.select(_plain("path").alias("path"), F.col("modificationTime").alias("modified"), "length")
+
+
+def _plain_url(path: Column) -> Column:
+    return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:(//)?", "")
 
 
 def _plain(column: str) -> Column:
@@ -84,6 +106,44 @@ def _decoded(found: DataFrame) -> DataFrame:
     return found.select(_plain("path").alias("path"), F.when(F.is_valid_utf8(text), text).alias("content"))
 
 
+def _lines_as_pieces(most_bytes: int):
+    """A mapInArrow function from lines (path, block, size, value) of splits to pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        for (path, block, size), lines in groupby(rows, key=lambda r: r[:3]):
+            held, n_bytes, piece = [], 0, 0
+            for *_, line in lines:
+                held.append(line)
+                n_bytes += len(line) + 1
+                if n_bytes >= most_bytes:
+                    yield _piece(path, block, piece, size, held)
+                    held, n_bytes, piece = [], 0, piece + 1
+            if held:
+                yield _piece(path, block, piece, size, held)
+
+    return run
+
+
+def _piece(path: str, block: int, piece: int, size: int, lines: list[str]) -> pa.RecordBatch:
+    one = {"path": path, "block": block, "piece": piece, "content": "\n".join(lines) + "\n", "size": size}
+    return pa.record_batch([pa.array([v], t) for v, t in zip(one.values(), (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64()))], names=list(one))
+
+
+def read_pieces(spark: SparkSession, root: str, piece_bytes: int = PIECE_BYTES, pattern: str = "*") -> DataFrame:
+    """pieces(path, block, piece, content, size) of the text files below root whose names match a pattern: for files too large for one task.
+
+    Spark cuts files into splits; a split's lines become pieces of at least piece_bytes that end with a newline, the last of a file too. size is the file's bytes, from which
+    lexer.tokens_of_pieces() knows whether its last line had one. A line is never cut.
+    """
+    ship_package(spark)
+    found = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    meta = [F.col(f"_metadata.{c}") for c in ("file_path", "file_block_start", "file_size")]
+    path = _plain_url(meta[0])
+    lines = found.select(path.alias("path"), meta[1].alias("block"), meta[2].alias("size"), "value")
+    return lines.mapInArrow(_lines_as_pieces(piece_bytes), "path string, block bigint, piece int, content string, size bigint")
+
+
 def workspace_members(manifest: str) -> list[str]:
     """The members of a [workspace] table of a manifest text, on one line or several; patterns are not expanded."""
     section = re.search(r"(?ms)^\s*\[workspace\]\s*$(.*?)(?=^\s*\[|\Z)", manifest)
