@@ -54,6 +54,15 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views(spark, sf_dir).tokens.select("path", "idx", "text", "kind", "line", "col", "parens", "brackets", "braces")
 
 
+def split_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens again, of files cut into pieces of three lines that are lexed apart."""
+    lines = F.split("content", r"(?<=\n)", -1)
+    n = F.col("n")
+    cut = views(spark, sf_dir).sources.select("path", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 3).cast("int")), lambda i: F.array_join(F.slice(lines, 3 * i + 1, 3), ""))).alias("n", "content"))
+    pieces = cut.select("path", (n / 2).cast("bigint").alias("block"), (n % 2).alias("piece"), "content", F.lit(None).cast("bigint").alias("size"))
+    return lexer.tokens_of_pieces(pieces).select("path", "idx", "text", "kind", "line", "col", "parens", "brackets", "braces")
+
+
 def invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views(spark, sf_dir).invocations.select("path", "idx", "line", "col", "name", "method", "kind")
 
@@ -192,7 +201,7 @@ def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 PLAIN: dict[str, Query] = {
     f"q_{f.__name__}": f
     for f in (
-        lines, token_index, tokens, invocations, method_chains, chain_calls, test_functions, declarations, regex_sites, env_bound_vars, directives, suppressed_rules, prefilter_files,
+        lines, token_index, tokens, split_tokens, invocations, method_chains, chain_calls, test_functions, declarations, regex_sites, env_bound_vars, directives, suppressed_rules, prefilter_files,
         severity_override, baseline_signatures, baseline_apply, dead_suppressions, suppressed_findings, prefilter_losses, rules_enabled, rules_chosen, sarif_levels, json_rows, path_globs, scan_summary, bench_stats, cache_misses,
     )
 }

@@ -41,9 +41,14 @@ suppressed as (
   select distinct path, line, form, rule_id from directives, rules
   where lower(token) in ('all', lower(rule_id), lower(rule_name), lower(category)))"""
 
+#: a comment whose text has no other stars and slashes, with comments in it
+_COMMENT = r"/\*[^*/]*\*/"
+for _ in range(40):
+    _COMMENT = rf"/\*(?:[^*/]|{_COMMENT})*\*/"
+
 TOKENS = r"""
-split as (
-  select path, regexp_extract_all(content, '//[^\n]*|/\*(?s:.*?)(?:\*/|\z)|r"(?s:[^"]*)(?:"|\z)|r#"(?s:.*?)(?:"#|\z)|r##"(?s:.*?)(?:"##|\z)|"[^"\\]*(?:\\(?s:.)[^"\\]*)*(?:"|\\?\z)|''[^''\\]*(?:\\(?s:.)[^''\\]*)*(?:''|\\?\z)|[A-Za-z_][A-Za-z0-9_]*|[ \t\r\n\f]+|::|(?s:.)') as list
+split as materialized (
+  select path, regexp_extract_all(content, '//[^\n]*|COMMENT|/\*(?s:.*?)(?:\*/|\z)|r"(?s:[^"]*)(?:"|\z)|r#"(?s:.*?)(?:"#|\z)|r##"(?s:.*?)(?:"##|\z)|"[^"\\]*(?:\\(?s:.)[^"\\]*)*(?:"|\\?\z)|''[^''\\]*(?:\\(?s:.)[^''\\]*)*(?:''|\\?\z)|[A-Za-z_][A-Za-z0-9_]*|[ \t\r\n\f]+|::|(?s:.)') as list
   from files),
 every as (select path, list[i] as text, (i - 1)::int as idx from (select path, list, unnest(range(1, len(list) + 1)) as i from split)),
 placed as (
@@ -54,10 +59,10 @@ placed as (
          coalesce(sum(case text when '{' then 1 when '}' then -1 else 0 end) over w, 0)::int as braces, lag(text) over (partition by path order by idx) as before
   from every window w as (partition by path order by idx rows between unbounded preceding and 1 preceding)),
 ended as (select *, case when contains(text, chr(10)) then start + strlen(text) - strlen(regexp_extract(text, '[^\n]*\z')) end as line_start from placed),
-tokens as (
+tokens as materialized (
   select path, idx, text, kind, start, line, (start - coalesce(max(line_start) over (partition by path order by idx rows between unbounded preceding and 1 preceding), 0) + 1)::int as col,
          parens, brackets, braces, case when regexp_matches(before, '^[ \t\r\n\f]') then before else '' end as gap
-  from ended qualify kind <> 'space')"""
+  from ended qualify kind <> 'space')""".replace("COMMENT", _COMMENT)
 
 PAIRS = """
 levels as (select path, idx, text, start, line, parens - (text = ')')::int as level from tokens where text in ('(', ')')),
@@ -102,14 +107,14 @@ tests as (
 
 DECLARED = r"""
 aside as (select *, lag(text) over w as p1, lead(text) over w as n1, lead(gap) over w as g1 from tokens window w as (partition by path order by idx)),
-flagged as (select *, (contains(gap, chr(10)) or p1 is null) and coalesce(starts_with(g1, ' '), false) and coalesce(text in ('let', 'const') or text = 'pub' and n1 = 'const', false) as begins from aside),
+flagged as materialized (select *, (contains(gap, chr(10)) or p1 is null) and coalesce(starts_with(g1, ' '), false) and coalesce(text in ('let', 'const') or text = 'pub' and n1 = 'const', false) as begins from aside),
 ends as (select path, idx, min(case when text = ';' then idx end) over (partition by path, parens, brackets, braces order by idx rows between 1 following and unbounded following) as after from flagged where begins or text = ';'),
 scopes as (select path, idx, min(case when text = '}' then idx end) over (partition by path, braces order by idx rows between 1 following and unbounded following) as scope_end from flagged where begins or text = '}'),
 spans as (
   select f.path, f.idx as begin, f.text as word, coalesce(e.after, 2147483647) as after, coalesce(s.scope_end, 2147483647) as scope_end
   from flagged f join ends e on e.path = f.path and e.idx = f.idx join scopes s on s.path = f.path and s.idx = f.idx where f.begins),
 owned as (select *, max(case when begins then idx end) over (partition by path order by idx) as begin from flagged),
-inner_tokens as (select a.*, s.word, s.after, s.scope_end, row_number() over (partition by a.path, a.begin order by a.idx) as n,
+inner_tokens as materialized (select a.*, s.word, s.after, s.scope_end, row_number() over (partition by a.path, a.begin order by a.idx) as n,
                  max(case when contains(a.text, '=') and a.kind <> 'comment' then 1 else 0 end) over (partition by a.path, a.begin order by a.idx) as passed
           from owned a join spans s on s.path = a.path and s.begin = a.begin where a.idx > a.begin and a.idx < s.after),
 pattern as (select *, max(n = 1 and text = 'mut' and starts_with(g1, ' ')) over (partition by path, begin) as mut_first, max(regexp_matches(text, '[(\[{,]')) over (partition by path, begin) as several
@@ -159,11 +164,11 @@ chains as (select * from (select *, max(case when n_calls > 0 then end_idx end)
 chain_calls as (select c.*, array_to_string(s.list[c.open_idx + 2 : c.close_idx], '') as args from all_calls c join chains h on h.path = c.path and h.root_idx = c.root_idx join split s on s.path = c.path)"""
 
 _BALANCED = r"[^()]*"
-for _ in range(5):
+for _ in range(10):
     _BALANCED = rf"[^()]*(?:\({_BALANCED}\)[^()]*)*"
 _LITERAL = r'"[^"\\]*(?:\\(?s:.)[^"\\]*)*"|r"[^"]*"|r#"(?s:.*?)"#|r##"(?s:.*?)"##'
 _ARGUMENT = _PLAIN = rf"(?:{_LITERAL}|[^()])*"
-for _ in range(3):
+for _ in range(8):
     _ARGUMENT = rf"{_PLAIN}(?:\({_ARGUMENT}\){_PLAIN})*"
 
 
@@ -376,7 +381,7 @@ def plain_sql() -> dict[str, str]:
     return {
         "q_lines": _with(LINES) + " select path, line, text from lines",
         "q_token_index": _with() + " select distinct path, lower(unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*'))) as token from files",
-        "q_tokens": _with(TOKENS) + " select path, idx, text, kind, line, col, parens::bigint as parens, brackets::bigint as brackets, braces::bigint as braces from tokens",
+        **dict.fromkeys(("q_tokens", "q_split_tokens"), _with(TOKENS) + " select path, idx, text, kind, line, col, parens::bigint as parens, brackets::bigint as brackets, braces::bigint as braces from tokens"),
         "q_invocations": _with(*syntax, CALLS) + " select path, idx, line, col, name, method, kind from calls",
         "q_method_chains": _with(*syntax, CHAINS) + " select path, root_idx, root, line, col, n_calls, end_idx from chains",
         "q_chain_calls": _with(*syntax, CHAINS) + " select path, root_idx, idx, name, line, col, args from chain_calls",
