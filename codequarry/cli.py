@@ -39,6 +39,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--init-baseline", help="write the findings as a baseline to a new folder")
     p.add_argument("--cache", help="folder of the incremental cache")
     p.add_argument("--output", help="write the report, one row a line, to a new folder: distributed, for reports of any size")
+    p.add_argument("--document", help="write the report as one file, made in the store by the executors: for reports of any size")
     p.add_argument("--benchmark", nargs="?", type=_iterations, const=5, metavar="N", help="scan N times (5) and report the times")
     p.add_argument("--quiet", action="store_true", help="no progress")
     p.add_argument("--list-rules", action="store_true")
@@ -173,11 +174,18 @@ def _report(args: argparse.Namespace, settings: Settings, files, n_files: int, n
         empty = found.isEmpty()
         took = time.perf_counter() - began
         tell(f"info: scanned {n_files} files with {n_rules} rules in {took:.2f}s ({n_files / max(took, 0.001):.1f} files/s)\n")
-        if args.output:
+        if args.document:
+            form = "json" if args.json else "sarif" if args.sarif else "human"
+            report.write_document(found, args.document, form, "codequarry", VERSION, args.pretty, n_files, n_rules)
+        elif args.output:
             report.write_findings(found, args.output, "json" if args.json else "sarif" if args.sarif else "human")
+        elif (args.json or args.sarif) and not args.pretty:
+            for text in report.document_rows(found, "json" if args.json else "sarif", "codequarry", VERSION):
+                out(text)
+            out("\n")
         elif args.json or args.sarif:
             text = report.json_document(found) if args.json else report.sarif_document(found, "codequarry", VERSION)
-            out(report.pretty_json(text) if args.pretty else text + "\n")
+            out(report.pretty_json(text))
         else:
             out(report.human_document(found, n_files, n_rules))
         found.unpersist()

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.session import ship_package
+
 from codequarry.plans.scan import FINDING, ordered, signatures
 
 BASELINE_HEAD = "# baseline v1"
@@ -56,18 +63,126 @@ def write_findings(findings: DataFrame, path: str, form: str = "json") -> None:
     text.write.text(path)
 
 
+SARIF_HEAD = '{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{driver}}},"results":['
+SARIF_TAIL = "]}]}"
+
+
+def _separated(rows: DataFrame) -> DataFrame:
+    """The one column of rows, with a comma behind each row of a partition but its last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        for batch in batches:
+            if batch.num_rows:
+                texts = held + batch.column(0).to_pylist()
+                held = texts[-1:]
+                yield pa.record_batch([pa.array([t + "," for t in texts[:-1]], pa.string())], names=["text"])
+        yield pa.record_batch([pa.array(held, pa.string())], names=["text"])
+
+    return rows.mapInArrow(run, "text string")
+
+
+def _indented(rows: DataFrame, levels: int) -> DataFrame:
+    """The JSON objects of the one column of rows over several lines, so many levels deep."""
+    pad = "  " * levels
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array([pad + pretty_json(t).rstrip("\n").replace("\n", "\n" + pad) for t in batch.column(0).to_pylist()], pa.string())], names=["text"])
+
+    return rows.mapInArrow(run, "text string")
+
+
+def write_document(findings: DataFrame, path: str, form: str = "json", tool: str = "codequarry", version: str = "0", pretty: bool = False, n_files: int = 0, n_rules: int = 0) -> None:
+    """The findings in report order as one file: a JSON array, a SARIF log or the human report; fails where the path exists.
+
+    The executors sort the rows and write them in ordered parts, with what stands between rows already in place; Spark's committer makes the parts complete before any is looked at. They are then
+    joined in the store, by its own concatenation where it has one, else by copying with a small buffer, under another name that becomes path at the end. No row passes through the driver's
+    memory, and what breaks off leaves no document.
+    """
+    spark = ship_package(findings.sparkSession)
+    rows = ordered(findings)
+    if form == "human":
+        texts, head, tail = human_rows(rows).select(F.regexp_replace("text", r"\n\z", "").alias("text")), "", None
+    else:
+        texts = rows.select((json_row() if form == "json" else sarif_row()).alias("text"))
+        driver = json.dumps({"name": tool, "version": version}, separators=(",", ":"))
+        head, tail = ("[", "]") if form == "json" else (SARIF_HEAD.format(driver=driver), SARIF_TAIL)
+        texts = _separated(_indented(texts, 1 if form == "json" else 4) if pretty else texts)
+    fs = spark._jvm.org.apache.hadoop.fs
+    target = fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(target):
+        raise FileExistsError(path)
+    work = f"{path}.parts-{uuid.uuid4().hex}"
+    try:
+        texts.write.text(f"{work}/rows")
+        listed = [s for s in system.listStatus(fs.Path(f"{work}/rows")) if s.getPath().getName().startswith("part-") and s.getLen()]
+        parts = [s.getPath() for s in sorted(listed, key=lambda s: s.getPath().getName())]
+        if tail is None:
+            n = findings.count()
+            tail = ("\n" if n else "") + summary_line(n, n_files, n_rules).removesuffix("\n")
+        if pretty and form != "human":
+            # what a pretty printer makes of the document without rows, cut where they belong; parts end with a newline
+            head, tail = pretty_json(head + "\0" + tail).removesuffix("\n").split("\0") if parts else (pretty_json(head + tail).removesuffix("\n"), "")
+            head, tail = (head.rstrip() + "\n", tail.removeprefix("\n")) if parts else (head, tail)
+        pieces = [_small(system, fs.Path(f"{work}/head"), head)]
+        for n, part in enumerate(parts):
+            if n and form != "human":
+                pieces.append(_small(system, fs.Path(f"{work}/between-{n}"), ",\n"))
+            pieces.append(part)
+        pieces.append(_small(system, fs.Path(f"{work}/tail"), tail + "\n"))
+        whole = _joined(spark, system, pieces, fs.Path(f"{work}/whole"))
+        if not system.rename(whole, target):
+            raise OSError(f"cannot name the report {path}")
+    finally:
+        system.delete(fs.Path(work), True)
+
+
+def _small(system, at, text: str):
+    stream = system.create(at, True)
+    stream.write(text.encode())
+    stream.close()
+    return at
+
+
+def _joined(spark, system, pieces: list, whole):
+    """One file of the pieces in order, none of which need stay."""
+    gateway = spark.sparkContext._gateway
+    try:
+        rest = gateway.new_array(spark._jvm.org.apache.hadoop.fs.Path, len(pieces) - 1)
+        for n, p in enumerate(pieces[1:]):
+            rest[n] = p
+        system.concat(pieces[0], rest)
+        return pieces[0]
+    except Exception:  # a store without concatenation
+        out = system.create(whole, True)
+        for p in pieces:
+            stream = system.open(p)
+            spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 16, False)
+            stream.close()
+        out.close()
+        return whole
+
+
+def document_rows(findings: DataFrame, form: str, tool: str = "codequarry", version: str = "0") -> Iterator[str]:
+    """The JSON or SARIF document piece by piece, for a terminal: the driver holds one partition at a time."""
+    driver = json.dumps({"name": tool, "version": version}, separators=(",", ":"))
+    yield "[" if form == "json" else SARIF_HEAD.format(driver=driver)
+    rows = ordered(findings).select((json_row() if form == "json" else sarif_row()).alias("j"))
+    for n, r in enumerate(rows.toLocalIterator()):
+        yield ("," if n else "") + r["j"]
+    yield "]" if form == "json" else SARIF_TAIL
+
+
 def json_document(findings: DataFrame) -> str:
     """The findings as one JSON array: a report that someone reads, made on the driver."""
-    return "[" + ",".join(r["j"] for r in ordered(findings).select(json_row().alias("j")).toLocalIterator()) + "]"
+    return "".join(document_rows(findings, "json"))
 
 
 def sarif_document(findings: DataFrame, tool: str, version: str) -> str:
     """The findings as one SARIF log."""
-    import json
-
-    results = ",".join(r["j"] for r in ordered(findings).select(sarif_row().alias("j")).toLocalIterator())
-    driver = json.dumps({"name": tool, "version": version}, separators=(",", ":"))
-    return f'{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{driver}}},"results":[{results}]}}]}}'
+    return "".join(document_rows(findings, "sarif", tool, version))
 
 
 def human_document(findings: DataFrame, files: int, rules: int, width: int = 100) -> str:
