@@ -8,7 +8,9 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import threading
 import time
+import uuid
 from dataclasses import replace
 from pathlib import Path
 
@@ -21,6 +23,10 @@ from codequarry.sources.files import expand_targets
 VERSION = "2"
 #: read from the working folder where no --config is given
 DEFAULT_CONFIG = "codequarry.toml"
+#: skipped files that are named
+MOST_WARNINGS = 100
+#: seconds between two lines of progress
+PROGRESS_SECONDS = 5.0
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -111,18 +117,63 @@ def _targets(paths: list[str]) -> list[str]:
     return [os.path.abspath(p) if Path(p).exists() else p for p in targets]
 
 
+class Progress:
+    """A with block's progress, told while its jobs run: from the tasks that Spark has done of those it knows of, the files that they stand for and the rate."""
+
+    def __init__(self, context, n_files: int, tell, seconds: float | None = None):
+        self.context, self.n_files, self.tell = context, n_files, tell
+        self.seconds, self.ended = PROGRESS_SECONDS if seconds is None else seconds, threading.Event()
+        self.group = f"codequarry-{uuid.uuid4().hex}"
+
+    def line(self, took: float) -> str | None:
+        tracker = self.context.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup(self.group) for s in (tracker.getJobInfo(j).stageIds if tracker.getJobInfo(j) else ())}
+        known = [i for i in map(tracker.getStageInfo, stages) if i]
+        total, done = sum(i.numTasks for i in known), sum(i.numCompletedTasks for i in known)
+        if not total:
+            return None
+        files = self.n_files * done // total
+        return f"info: {done} of {total} tasks done, about {files} of {self.n_files} files in {took:.1f}s ({files / max(took, 0.001):.1f} files/s)\n"
+
+    def _run(self, began: float) -> None:
+        while not self.ended.wait(self.seconds):
+            text = self.line(time.perf_counter() - began)
+            if text:
+                self.tell(text)
+
+    def __enter__(self):
+        self.context.setJobGroup(self.group, "scan")
+        self.thread = threading.Thread(target=self._run, args=(time.perf_counter(),), daemon=True)
+        self.thread.start()
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.ended.set()
+        self.thread.join()
+        for key in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            self.context.setLocalProperty(key, None)
+
+
 def _scan(args: argparse.Namespace, settings: Settings, n_rules: int, out) -> int:
     from pyspark.sql import SparkSession
 
-    from codequarry.sources.files import read_tree
+    from codequarry.sources.files import read_checked
 
     spark = SparkSession.builder.appName("codequarry").getOrCreate()
-    began, files = time.perf_counter(), None
+    began, files, skipped = time.perf_counter(), None, None
     for path in _targets(args.paths):
-        tree = read_tree(spark, path, settings.exclude, settings.include)
-        files = tree if files is None else files.unionByName(tree)
+        tree, lost = read_checked(spark, path, settings.exclude, settings.include)
+        files, skipped = (tree, lost) if files is None else (files.unionByName(tree), skipped.unionByName(lost))
     files = files.dropDuplicates(["path"]).persist()
-    n_files = files.count()
+    lost = skipped.distinct().orderBy("path").persist()
+    n_lost = lost.count()
+    for row in lost.limit(MOST_WARNINGS).collect():
+        sys.stderr.write(f"warning: skipped {row['path']}: {row['reason']}\n")
+    if n_lost > MOST_WARNINGS:
+        sys.stderr.write(f"warning: and {n_lost - MOST_WARNINGS} more\n")
+    lost.unpersist()
+    # files that are skipped count as scanned
+    n_files = files.count() + n_lost
     tell = (lambda text: None) if args.quiet or args.json or args.sarif else sys.stderr.write
     tell(f"info: discovered {n_files} files in {time.perf_counter() - began:.2f}s\n")
     try:
@@ -171,7 +222,8 @@ def _report(args: argparse.Namespace, settings: Settings, files, n_files: int, n
         if args.baseline:
             found = without_baseline(found, report.read_baseline(files.sparkSession, args.baseline))
         found = found.persist()
-        empty = found.isEmpty()
+        with Progress(files.sparkSession.sparkContext, n_files, tell):
+            empty = not found.count()
         took = time.perf_counter() - began
         tell(f"info: scanned {n_files} files with {n_rules} rules in {took:.2f}s ({n_files / max(took, 0.001):.1f} files/s)\n")
         if args.document:

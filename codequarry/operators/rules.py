@@ -7,7 +7,7 @@ which suppressions apply; snippet is null where that text is meant; code_only ca
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
@@ -426,6 +426,28 @@ def register_rule(number: int):
     return add
 
 
+def register_row_rule(number: int):
+    """Decorator: a function of (path, content) that yields (line, column, message) becomes the rule of that number, as a table function joined laterally to the files.
+
+    For rules that no query over the views expresses: they see one file at a time. Prefilter, suppressions and severities apply as to any rule; its row joins the rule dimension with scan(extra=...).
+    """
+
+    def add(function: Callable[[str, str], Iterable[tuple[int, int, str]]]):
+        class Rows:
+            def eval(self, path: str, content: str):
+                yield from function(path, content)
+
+        def build(views: Views) -> DataFrame:
+            table = F.udtf(Rows, returnType="line int, column int, message string", useArrow=True)
+            found = views.sources.lateralJoin(table(F.col("path").outer(), F.col("content").outer()))
+            return _candidates(found, views.id_of(number), "line", "column", F.col("message"))
+
+        EXTRA_RULES[number] = build
+        return function
+
+    return add
+
+
 def candidates(views: Views, numbers: set[int]) -> DataFrame:
     """The candidates of the rules with the given numbers; only the views that they need are planned."""
     parts: list[DataFrame] = []

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.operators import lexer, prefilter, suppress, syntax
-from codequarry.operators.rule_table import all_rules, enabled_rules, rule_frame
-from codequarry.operators.rules import TOKEN_RULES, Views, candidates, env_bound
+from codequarry.operators.rule_table import Rule, all_rules, rule_frame
+from codequarry.operators.rules import EXTRA_RULES, TOKEN_RULES, Views, candidates, env_bound, register_row_rule
 from codequarry.operators.settings import Settings
 from codequarry.plans import oracle
-from codequarry.plans.scan import ordered, scan, shown, signatures, without_baseline
+from codequarry.plans.scan import ordered, scan, shown, signatures, with_chunks, without_baseline
 from codequarry.sources.corpus import synthetic_code
 from codequarry.storage import keep
 
@@ -148,20 +148,53 @@ def prefilter_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loose.exceptAll(tight)
 
 
+def _by_rule(spark: SparkSession, sf_dir: str, settings: Settings) -> DataFrame:
+    found = scan(synthetic_code(spark, sf_dir), settings)
+    return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("n_files"))
+
+
 def rules_enabled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules that toggles leave on: one of its own wins over its category's."""
-    return rule_frame(spark, enabled_rules(Settings(rulesets={"debug": False, "shell": False}, rules={"FE003": True, "FE063": False}))).select("rule_id")
+    """Findings of the rules that toggles leave on: one of its own wins over its category's."""
+    return _by_rule(spark, sf_dir, Settings(rulesets={"debug": False, "shell": False}, rules={"FE003": True, "FE063": False, "FE066": False}))
 
 
 def rules_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules that lists of ids and categories leave on."""
-    return rule_frame(spark, enabled_rules(Settings(only_rules=("fe001", "FE063", "FE120"), only_categories=("debug", "path")))).select("rule_id")
+    """Findings of the rules that lists of ids and categories leave on."""
+    return _by_rule(spark, sf_dir, Settings(only_rules=("fe001", "FE063", "FE120"), only_categories=("debug", "path")))
+
+
+def rules_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of every rule whatever the toggles, without the prefilter; dead directives aside."""
+    return _by_rule(spark, sf_dir, Settings(rulesets={"debug": False}, rules={"FE100": False}, maximum=True)).where("rule_id <> 'FE066'")
 
 
 def sarif_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by level in SARIF."""
     from codequarry.sinks.report import sarif_level
 
-    return rule_frame(spark, all_rules()).select("rule_id", "severity", sarif_level(F.col("severity")).alias("level"))
+    return scan(synthetic_code(spark, sf_dir)).groupBy("rule_id", "severity", sarif_level(F.col("severity")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def chunk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the debug and path rules with the batch of 256 files that reports them."""
+    files = synthetic_code(spark, sf_dir)
+    return with_chunks(scan(files, Settings(only_categories=("debug", "path"))), files).select("chunk", "rule_id", "file", "line", "column")
+
+
+def row_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's rule as a table function over files: lines of over 60 characters, told with the length; prefilter and suppressions apply."""
+
+    @register_row_rule(950)
+    def long_lines(path: str, content: str):
+        for n, text in enumerate(content.split("\n"), 1):
+            if len(text) > 60:
+                yield n, 61, f"line of {len(text)} characters"
+
+    try:
+        rule = Rule("FE950", "long-line", "lint", "info", "lines of over 60 characters", None, None, ("let",))
+        return scan(synthetic_code(spark, sf_dir), Settings(only_rules=("FE001",)), extra=[rule]).where("rule_id = 'FE950'").select("rule_id", "file", "line", "column", "message")
+    finally:
+        EXTRA_RULES.pop(950)
 
 
 def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +235,7 @@ PLAIN: dict[str, Query] = {
     f"q_{f.__name__}": f
     for f in (
         lines, token_index, tokens, split_tokens, invocations, method_chains, chain_calls, test_functions, declarations, regex_sites, env_bound_vars, directives, suppressed_rules, prefilter_files,
-        severity_override, baseline_signatures, baseline_apply, dead_suppressions, suppressed_findings, prefilter_losses, rules_enabled, rules_chosen, sarif_levels, json_rows, path_globs, scan_summary, bench_stats, cache_misses,
+        severity_override, baseline_signatures, baseline_apply, dead_suppressions, suppressed_findings, prefilter_losses, rules_enabled, rules_chosen, rules_maximum, sarif_levels, chunk_order, row_rule, json_rows, path_globs, scan_summary, bench_stats, cache_misses,
     )
 }
 

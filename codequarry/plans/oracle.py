@@ -357,6 +357,12 @@ def _findings() -> str:
     return " union all ".join(f"({rule_sql(n)})" for n in RULE_SQL) + f" union all ({_stale_sql()})"
 
 
+def _counts(where: str, prefilter: bool = True) -> str:
+    """Findings by rule of the rules of a condition, dead directives aside."""
+    each = " union all ".join(f"({rule_sql(n, prefilter)})" for n in RULE_SQL)
+    return f"with {RULES} select rule_id, count(*) as n, count(distinct file) as n_files from ({each}) where rule_id in (select rule_id from rules where {where}) group by 1"
+
+
 def _text(value: str | None) -> str:
     return "null::varchar" if value is None else _quoted(value)
 
@@ -377,6 +383,7 @@ def plain_sql() -> dict[str, str]:
     tight = " union all ".join(f"({rule_sql(n)})" for n in (80, 81, 82, 83))
     hidden = " union all ".join(f"({rule_sql(int(r.rule_id[2:]), suppressions=False)})" for r in debug)
     each = " union all ".join(f"select '{r.rule_id}' as rule_id, count(*) as n_files from files where {_prefilter(r.signatures)} having count(*) > 0" for r in all_rules())
+    chosen = " union all ".join(f"({rule_sql(int(r.rule_id[2:]))})" for r in all_rules() if r.category in ("debug", "path"))
     syntax = (LINES, TOKENS, PAIRS)
     return {
         "q_lines": _with(LINES) + " select path, line, text from lines",
@@ -401,9 +408,15 @@ def plain_sql() -> dict[str, str]:
         "q_dead_suppressions": _stale_sql(),
         "q_suppressed_findings": f'select rule_id, file, line, "column" from ({hidden}) except all select rule_id, file, line, "column" from ({found})',
         "q_prefilter_losses": f'select rule_id, file, line, "column" from ({loose}) except all select rule_id, file, line, "column" from ({tight})',
-        "q_rules_enabled": f"with {RULES} select rule_id from rules where rule_id = 'FE003' or category not in ('debug', 'shell') and rule_id <> 'FE063'",
-        "q_rules_chosen": f"with {RULES} select rule_id from rules where rule_id in ('FE001', 'FE063', 'FE120') and category in ('debug', 'path')",
-        "q_sarif_levels": f"with {RULES} select rule_id, severity, case when severity in ('critical', 'high') then 'error' when severity = 'warning' then 'warning' else 'note' end as level from rules",
+        "q_rules_enabled": _counts("rule_id = 'FE003' or category not in ('debug', 'shell') and rule_id not in ('FE063', 'FE066')"),
+        "q_rules_chosen": _counts("rule_id in ('FE001', 'FE063', 'FE120') and category in ('debug', 'path')"),
+        "q_rules_maximum": _counts("rule_id <> 'FE066'", prefilter=False),
+        "q_sarif_levels": f"select rule_id, severity, case when severity in ('critical', 'high') then 'error' when severity = 'warning' then 'warning' else 'note' end as level, count(*) as n from ({_findings()}) group by all",
+        "q_chunk_order": _with() + f""", places as (select path, (row_number() over (order by string_split(path, '/')) - 1) // 256 as chunk from files)
+            select chunk, rule_id, f.file, f.line, f."column" from ({chosen}) f join places on places.path = f.file""",
+        "q_row_rule": f"""with {RULES.replace("(values ", "(values ('FE950', 'long-line', 'lint', 'info'), ")}, {FILES}, {LINES}, {SUPPRESSED}
+            select 'FE950' as rule_id, path as file, line, 61 as "column", 'line of ' || len(rtrim(text, chr(10))) || ' characters' as message from lines l where len(rtrim(text, chr(10))) > 60
+            and path in (select path from files where {_prefilter(("let",))}) and not exists (select 1 from suppressed s where s.path = l.path and s.rule_id = 'FE950' and (s.form = 'file' or l.line in (s.line, s.line + 1)))""",
         "q_path_globs": _with() + r" select path from files where starts_with(path, 'tests/') or regexp_full_match(path, '.*/[^/]*1[^/]\.rs') or regexp_full_match(path, 'src/(?:[^/]+/)*f2[^/]*\.rs')",
         "q_scan_summary": f"select rule_id, severity, count(*) as n from ({_findings()}) group by 1, 2",
         "q_rule_fe066": _stale_sql(only=True),

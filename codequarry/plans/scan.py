@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from codequarry.operators.prefilter import allowed_rules
 from codequarry.operators.rule_table import Rule, all_rules, enabled_rules, rule_frame
 from codequarry.operators.rules import CANDIDATE, Views, candidates
 from codequarry.operators.settings import Settings
+from codequarry.storage import keep
 
 FINDING = ["rule_id", "rule_name", "category", "severity", "file", "line", "column", "message", "snippet", "suggestion", "suggestion_example"]
 ORDER = ["file", "line", "column", "rule_id", "message"]
@@ -81,6 +83,35 @@ def ordered(findings: DataFrame) -> DataFrame:
     return findings.orderBy(*ORDER)
 
 
+def file_ordinals(files: DataFrame) -> DataFrame:
+    """(path, ordinal long): the place, from 0, of each path in the order of a walk through sorted folders, that is, by path components. A kept table.
+
+    Paths are dealt by range and sorted in their partitions; a partition's number of rows, of which the driver adds up one for each partition, gives where the next begins.
+    """
+    split = F.split("path", "/")
+    sorted_ = files.select("path").distinct().repartitionByRange(split).sortWithinPartitions(split)
+    placed = keep(sorted_.select("path", F.monotonically_increasing_id().alias("id")), "ordinals")
+    part = F.shiftright("id", 33).cast("int")
+    sizes = {r["part"]: r["n"] for r in placed.groupBy(part.alias("part")).agg((F.max(F.col("id").bitwiseAND(F.lit((1 << 33) - 1))) + 1).alias("n")).collect()}
+    begins, total = [], 0
+    for n in range(max(sizes, default=-1) + 1):
+        begins.append(total)
+        total += sizes.get(n, 0)
+    base = F.get(F.from_json(F.lit(json.dumps(begins)), "array<bigint>"), part)
+    return placed.select("path", (base + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).alias("ordinal"))
+
+
+def with_chunks(findings: DataFrame, files: DataFrame, chunk: int = 256) -> DataFrame:
+    """findings with `chunk`: the number of the batch of so many files, in walking order, that their file is in."""
+    chunks = file_ordinals(files).select(F.col("path").alias("file"), F.floor(F.col("ordinal") / chunk).alias("chunk"))
+    return findings.join(chunks, "file").select(*findings.columns, "chunk")
+
+
+def ordered_by_chunks(findings: DataFrame, files: DataFrame, chunk: int = 256) -> DataFrame:
+    """The order of reports that are made batch by batch: batches of so many files as they are walked, each with its findings by file, line, column, rule id and message."""
+    return with_chunks(findings, files, chunk).orderBy("chunk", F.split("file", "/"), *ORDER[1:])
+
+
 def signatures(findings: DataFrame) -> DataFrame:
     """findings with the text that identifies each in a baseline: rule, path, line, column, message; newlines in messages are escaped."""
     path = F.regexp_replace("file", r"\\", "/")

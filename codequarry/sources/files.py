@@ -86,6 +86,22 @@ def _wanted(root: str, exclude: tuple[str, ...], include: tuple[str, ...]) -> Co
     return (path.endswith(".rs") | matches_pattern(path, include, base)) & ~matches_pattern(path, exclude, base)
 
 
+def read_checked(spark: SparkSession, root: str, exclude: tuple[str, ...] = ("target", ".git"), include: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(files(path, content), skipped(path, reason)): read_tree() for a tree that may hold files that cannot be scanned; they are told and do not end the job.
+
+    The tree is listed first. A file is skipped because it is `too large` for Spark's limit (spark.sql.sources.binaryFile.maxLength), because it was `unreadable` (what the listing has and the reading
+    has not), or as `not UTF-8`. Contents of skipped files are not in files.
+    """
+    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
+    listed = list_tree(spark, root, exclude, include)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(root)
+    found = found.where(_wanted(root, exclude, include)) if _is_folder(spark, root) else found
+    # the length is asked before a file is opened
+    read = _decoded(found.where(F.col("length") <= most))
+    lost = listed.join(read.select("path"), "path", "left_anti").select("path", F.when(F.col("length") > most, "too large").otherwise("unreadable").alias("reason"))
+    return read.where("content is not null"), lost.unionByName(read.where("content is null").select("path", F.lit("not UTF-8").alias("reason")))
+
+
 def list_tree(spark: SparkSession, root: str, exclude: tuple[str, ...] = ("target", ".git"), include: tuple[str, ...] = ()) -> DataFrame:
     """(path, modified, length) of the files that read_tree() reads; no content is read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import re
 import statistics
 import time
 
@@ -15,8 +16,9 @@ from codequarry.operators.rule_table import Rule
 from codequarry.operators.settings import Settings
 from codequarry.plans import stats
 from codequarry.plans.cache import Cache, scan_with_cache
-from codequarry.plans.scan import scan
+from codequarry.plans.scan import file_ordinals, ordered_by_chunks, scan
 from codequarry.sinks import report
+from codequarry.sources.files import read_checked
 from codequarry.streaming.watch import findings_of, scan_changes, watch_changes
 
 ONE = Settings(only_rules=("FE001",))
@@ -177,3 +179,72 @@ def test_registered_rules_are_cached(spark, tmp_path):
         assert [(r["rule_id"], r["line"]) for r in found.collect()] == [("FE901", 2)]
     finally:
         R.EXTRA_RULES.pop(901)
+
+
+def test_files_that_cannot_be_scanned_are_told(spark, tmp_path, capsys):
+    write(tmp_path / "src/a.rs", "todo!();", 1000)
+    write(tmp_path / "src/big.rs", "todo!();" * 1000, 1000)
+    (tmp_path / "src/bad.rs").write_bytes(b"todo!(); \xff")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)
+    try:
+        kept, skipped = read_checked(spark, str(tmp_path / "src"))
+        assert [os.path.basename(r["path"]) for r in kept.collect()] == ["a.rs"]
+        assert {(os.path.basename(r["path"]), r["reason"]) for r in skipped.collect()} == {("big.rs", "too large"), ("bad.rs", "not UTF-8")}
+        assert cli.main([str(tmp_path / "src"), "--rules", "FE001"]) == 1
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    said = capsys.readouterr()
+    assert said.err.count("warning: skipped") == 2 and "big.rs: too large" in said.err
+    assert "1 finding(s) in 3 file(s) scanned" in said.out
+
+
+def test_progress_is_told_while_a_scan_runs(spark):
+    said = []
+    with cli.Progress(spark.sparkContext, 1000, said.append, seconds=0.05):
+        spark.range(0, 400, 1, 8).selectExpr("sum(length(repeat(cast(id as string), 20000)))").collect()
+        time.sleep(0.2)
+    assert said and said[-1].startswith("info: ") and "files/s" in said[-1] and " of 1000 files" in said[-1]
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+
+
+def test_chunks_follow_the_walk_through_sorted_folders(spark):
+    paths = ["a.rs", "a/z.rs", "a-b/c.rs", "a/b/c.rs", "b.rs", "a/b.rs"] + [f"m/{n:04d}.rs" for n in range(600)]
+    df = files(spark, {p: "todo!();" for p in paths}).repartition(3)
+    want = sorted(paths, key=lambda p: p.split("/"))
+    assert [r["path"] for r in file_ordinals(df).orderBy("ordinal").collect()] == want
+    assert file_ordinals(df.where("false")).count() == 0
+    rows = ordered_by_chunks(scan(df, ONE), df).collect()
+    assert [r["file"] for r in rows] == want and [r["chunk"] for r in rows] == [n // 256 for n in range(len(want))]
+
+
+def test_row_rules_as_table_functions(spark):
+    @R.register_row_rule(902)
+    def tabs(path, content):
+        for n, text in enumerate(content.split("\n"), 1):
+            if "\t" in text:
+                yield n, text.index("\t") + 1, f"tab in {path}"
+
+    try:
+        extra = [Rule("FE902", "tabs", "lint", "info", "tabs", "Use spaces.", None, ("let",))]
+        text = "let a;\n\tb();\n// scan-ignore tabs\n\tc();\nd\te"
+        rows = scan(files(spark, {"a.rs": text, "none.rs": "\tno signature", "empty.rs": ""}), ONE, extra=extra).orderBy("line").collect()
+        assert [(r["rule_id"], r["line"], r["column"], r["message"], r["suggestion"]) for r in rows] == [("FE902", 2, 1, "tab in a.rs", "Use spaces."), ("FE902", 5, 2, "tab in a.rs", "Use spaces.")]
+    finally:
+        R.EXTRA_RULES.pop(902)
+
+
+def test_prefilter_by_inverted_table(spark):
+    from codequarry.operators.prefilter import allowed_rules
+
+    rules = [Rule(f"R{n}", "", "", "", "", None, None, s) for n, s in enumerate([("//", "/*"), ("///", "//!"), (".max(",), ("let", "CONST"), (), ("scan-ignore",), ("::", "x::y")])]
+    rng = random.Random(3)
+    bits = ["/", "/", "*", "!", ".max(", "let", "lets", "Const", " ", ":", "x", "y", "scan-ignore", "scan"]
+    contents = {f"f{i}": "".join(rng.choice(bits) for _ in range(rng.randrange(9))) for i in range(400)}
+    found = {(r["path"], r["rule_id"]) for r in allowed_rules(files(spark, contents), rules).collect()}
+    want = set()
+    for path, text in contents.items():
+        words = {w.lower() for w in re.findall(r"[A-Za-z_]\w*", text, re.ASCII)}
+        for r in rules:
+            if not r.signatures or any((s.lower() in words) if re.fullmatch(r"\w+", s, re.ASCII) else s in text for s in r.signatures):
+                want.add((path, r.rule_id))
+    assert found == want
