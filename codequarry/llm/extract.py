@@ -2,7 +2,8 @@
 
 A page is cut into blocks of text; the tokens of all its blocks, articles included, form the page's stream. The streams are concatenated and their
 suffixes sorted host by host (prefix doubling, to a depth of RUN tokens); neighbours that share RUN tokens and lie on distinct pages show a substring
-that the host repeats. Windows of RUN tokens overlap, so longer repeats are covered whole. Covered tokens are boilerplate and go, unique runs stay.
+that the host repeats. Windows of RUN tokens overlap, so longer repeats are covered whole. What enough pages of the host repeat, LEAST_PAGES of them and LEAST_SHARE of all, is boilerplate: blocks
+that it covers whole go. Unique runs stay, and so does a block that only quotes: nothing is cut out of a sentence.
 
 What the page's structure says follows as a check. Blocks of menus, headers, footers, sidebars, notices, adverts, forms and reader comments go whole, unique or
 not. Plain blocks of an article stay whole, for articles may quote each other; inside an article the repeats decide about blocks whose own element bears a class or an
@@ -10,7 +11,7 @@ id. Outside of both they decide alone. Pages of one host with equal text are mir
 count once, and a page with next to nothing of its own is a near copy and keeps its text.
 
 The suffix array of a host is held in parts: each task sorts the suffixes of its own pages and hands on each one's RUN-token prefix as a 128-bit digest that the host is
-part of; the parts are merged by digest. That asks only for the least and greatest page of a digest, found in each task before anything moves, so a host with a third of
+part of; the parts are merged by digest, each with the number of distinct pages that have it. Pairs of digest and page are made distinct in each task before anything moves, so a host with a third of
 all pages is never one group. Digests that no token to be decided has are held back by a bitmap of fixed size.
 """
 
@@ -30,6 +31,9 @@ from codequarry.storage import discard, keep
 
 #: tokens that a repeated substring has at least
 RUN = 8
+#: distinct pages of a host, and the share of its pages, that repeat a substring of boilerplate at least
+LEAST_PAGES = 3
+LEAST_SHARE = 0.1
 #: kinds of blocks: plain ones of an article; of an article, with a class or an id of their own; of neither; of what is not the article
 CONTENT, MARKED, OPEN, BOILER = "c", "m", "o", "b"
 #: the share of its tokens that a page has for itself, unless it is a near copy
@@ -229,7 +233,7 @@ def run_digests(streams: list[list[str]], hosts: list[str], run: int = RUN) -> t
 
 
 def unique_text(page: list[tuple[str, str]], covered: set[int]) -> str:
-    """Plain blocks of the article, and of blocks that structure neither keeps nor rules out the tokens that are not covered.
+    """Plain blocks of the article, and those blocks that structure neither keeps nor rules out and that are not covered whole.
 
     A page of which less than LEAST_OWN would be left is a near copy of another one and keeps its text.
     """
@@ -237,38 +241,40 @@ def unique_text(page: list[tuple[str, str]], covered: set[int]) -> str:
     for kind, text in page:
         words = text.split(" ")
         if kind != BOILER:
-            own = words if kind == CONTENT or not covered else [w for n, w in enumerate(words, at) if n not in covered]
-            tokens, left = tokens + len(words), left + len(own)
-            out += [" ".join(own)] if own else []
+            stays = kind == CONTENT or not covered or any(n not in covered for n in range(at, at + len(words)))
+            tokens, left = tokens + len(words), left + stays * len(words)
+            out += [text] if stays else []
         at += len(words)
     return " ".join(out) if left >= LEAST_OWN * tokens else " ".join(text for kind, text in page if kind != BOILER)
 
 
 def _suffixes(keyed: DataFrame, run: int) -> DataFrame:
-    """(digest, other, mirror, page, position, asked) of the suffixes of the streams of keyed(page, host, html); asked: one of its tokens is to be decided."""
+    """(digest, other, mirror, page, place, position, asked) of the suffixes of the streams of keyed(page, host, place, html); place is a number for the host; asked: one of its tokens is to be decided."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hosts, keys = batch.column(1).to_pylist(), batch.column(0).to_numpy()
+        hosts, keys, places = batch.column(1).to_pylist(), batch.column(0).to_numpy(), batch.column(3).to_numpy()
         pages = [blocks(h) for h in batch.column(2).to_pylist()]
         of, position, digest, other = run_digests([stream(p) for p in pages], hosts, run)
         asked = [undecided(p, run) for p in pages]
         starts = np.cumsum([0, *map(len, asked)])[:-1]
         flags = np.concatenate([*asked, np.empty(0, bool)])[starts[of] + position] if len(of) else np.empty(0, bool)
         mirrors = np.array([mirror(p) for p in pages], np.int64)
-        return pa.record_batch([pa.array(digest), pa.array(other), pa.array(mirrors[of]), pa.array(keys[of]), pa.array(position.astype(np.int32)), pa.array(flags)], names=["digest", "other", "mirror", "page", "position", "asked"])
+        return pa.record_batch([pa.array(digest), pa.array(other), pa.array(mirrors[of]), pa.array(keys[of]), pa.array(places[of]), pa.array(position.astype(np.int32)), pa.array(flags)], names=["digest", "other", "mirror", "page", "place", "position", "asked"])
 
-    return keyed.select("page", "host", "html").mapInArrow(by_slices(work, "html"), "digest bigint, other bigint, mirror bigint, page bigint, position int, asked boolean")
+    return keyed.select("page", "host", "html", "place").mapInArrow(by_slices(work, "html"), "digest bigint, other bigint, mirror bigint, page bigint, place bigint, position int, asked boolean")
 
 
 def covered_tokens(keyed: DataFrame, run: int = RUN) -> DataFrame:
-    """(page, starts array<int>): where runs of run tokens begin that distinct pages of the host share and that hold a token to be decided; a table in the shared folder."""
+    """(page, starts array<int>): where runs of run tokens begin that enough distinct pages of the host share and that hold a token to be decided; a table in the shared folder."""
+    keyed = keyed.withColumn("place", F.xxhash64("host"))
     suffixes = _suffixes(keyed, run)
-    asked = keep(suffixes.where("asked").select("digest", "other", "page", "position"), "suffixes")
+    asked = keep(suffixes.where("asked").select("digest", "other", "page", "place", "position"), "suffixes")
     wanted = bitmap_filter(suffixes.select("digest", "other", "mirror"), "digest", asked.select("digest"))
-    repeated = wanted.groupBy("digest", "other").agg(F.min("mirror").alias("low"), F.max("mirror").alias("high")).where("low <> high")
-    repeated = keep(repeated.select("digest", "other"), "repeated")
+    repeated = keep(wanted.distinct().groupBy("digest", "other").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= LEAST_PAGES), "repeated")
+    hosts = keyed.select("place", F.xxhash64("html").alias("html")).distinct().groupBy("place").agg(F.count(F.lit(1)).alias("of_host"))
+    often = asked.join(repeated, ["digest", "other"]).join(hosts, "place").where(F.col("n_pages") >= LEAST_SHARE * F.col("of_host"))
     # repeated rows give equal positions twice; a set holds them once
-    covered = keep(asked.join(repeated, ["digest", "other"]).groupBy("page").agg(F.collect_set("position").alias("starts")), "covered")
+    covered = keep(often.groupBy("page").agg(F.collect_set("position").alias("starts")), "covered")
     discard(asked)
     discard(repeated)
     return covered

@@ -80,6 +80,26 @@ def test_what_repeats_decide(spark):
     assert texts_of(spark, first, second, third, hosts=("a.example", "b.example", "c.example"))[2].startswith(LEAD)
 
 
+def test_what_few_pages_share_stays(spark):
+    own = "own words of page {} which follow the lead and fill the rest of it, as nobody else has written them"
+    leads = [f"<article><p class='lead'>{LEAD}</p><p>{own.format(n)}</p></article>" for n in range(2)]
+    assert texts_of(spark, *leads) == [f"{LEAD} {own.format(n)}" for n in range(2)]
+    # three of forty pages are no share of the host
+    many = [f"<article><p class='lead'>{LEAD if n < 3 else f'lead {n} that says what page {n} and no other tells in the words below'}</p><p>{own.format(n)}</p></article>" for n in range(40)]
+    assert all(t.startswith(LEAD) for t in texts_of(spark, *many)[:3])
+
+
+def test_nothing_is_cut_out_of_a_sentence(spark):
+    quoted = [f"<div>{'He' if n else 'She'} wrote on day {n}: {LEAD}, and went on for long.</div><div>page {n} has more to say than that, all of it its own, number {n}</div>" for n in range(5)]
+    assert texts_of(spark, *quoted) == [re.sub("<[^>]*>", " ", q).strip().replace("  ", " ") for q in quoted]
+
+
+def test_menus_without_a_hint_go(spark):
+    menu = "<ul>" + "".join(f"<li>{w}</li>" for w in "Start Harbour Ferries Tickets Islands Weather Crew Archive Maps Letters".split()) + "</ul>"
+    pages = [f"{menu}<div>the story of island {n} is told here in {n} words or more, and on no other page</div>" for n in range(12)]
+    assert texts_of(spark, *pages) == [re.sub("<[^>]*>", "", p.removeprefix(menu)) for p in pages]
+
+
 def test_mirrors_count_once(spark):
     body = " ".join(f"word{i}" for i in range(60))
     page = f"<div>{body}</div><div>{NOTE}</div>"
