@@ -17,7 +17,7 @@ from pathlib import Path
 from codequarry.operators.rule_table import all_rules, enabled_rules, explain_rule, rule_index
 from codequarry.operators.settings import Settings
 from codequarry.sources.config import ConfigError, config_template, read_config
-from codequarry.sources.files import expand_targets
+from codequarry.sources.files import expand_targets, manifest_of, read_text
 
 
 VERSION = "2"
@@ -105,16 +105,18 @@ def main(argv: list[str] | None = None) -> int:
     return _scan(args, settings, len(rules), out)
 
 
-def _targets(paths: list[str]) -> list[str]:
-    """The given paths, with the folders of manifests and the members of their workspaces, each once. Manifests are looked for on the local file system."""
-    manifests = {}
-    for path in paths:
-        file = Path(path) if path.endswith("Cargo.toml") else Path(path) / "Cargo.toml"
-        if file.is_file():
-            manifests[str(file)] = file.read_text()
-    targets = [p for p in expand_targets(paths, manifests) if p in paths or Path(p).exists()] if manifests else list(dict.fromkeys(paths))
+def _targets(spark, paths: list[str]) -> list[str]:
+    """The given paths, with the folders of manifests and the members of their workspaces, each once. Manifests are read from the store that the path names."""
     # the JVM may have been started in another folder
-    return [os.path.abspath(p) if Path(p).exists() else p for p in targets]
+    paths = [os.path.abspath(p) if "://" not in p and Path(p).exists() else p for p in paths]
+    manifests = {m: text for m in map(manifest_of, paths) if (text := read_text(spark, m)) is not None}
+    hadoop = spark._jvm.org.apache.hadoop.fs
+
+    def there(path: str) -> bool:
+        at = hadoop.Path(path)
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+    return [p for p in expand_targets(paths, manifests) if p in paths or there(p)]
 
 
 class Progress:
@@ -161,7 +163,7 @@ def _scan(args: argparse.Namespace, settings: Settings, n_rules: int, out) -> in
 
     spark = SparkSession.builder.appName("codequarry").getOrCreate()
     began, files, skipped = time.perf_counter(), None, None
-    for path in _targets(args.paths):
+    for path in _targets(spark, args.paths):
         tree, lost = read_checked(spark, path, settings.exclude, settings.include)
         files, skipped = (tree, lost) if files is None else (files.unionByName(tree), skipped.unionByName(lost))
     files = files.dropDuplicates(["path"]).persist()

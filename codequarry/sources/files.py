@@ -167,15 +167,40 @@ def workspace_members(manifest: str) -> list[str]:
     return re.findall(r'"([^"]*)"', listed[1]) if listed else []
 
 
+def _place(path: str) -> tuple[str, PurePosixPath]:
+    """(scheme and authority, path below them)."""
+    store, rest = re.fullmatch(r"([A-Za-z][A-Za-z0-9+.-]*://[^/]*)?(.*)", path, re.S).groups()
+    return store or "", PurePosixPath(rest)
+
+
+def manifest_of(target: str) -> str:
+    """Where the manifest of a target is: the target itself, or in its folder."""
+    store, at = _place(target)
+    return store + str(at if target.endswith("Cargo.toml") else at / "Cargo.toml")
+
+
 def expand_targets(targets: list[str], manifests: dict[str, str]) -> list[str]:
     """Targets with the folders of manifests and their workspace members, each path once; manifests: texts by path of the manifest file."""
     out: list[str] = []
     for target in targets:
-        home = str(PurePosixPath(target).parent) if target.endswith("Cargo.toml") else target
-        out.append(home)
-        text = manifests.get(str(PurePosixPath(home) / "Cargo.toml"))
-        out += [str(PurePosixPath(home) / m) for m in workspace_members(text or "")]
-    return list(dict.fromkeys(str(PurePosixPath(t)) for t in out))
+        store, at = _place(target)
+        home = at.parent if target.endswith("Cargo.toml") else at
+        text = manifests.get(manifest_of(target))
+        out += [store + str(p) for p in (home, *(home / m for m in workspace_members(text or "")))]
+    return list(dict.fromkeys(out))
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file in any store that Spark reads; None where there is no such file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(at) or system.getFileStatus(at).isDirectory():
+        return None
+    stream = system.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def gitignore_entries(text: str) -> list[str]:

@@ -22,3 +22,11 @@ def test_rest_works_without_the_text_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
     for folder in ("functions", "operators", "plans", "sinks", "sources", "streaming"):
         assert not any("codequarry.llm" in p.read_text() for p in (ROOT / "codequarry" / folder).rglob("*.py"))
+
+
+def test_what_the_text_operators_need_is_not_forgiven(tmp_path):
+    shutil.copytree(ROOT / "codequarry", tmp_path / "codequarry", ignore=shutil.ignore_patterns("__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e\ntry:\n    e.queries()\nexcept ModuleNotFoundError as x:\n    assert x.name == 'corpus_pipeline'\nelse:\n    raise SystemExit(1)"
+    if (ROOT / "codequarry/llm").is_dir():
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)

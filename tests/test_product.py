@@ -49,6 +49,7 @@ def test_manifests():
     text = '[package]\nname = "x"\n[workspace]\nmembers = [\n  "a",\n  "b/c",\n]\n[x]\nmembers = ["no"]\n'
     assert workspace_members(text) == ["a", "b/c"]
     assert expand_targets(["r/Cargo.toml", "r"], {"r/Cargo.toml": text}) == ["r", "r/a", "r/b/c"]
+    assert expand_targets(["store://host/r/Cargo.toml"], {"store://host/r/Cargo.toml": text}) == ["store://host/r", "store://host/r/a", "store://host/r/b/c"]
     assert gitignore_entries("# c\n!keep\n/dist/\n./x\n\n") == ["dist", "x"]
 
 
@@ -198,6 +199,8 @@ def test_default_config_manifests_and_benchmark(spark, tmp_path, monkeypatch, ca
     monkeypatch.chdir(tmp_path)
     assert cli.main(["two/Cargo.toml", "--rules", "FE001", "--json", "--quiet"]) == 1
     assert sorted(r["file"].removeprefix(f"{tmp_path}/") for r in json.loads(capsys.readouterr().out)) == ["one/src/a.rs", "two/src/b.rs"]
+    assert cli.main([f"file://{tmp_path}/two", "--rules", "FE001", "--json", "--quiet"]) == 1
+    assert sorted(r["file"].removeprefix(f"{tmp_path}/") for r in json.loads(capsys.readouterr().out)) == ["one/src/a.rs", "two/src/b.rs"]
     (tmp_path / "codequarry.toml").write_text("[rules]\nFE001 = false\n")
     assert cli.main(["one", "--rules", "FE001"]) == 0 and "no rule is enabled" in capsys.readouterr().err
     (tmp_path / "codequarry.toml").write_text("nonsense")
