@@ -6,6 +6,7 @@ All of them read the synthetic code corpus whole: one file for each order of lin
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from codequarry.operators.rule_table import Rule, all_rules, rule_frame
 from codequarry.operators.rules import EXTRA_RULES, TOKEN_RULES, Views, candidates, env_bound, register_row_rule
 from codequarry.operators.settings import Settings
 from codequarry.plans import oracle
-from codequarry.plans.scan import ordered, scan, shown, signatures, with_chunks, without_baseline
+from codequarry.plans.scan import numbers_of, ordered, scan, shown, signatures, with_chunks, without_baseline
 from codequarry.sources.corpus import synthetic_code
 from codequarry.storage import keep
 
@@ -119,32 +120,28 @@ def baseline_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_baseline(found, signatures(found.where("line % 2 = 0"))).select("rule_id", "file", "line", "column")
 
 
-DEBUG = Settings(only_categories=("debug",))
-
-
-def _debug_views(spark: SparkSession, sf_dir: str) -> Views:
-    return Views(synthetic_code(spark, sf_dir), DEBUG)
-
-
 def dead_suppressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directives that no finding of any rule answers."""
     return scan(synthetic_code(spark, sf_dir)).where("rule_id = 'FE066'").select(*RULE_COLUMNS)
 
 
+ALIVE = Settings(rules={"FE066": False})
+PLACE = ["rule_id", "file", "line", "column"]
+
+
 def suppressed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What directives keep from the report, of the debug rules."""
-    seen = _debug_views(spark, sf_dir)
+    """What directives keep from the report, of all rules."""
+    seen = Views(synthetic_code(spark, sf_dir), ALIVE, share=True)
     rules = rule_frame(spark, all_rules())
-    found = shown(candidates(seen, {1, 2, 3, 4}), seen).join(prefilter.allowed_rules(seen.files, all_rules()), ["path", "rule_id"], "left_semi")
-    kept = suppress.without_suppressed(found, suppress.suppressed_rules(suppress.directives(seen.lines), rules))
-    columns = ["rule_id", F.col("path").alias("file"), "line", "column"]
-    return found.select(*columns).exceptAll(kept.select(*columns))
+    found = shown(candidates(seen, numbers_of(all_rules(), ALIVE) - {66}), seen).join(prefilter.allowed_rules(seen.files, all_rules()), ["path", "rule_id"], "left_semi").withColumnRenamed("path", "file")
+    return found.select(*PLACE).exceptAll(scan(seen.sources, ALIVE, views=seen).select(*PLACE))
 
 
 def prefilter_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of the regex rules in files that the prefilter skips."""
-    files, ids = synthetic_code(spark, sf_dir), ("FE080", "FE081", "FE082", "FE083")
-    loose, tight = (scan(files, s, views=Views(files, s)).select("rule_id", "file", "line", "column") for s in (Settings(only_rules=ids, prefilter=False), Settings(only_rules=ids)))
+    """Findings of all rules in files that the prefilter skips."""
+    files = synthetic_code(spark, sf_dir)
+    seen = Views(files, ALIVE, share=True)
+    loose, tight = (scan(files, replace(ALIVE, prefilter=on), views=seen).select(*PLACE) for on in (False, True))
     return loose.exceptAll(tight)
 
 

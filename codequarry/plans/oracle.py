@@ -335,12 +335,21 @@ def _prefilter(signatures: tuple[str, ...]) -> str:
     return " or ".join(parts + [f"contains(content, {_quoted(s)})" for s in signatures if not s.replace("_", "a").isalnum()])
 
 
-def rule_sql(number: int, prefilter: bool = True, suppressions: bool = True) -> str:
-    """Findings of one rule over the synthetic corpus, with or without prefilter and suppressions."""
+#: relations that several rules read: a query of many rules has them once
+COMMON = (LINES, TOKENS, PAIRS, CALLS, TESTS, SITES)
+
+
+def rule_sql(number: int, prefilter: bool = True, suppressions: bool = True, inside: bool = False) -> str:
+    """Findings of one rule over the synthetic corpus, with or without prefilter and suppressions; inside: of a query that has files, COMMON and SUPPRESSED."""
     rule = next(r for r in all_rules() if r.rule_id == f"FE{number:03d}")
     relations, cand = RULE_SQL[number]
+    head = f"{RULES}, {FILES}, {relations}, {SUPPRESSED}, "
+    if inside:
+        for shared in COMMON:
+            relations = relations.replace(shared + ",", "").replace(shared, "")
+        head = relations + ", " if relations.strip() else ""
     return f"""
-with {RULES}, {FILES}, {relations}, {SUPPRESSED}, {cand},
+with {head}{cand},
 passed as (select path from files where {_prefilter(rule.signatures) if prefilter else "true"})
 select '{rule.rule_id}' as rule_id, c.path as file, c.line as line, c.col as "column", c.message as message, coalesce(c.snippet, regexp_replace(regexp_replace(l.text, '^\\s+', ''), '\\s+$', '')) as snippet, '{rule.severity}' as severity
 from cand c join lines l on l.path = c.path and l.line = c.anchor
@@ -348,18 +357,26 @@ where c.path in (select path from passed){f" and not exists (select 1 from suppr
 """
 
 
+def _many(numbers, prefilter: bool = True, suppressions: bool = True) -> str:
+    """Findings of several rules, with the relations that they share evaluated once."""
+    each = " union all ".join(f"({rule_sql(n, prefilter, suppressions, inside=True)})" for n in numbers)
+    return f"with {', '.join([RULES, FILES, *COMMON, SUPPRESSED])} select * from ({each})"
+
+
 def _with(*relations: str) -> str:
     return "with " + ", ".join([RULES, FILES, *relations])
 
 
 def _findings() -> str:
     """The rows of all rules, dead suppressions included."""
-    return " union all ".join(f"({rule_sql(n)})" for n in RULE_SQL) + f" union all ({_stale_sql()})"
+    each = " union all ".join(f"({rule_sql(n, inside=True)})" for n in RULE_SQL)
+    relations, select = _stale_parts("select file, rule_id from found")
+    return f"with {', '.join([RULES, FILES, *COMMON, SUPPRESSED])}, found as materialized ({each}), {relations} select * from found union all ({select})"
 
 
 def _counts(where: str, prefilter: bool = True) -> str:
     """Findings by rule of the rules of a condition, dead directives aside."""
-    each = " union all ".join(f"({rule_sql(n, prefilter)})" for n in RULE_SQL)
+    each = _many(RULE_SQL, prefilter)
     return f"with {RULES} select rule_id, count(*) as n, count(distinct file) as n_files from ({each}) where rule_id in (select rule_id from rules where {where}) group by 1"
 
 
@@ -377,13 +394,9 @@ from ({_findings()}) f join (values {values}) t(rule_id, rule_name, category, su
 
 def plain_sql() -> dict[str, str]:
     """The twins of the queries that are not about one rule."""
-    debug = [r for r in all_rules() if r.category == "debug"]
-    found = " union all ".join(f"({rule_sql(int(r.rule_id[2:]))})" for r in debug)
-    loose = " union all ".join(f"({rule_sql(n, prefilter=False)})" for n in (80, 81, 82, 83))
-    tight = " union all ".join(f"({rule_sql(n)})" for n in (80, 81, 82, 83))
-    hidden = " union all ".join(f"({rule_sql(int(r.rule_id[2:]), suppressions=False)})" for r in debug)
+    found, hidden, loose = _many(RULE_SQL), _many(RULE_SQL, suppressions=False), _many(RULE_SQL, prefilter=False)
     each = " union all ".join(f"select '{r.rule_id}' as rule_id, count(*) as n_files from files where {_prefilter(r.signatures)} having count(*) > 0" for r in all_rules())
-    chosen = " union all ".join(f"({rule_sql(int(r.rule_id[2:]))})" for r in all_rules() if r.category in ("debug", "path"))
+    chosen = _many([int(r.rule_id[2:]) for r in all_rules() if r.category in ("debug", "path")])
     syntax = (LINES, TOKENS, PAIRS)
     return {
         "q_lines": _with(LINES) + " select path, line, text from lines",
@@ -407,7 +420,7 @@ def plain_sql() -> dict[str, str]:
             'suggestion': suggestion, 'suggestion_example': suggestion_example}})::varchar as json from ({scan_sql()})""",
         "q_dead_suppressions": _stale_sql(),
         "q_suppressed_findings": f'select rule_id, file, line, "column" from ({hidden}) except all select rule_id, file, line, "column" from ({found})',
-        "q_prefilter_losses": f'select rule_id, file, line, "column" from ({loose}) except all select rule_id, file, line, "column" from ({tight})',
+        "q_prefilter_losses": f'select rule_id, file, line, "column" from ({loose}) except all select rule_id, file, line, "column" from ({found})',
         "q_rules_enabled": _counts("rule_id = 'FE003' or category not in ('debug', 'shell') and rule_id not in ('FE063', 'FE066')"),
         "q_rules_chosen": _counts("rule_id in ('FE001', 'FE063', 'FE120') and category in ('debug', 'path')"),
         "q_rules_maximum": _counts("rule_id <> 'FE066'", prefilter=False),
@@ -425,16 +438,22 @@ def plain_sql() -> dict[str, str]:
     }
 
 
-def _stale_sql(only: bool = False) -> str:
-    """FE066; only: with no other rule on, so that no directive has a finding."""
-    active = "select null::varchar as file, null::varchar as rule_id where false" if only else " union all ".join(f"(select file, rule_id from ({rule_sql(n)}))" for n in RULE_SQL)
-    rules = RULES if not only else "rules(rule_id, rule_name, category, severity) as (values ('FE066', 'dead-suppression-comment', 'lint', 'info'))"
-    return f"""
-with {rules}, {FILES}, {LINES}, {SUPPRESSED}, active as ({active}),
+def _stale_parts(active: str) -> tuple[str, str]:
+    """(relations, select) of FE066, where files, lines and suppressions are there; active: file and rule_id of what was found."""
+    return f"""active as ({active}),
 form_lines as (select distinct path, line from directives where form = 'file'),
 ids as (select d.path, d.line, d.text, upper(d.token) as rule_id from directives d where regexp_matches(upper(d.token), '^FE[0-9]{{3}}$')
-        and (d.form = 'file' or not exists (select 1 from form_lines f where f.path = d.path and f.line = d.line)))
+        and (d.form = 'file' or not exists (select 1 from form_lines f where f.path = d.path and f.line = d.line)))""", """
 select 'FE066' as rule_id, i.path as file, i.line as line, 1 as "column", 'suppression for `' || i.rule_id || '` does not match any finding in this file' as message, regexp_replace(regexp_replace(i.text, '^\\s+', ''), '\\s+$', '') as snippet, 'info' as severity
 from ids i where not exists (select 1 from active a where a.file = i.path and a.rule_id = i.rule_id)
   and not exists (select 1 from suppressed s where s.path = i.path and s.rule_id = 'FE066' and (s.form = 'file' or i.line in (s.line, s.line + 1)))
 """
+
+
+def _stale_sql(only: bool = False) -> str:
+    """FE066; only: with no other rule on, so that no directive has a finding."""
+    if not only:
+        return f"select * from ({_findings()}) where rule_id = 'FE066'"
+    relations, select = _stale_parts("select null::varchar as file, null::varchar as rule_id where false")
+    rules = "rules(rule_id, rule_name, category, severity) as (values ('FE066', 'dead-suppression-comment', 'lint', 'info'))"
+    return f"with {rules}, {FILES}, {LINES}, {SUPPRESSED}, {relations} {select}"
