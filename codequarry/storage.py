@@ -26,11 +26,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _store(spark: SparkSession, path: str) -> tuple:
+    """(Hadoop path, its file system)."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's file system remove an existing folder when the application ends."""
+    target, store = _store(spark, path)
+    store.deleteOnExit(target)
+
+
 def keep(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The table is there until discard() or, as plans that nobody has run yet may read it, until the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    remove_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_path = path
     return out
@@ -40,6 +56,6 @@ def discard(df: DataFrame) -> None:
     """Remove a table made by keep() that no later plan reads."""
     path = getattr(df, "_kept_path", None)
     if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        target, store = _store(df.sparkSession, path)
+        store.delete(target, True)
+        store.cancelDeleteOnExit(target)
