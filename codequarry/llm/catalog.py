@@ -20,7 +20,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_pieces(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.packed_files(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,15 @@ each segment, and the document and offset that each segment came from, from whic
 
 A task packs the documents that it reads, WINDOW_IDS at a time; rows that a window leaves emptier than FULL_SHARE hand their pieces to the next one. Nothing is
 shuffled, and memory is bounded by the window whatever the documents.
+
+write_matrices() writes the rows as binary files with a manifest, and read_matrices() reads them back, file by file and block by block.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +25,14 @@ from pyspark.sql import functions as F
 
 from codequarry.llm import spiece
 from codequarry.llm.tables import slices
-from codequarry.storage import keep
+from codequarry.storage import remove_at_exit, shared_dir
 
 ROW_IDS = 2048
 WINDOW_IDS = 1 << 20
 FULL_SHARE = 0.97
 PAD_ID = 0
+#: rows that are written, and read back, together
+BLOCK_ROWS = 256
 #: bytes of text that are encoded together
 ENCODE_BYTES = 2 << 20
 
@@ -122,11 +127,10 @@ def pack_documents(docs: DataFrame, encode: Callable[[pa.Array], tuple[np.ndarra
     cu_seqlens array<int>: 0 and the end of each segment. doc_ids, offsets: each segment's document and where in its ids it begins. n_tokens bigint: ids without padding.
 
     encode gives the ids of all texts in a row and their number for each text; a document without ids is in no row, and what null and empty texts have is
-    encode's affair. Null ids stay null; repeated rows are packed as often; an empty table gives no rows; other columns are ignored.
+    encode's affair. Ids are of any type and keep it; null ids stay null; repeated rows are packed as often; an empty table gives no rows; other columns, whatever their names, are ignored.
     """
     wide = np.dtype("<u2" if vocabulary <= 1 << 16 and length <= 1 << 16 else "<u4")
     kind = docs.schema[id_col].dataType.simpleString()
-    id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
 
     def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Piece]]:
         for batch in slices(batches, "__text", ENCODE_BYTES):
@@ -137,7 +141,7 @@ def pack_documents(docs: DataFrame, encode: Callable[[pa.Array], tuple[np.ndarra
                 at += n
             yield out
 
-    def row_batch(rows: list[list[Piece]]) -> pa.RecordBatch:
+    def row_batch(rows: list[list[Piece]], id_type: pa.DataType) -> pa.RecordBatch:
         columns: list[list] = [[] for _ in range(6)]
         for row in rows:
             ids, positions = np.full(length, pad_id, wide), np.zeros(length, wide)
@@ -153,13 +157,17 @@ def pack_documents(docs: DataFrame, encode: Callable[[pa.Array], tuple[np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[list[Piece]] = []
-        for row in pack(pieces_of(batches), length):
+        head = next(batches, None)
+        if head is None:
+            return
+        id_type = head.schema.field(0).type
+        for row in pack(pieces_of(chain([head], batches)), length):
             rows.append(row)
-            if len(rows) == 256:
-                yield row_batch(rows)
+            if len(rows) == BLOCK_ROWS:
+                yield row_batch(rows, id_type)
                 rows = []
         if rows:
-            yield row_batch(rows)
+            yield row_batch(rows, id_type)
 
     schema = f"ids binary, positions binary, cu_seqlens array<int>, doc_ids array<{kind}>, offsets array<int>, n_tokens bigint"
     return docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, schema)
@@ -174,26 +182,77 @@ def pack_pieces(docs: DataFrame, model_path: str, **options) -> DataFrame:
     return pack_documents(docs, encode, spiece.load_model(model_path).size, **options)
 
 
+def matrix_folder(docs: DataFrame) -> str:
+    """A new folder for matrices in the shared folder, as a URI; it is removed when the application ends."""
+    folder = f"{shared_dir(docs.sparkSession)}/matrices-{uuid.uuid4().hex}"
+    return folder if "://" in folder or not folder.startswith("file:") else "file://" + folder[5:]
+
+
 def write_matrices(packed: DataFrame, folder: str) -> DataFrame:
-    """Write each task's rows as <name>.ids.bin and <name>.positions.bin (matrices row by row) and <name>.segments.bin; the manifest (path, rows, segments).
+    """Write each task's rows as four files; the manifest (path, rows, segments, row_bytes), which is the Parquet table folder/manifest.
 
-    segments.bin holds, for each row, the number of cumulative lengths and then these, as 4-byte little-endian numbers. Names are unique to the attempt,
-    and only files in the manifest, a table in the shared folder, count: those of lost executors are never read.
+    path.ids.bin and path.positions.bin are matrices, row by row, of row_bytes a row. path.segments.bin holds, for each row, the number of cumulative lengths and then these, as
+    4-byte little-endian numbers. path.documents.arrow is an Arrow stream of each row's doc_ids and offsets. Names are unique to the attempt, and only files in the manifest count:
+    those of lost executors are never read. A task without rows writes nothing; folder must not hold a manifest yet.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = next((b for b in batches if b.num_rows), None)
+        if batch is None:
+            return
         store, at = fs.FileSystem.from_uri(folder)
         store.create_dir(at, recursive=True)
-        name, rows, segments = uuid.uuid4().hex, 0, 0
-        ids, positions, lengths = (store.open_output_stream(f"{at}/{name}.{x}.bin") for x in ("ids", "positions", "segments"))
+        name, rows, segments, row_bytes = uuid.uuid4().hex, 0, 0, len(batch.column(0)[0].as_py())
+        ids, positions, lengths, documents = (store.open_output_stream(f"{at}/{name}.{x}") for x in ("ids.bin", "positions.bin", "segments.bin", "documents.arrow"))
+        of_documents = pa.schema([batch.schema.field(3), batch.schema.field(4)])
+        with pa.ipc.new_stream(documents, of_documents) as stream:
+            for batch in chain([batch], batches):
+                ids.write(b"".join(batch.column(0).to_pylist()))
+                positions.write(b"".join(batch.column(1).to_pylist()))
+                ends = batch.column(2).to_pylist()
+                lengths.write(b"".join(np.array([len(e), *e], "<i4").tobytes() for e in ends))
+                stream.write_batch(pa.record_batch(batch.columns[3:], schema=of_documents))
+                rows, segments = rows + batch.num_rows, segments + sum(len(e) - 1 for e in ends)
+        for file in (ids, positions, lengths, documents):
+            file.close()
+        yield pa.record_batch([pa.array([f"{folder}/{name}"]), *(pa.array([n], pa.int64()) for n in (rows, segments, row_bytes))], names=["path", "rows", "segments", "row_bytes"])
+
+    schema = "path string, rows bigint, segments bigint, row_bytes bigint"
+    packed.select("ids", "positions", "cu_seqlens", "doc_ids", "offsets").mapInArrow(run, schema).write.parquet(f"{folder}/manifest")
+    return packed.sparkSession.read.schema(schema).parquet(f"{folder}/manifest")
+
+
+def read_matrices(manifest: DataFrame, id_kind: str = "bigint") -> DataFrame:
+    """The rows of pack_documents() from the files of a manifest; id_kind is the Spark type of the documents' ids. A task reads whole files, a block of rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids.write(row["ids"])
-                positions.write(row["positions"])
-                lengths.write(np.array([len(row["cu_seqlens"]), *row["cu_seqlens"]], "<i4").tobytes())
-                rows, segments = rows + 1, segments + len(row["cu_seqlens"]) - 1
-        for stream in (ids, positions, lengths):
-            stream.close()
-        yield pa.record_batch([pa.array([f"{folder}/{name}"]), pa.array([rows], pa.int64()), pa.array([segments], pa.int64())], names=["path", "rows", "segments"])
-
-    return keep(packed.select("ids", "positions", "cu_seqlens").mapInArrow(run, "path string, rows bigint, segments bigint"), "matrices")
+            for path, row_bytes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield from rows_of(path, row_bytes)
+
+    def rows_of(path: str, row_bytes: int) -> Iterator[pa.RecordBatch]:
+        store, at = fs.FileSystem.from_uri(path)
+        with store.open_input_stream(f"{at}.ids.bin") as ids, store.open_input_stream(f"{at}.positions.bin") as positions, store.open_input_stream(f"{at}.segments.bin", buffer_size=1 << 16) as lengths, store.open_input_stream(f"{at}.documents.arrow") as documents:
+            for block in pa.ipc.open_stream(documents):
+                n = block.num_rows
+                matrices = []
+                for file in (ids, positions):
+                    data = file.read(n * row_bytes)
+                    if len(data) < n * row_bytes:
+                        raise ValueError(f"{path} is cut off")
+                    matrices.append(pa.array([data[i : i + row_bytes] for i in range(0, len(data), row_bytes)], pa.binary()))
+                ends = [np.frombuffer(lengths.read(4 * int.from_bytes(lengths.read(4), "little")), "<i4").tolist() for _ in range(n)]
+                columns = [*matrices, pa.array(ends, pa.list_(pa.int32())), *block.columns, pa.array([e[-1] for e in ends], pa.int64())]
+                yield pa.record_batch(columns, names=["ids", "positions", "cu_seqlens", "doc_ids", "offsets", "n_tokens"])
+
+    files = manifest.count()
+    schema = f"ids binary, positions binary, cu_seqlens array<int>, doc_ids array<{id_kind}>, offsets array<int>, n_tokens bigint"
+    return manifest.select("path", "row_bytes").repartition(max(1, files)).mapInArrow(run, schema)
+
+
+def packed_files(docs: DataFrame, model_path: str, **options) -> DataFrame:
+    """What pack_pieces() packs, written as matrices in the shared folder and read back from them; the files go when the application ends."""
+    folder = matrix_folder(docs)
+    manifest = write_matrices(pack_pieces(docs, model_path, **options), folder)
+    remove_at_exit(docs.sparkSession, folder)
+    return read_matrices(manifest, docs.schema[options.get("id_col", "doc_id")].dataType.simpleString())

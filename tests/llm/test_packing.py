@@ -91,11 +91,12 @@ def test_windows_keep_every_piece():
 
 
 def test_matrix_files(spark, tmp_path):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    packed = packing.pack_pieces(docs, PATH, length=64)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3)
+    packed = packing.pack_pieces(docs, PATH, length=64).checkpoint()
     rows = packed.collect()
-    manifest = packing.write_matrices(packed, f"file://{tmp_path}/m").collect()
-    assert sum(r["rows"] for r in manifest) == len(rows)
+    written = packing.write_matrices(packed, f"file://{tmp_path}/m")
+    manifest = written.collect()
+    assert sum(r["rows"] for r in manifest) == len(rows) and {r["row_bytes"] for r in manifest} == {128}
     ids = b"".join(open(r["path"][7:] + ".ids.bin", "rb").read() for r in manifest)
     assert sorted(ids[i : i + 128] for i in range(0, len(ids), 128)) == sorted(bytes(r["ids"]) for r in rows)
     numbers = np.concatenate([np.fromfile(r["path"][7:] + ".segments.bin", "<i4") for r in manifest]).tolist()
@@ -104,3 +105,25 @@ def test_matrix_files(spark, tmp_path):
         lists.append(numbers[1 : 1 + numbers[0]])
         numbers = numbers[1 + numbers[0] :]
     assert sorted(lists) == sorted(r["cu_seqlens"] for r in rows)
+    assert sorted(packing.read_matrices(written).collect()) == sorted(rows)
+    # a file that is not in the manifest is nobody's
+    open(f"{tmp_path}/m/lost.ids.bin", "wb").write(b"x")
+    assert packing.read_matrices(spark.read.parquet(f"file://{tmp_path}/m/manifest")).count() == len(rows)
+
+
+def test_query_returns_what_the_files_hold(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(2)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    assert joined(packing.packed_files(docs, PATH).collect(), 2048) == {r["doc_id"]: sp.encode(r["text"] or "", add_eos=True) for r in docs.collect()}
+    assert packing.packed_files(docs.where("false"), PATH).collect() == []
+
+
+def test_ids_of_any_type_clashing_names_and_very_long_texts(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    docs = spark.createDataFrame([(1, "a b", "x"), (2, "long words " * 200_000, "y"), (None, "c", None)], "doc_id int, text string, ids string").coalesce(1)
+    docs = docs.selectExpr("doc_id", "text", "ids", "ids as positions", "ids as __text", "ids as path")
+    for kind in ("smallint", "decimal(20,2)", "string", "timestamp"):
+        given = docs.withColumn("doc_id", docs["doc_id"].cast("long").cast(kind))
+        rows = packing.packed_files(given, PATH).collect()
+        ids = {r["doc_id"]: sp.encode(r["text"], add_eos=True) for r in given.collect()}
+        assert joined(rows, 2048) == ids
