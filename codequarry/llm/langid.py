@@ -6,7 +6,7 @@ linear, a trained model is scored from the product of embeddings and layer: one
 
 Rejection is calibrated on a fifth of the sample, which SGD has not seen: a temperature is fitted on stretches of those texts of many lengths, so that the confidence is
 the chance of being right for short and long texts alike, and the least confidence is the one that REJECT_RATE of the whole texts fall below, but never over MOST_DOUBT.
-Samples with under LEAST_KEPT texts in that fifth are not calibrated and reject nothing but texts without a letter, which are always rejected.
+That is so at every size; a sample of under five texts has no such fifth and keeps temperature 1. Texts without a letter are always rejected.
 """
 
 from __future__ import annotations
@@ -29,9 +29,8 @@ MOST_ROWS = 4000
 #: characters of each of those texts that reach the driver, from a place that its hash decides, and bytes that a step of SGD looks at (training only; scoring reads whole texts)
 MOST_CHARS = 16_384
 STEP_BYTES = 1500
-#: share of labelled texts that may be rejected for doubt, and the number of texts that it takes to tell
+#: share of labelled texts that may be rejected for doubt, and the confidence that is always enough
 REJECT_RATE = 0.005
-LEAST_KEPT = 200
 MOST_DOUBT = 0.4
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F))
 #: ASCII other than letters becomes a border
@@ -93,14 +92,14 @@ class LanguageModel:
 
 
 def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 4, rate: float = 0.5) -> LanguageModel:
-    """rows: (text, language). A fifth is kept from SGD for calibration, if that is LEAST_KEPT texts or more. Languages are balanced by weighting the steps."""
+    """rows: (text, language). A fifth, at any size, is kept from SGD for calibration; under five texts there is none. Languages are balanced by weighting the steps."""
     rows = [(t, y) for t, y in rows if t and y is not None and any(c.isalpha() for c in t)]
     languages = sorted({y for _, y in rows})
     rng = np.random.default_rng(seed)
     if len(languages) < 2:
         return LanguageModel(languages, np.zeros((BUCKETS, max(1, len(languages)))), np.zeros(max(1, len(languages))))
     rows = [rows[i] for i in rng.permutation(len(rows))]
-    kept = rows[: len(rows) // 5] if len(rows) // 5 >= LEAST_KEPT else []
+    kept = rows[: len(rows) // 5]
     learn = rows[len(kept) :]
     embed = rng.normal(0, 0.1, (BUCKETS, WIDTH))
     layer, bias = rng.normal(0, 0.1, (WIDTH, len(languages))), np.zeros(len(languages))

@@ -72,9 +72,17 @@ def test_confidence_is_the_chance_of_being_right(spark):
     assert sum(s < model.least for s in whole) <= 0.02 * len(whole)
 
 
-def test_small_samples_are_not_calibrated():
+def test_small_samples_are_calibrated_as_well(spark):
     model = langid.train([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 20)
-    assert (model.temperature, model.least) == (1.0, 0.0)
+    assert model.temperature != 1.0 and 0 < model.least <= langid.MOST_DOUBT
+    tiny = langid.train([("the cat and the dog", "en"), ("der hund und die katze", "de")])
+    assert (tiny.temperature, tiny.least) == (1.0, 0.0)
+    # at the smallest scale a clean text stays and the languages of texts not learnt from are found
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.learn(docs, ~held_out())
+    unseen = langid.identify(docs.where(held_out() & docs["lang"].isNotNull() & docs["text"].isNotNull()), model).collect()
+    assert model.temperature != 1.0 and sum(r["rejected"] for r in unseen) <= 0.05 * len(unseen)
+    assert sum(r["lang_pred"] == r["lang"] for r in unseen) >= 0.9 * len(unseen)
 
 
 def test_long_texts_teach_with_a_stretch(spark):
