@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.llm.components import connected_components
-from codequarry.llm.tables import by_slices, utf8
-from codequarry.storage import keep
+from codequarry.llm.tables import by_slices, join_spread, utf8
+from codequarry.storage import discard, keep
 
 SHINGLE_WORDS = 3
 MOST_BITS = 3
@@ -176,9 +176,9 @@ def near_links(fps: DataFrame) -> DataFrame:
     keys = F.array(*[F.lit(n << 24) + octet(t[0]) * 65536 + octet(t[1]) * 256 + octet(t[2]) for n, t in enumerate(TRIPLES)])
     listed = fps.select("fp", F.explode(keys).alias("key"))
     shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     dealt = (
-        listed.join(shared, "key")
+        join_spread(listed, shared.withColumn("size", F.col("n")), "key", "n", len(TRIPLES) * fps.count())
         .withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -187,16 +187,22 @@ def near_links(fps: DataFrame) -> DataFrame:
     return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair", "fp").mapInArrow(_forest_of_lists, "a bigint, b bigint")
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, fp, root, component_id) for every row; root is the smallest fingerprint of the row's group."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """(id_col, fp, root, component_id) for every row; root is the smallest fingerprint of the row's group. Also the kept tables that this reads.
+
+    Copies, blank texts and the fingerprints of one group may be a third of all rows: they never meet, but take what is known of their key by broadcast (join_spread).
+    """
     rows = keep(fingerprints(docs, id_col, text_col), "simhash")
-    # one row for each distinct fingerprint from here on; copies never meet as a group
-    distinct = rows.groupBy("fp").agg(F.min(id_col).alias("least"))
+    # one row for each distinct fingerprint from here on
+    distinct = keep(rows.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = connected_components(near_links(distinct.select("fp")), "a", "b")
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
-    return rows.join(classes, "fp").select(id_col, "fp", "root", "component_id")
+    rooted = keep(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    totals = distinct.agg(F.count(F.lit(1)).alias("fps"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    classes = keep(join_spread(rooted.select("fp", "root", "n"), groups, "root", "members", totals["fps"]).select("fp", "root", "component_id", "n"), "classes")
+    for table in (distinct, roots, rooted):
+        discard(table)
+    return join_spread(rows, classes, "fp", "n", totals["rows"]).select(id_col, "fp", "root", "component_id"), [rows, classes]
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,7 +212,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     fingerprints are linked. Rows with a null id get the smallest id of their group, null if none of it has one; repeated rows stay repeated; an
     empty table gives an empty result; other columns are ignored.
     """
-    return _grouped(docs, id_col, text_col).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _grouped(docs, id_col, text_col)[0].select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,7 +221,10 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A row without an id stays only for a group without any id. Of several rows with that id in the group, that with the smallest fingerprint, then
     the smallest values in column order, stays. An empty table gives an empty result.
     """
-    grouped = keep(_grouped(docs, id_col, text_col), "groups")
+    grouped, read = _grouped(docs, id_col, text_col)
+    grouped = keep(grouped, "groups")
+    for table in read:
+        discard(table)
     best = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "fp"))
     chosen = keep(grouped.groupBy("root").agg(best.alias("best")).select(F.col("best.id").alias("chosen_id"), F.col("best.fp").alias("chosen_fp")), "chosen")
     odd = keep(grouped.groupBy(F.col(id_col).alias("odd_id")).count().where("count > 1 or odd_id is null").select("odd_id"), "odd")

@@ -85,6 +85,22 @@ def next_rows(df: DataFrame, id_col: str, tie_col: str, carried: list[str], rows
     return led.where("__to.turn = 0").drop("__b", "__to", *own_key)
 
 
+#: a key is hot if it has more than one in HOT_SHARE of all rows: fewer than HOT_SHARE keys can
+HOT_SHARE = 1000
+
+
+def join_spread(rows: DataFrame, keyed: DataFrame, key: str, n_col: str, total: int) -> DataFrame:
+    """rows with the columns of keyed (one row for each key) but n_col, by an inner join in which no key brings more than a HOT_SHARE-th of the rows to one task.
+
+    n_col is how many rows have the key, and total at least their sum over all keys. Hot keys are therefore fewer than HOT_SHARE, whatever the data: these are broadcast, and their
+    rows stay where they are read. Null keys join nothing.
+    """
+    hot = F.col(n_col) * HOT_SHARE > F.lit(total)
+    few, others = F.broadcast(keyed.where(hot).drop(n_col)), keyed.where(~hot).drop(n_col)
+    cold = rows.join(F.broadcast(keyed.where(hot).select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(cold.join(others, key))
+
+
 def bitmap_filter(df: DataFrame, column: str, wanted: DataFrame, log_bits: int = 22) -> DataFrame:
     """The rows of df whose value is perhaps in the one column of wanted: no wanted row is lost, most others are, and nothing is shuffled.
 

@@ -3,9 +3,11 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from codequarry.llm import simhash
 from codequarry.llm.components import connected_components
+from codequarry.llm.tables import join_spread
 
 
 def brute_print(text):
@@ -120,3 +122,25 @@ def test_very_long_texts(spark):
     rows = [(1, long, "x"), (2, long + " tail", "y"), (3, "other words here", "z")]
     found = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string, fp string")).collect()}
     assert found == {1: 1, 2: 1, 3: 3}
+
+
+def test_join_spread_equals_a_join_and_moves_no_hot_key(spark):
+    rng = random.Random(4)
+    rows = [(0 if rng.random() < 0.4 else rng.randrange(1, 4000), n) for n in range(5000)] + [(None, -1)]
+    rows = spark.createDataFrame(rows, "k int, x int")
+    keyed = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("x").alias("most")).where("k <> 7")
+    found = join_spread(rows, keyed, "k", "n", 5001)
+    assert found.columns == ["k", "x", "most"]
+    assert sorted(found.collect()) == sorted(rows.join(keyed.drop("n"), "k").collect())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and plan.count("BroadcastHashJoin") >= 2
+
+
+def test_hubs_and_a_third_of_blank_texts(spark):
+    hub = spark.createDataFrame([(0, n) for n in range(1, 3000)] + [(n, n + 1) for n in range(5000, 5200)] + [(5000, 2999)], "a bigint, b bigint")
+    roots = dict(map(tuple, connected_components(hub, "a", "b").collect()))
+    assert set(roots) == set(range(3000)) | set(range(5000, 5201)) and set(roots.values()) == {0}
+    texts = ["" if n % 3 == 0 else f"some words number {n} {n * 7} and more" for n in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    groups = {r["doc_id"]: r for r in simhash.near_groups(docs).collect()}
+    assert len(groups) == 300 and all(groups[n]["component_id"] == 0 and groups[n]["fingerprint"] == "0" * 16 for n in range(0, 300, 3))
