@@ -33,8 +33,8 @@ FULL_SHARE = 0.97
 PAD_ID = 0
 #: rows that are written, and read back, together
 BLOCK_ROWS = 256
-#: bytes of text that are encoded together
-ENCODE_BYTES = 2 << 20
+#: bytes of text that are encoded together; a word that they repeat is encoded once
+ENCODE_BYTES = 8 << 20
 
 
 class Capacities:
@@ -120,6 +120,18 @@ def pack(pieces: Iterator[list[Piece]], length: int, window: int = WINDOW_IDS) -
     yield from settle(True)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batches put together while they have at most most_bytes, or a single larger batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > most_bytes:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+        held.append(batch)
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def pack_documents(docs: DataFrame, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], vocabulary: int, id_col: str = "doc_id", text_col: str = "text", length: int = ROW_IDS, pad_id: int = PAD_ID) -> DataFrame:
     """A row for each row of the id matrix.
 
@@ -133,7 +145,7 @@ def pack_documents(docs: DataFrame, encode: Callable[[pa.Array], tuple[np.ndarra
     kind = docs.schema[id_col].dataType.simpleString()
 
     def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Piece]]:
-        for batch in slices(batches, "__text", ENCODE_BYTES):
+        for batch in slices(gathered(batches, ENCODE_BYTES), "__text", ENCODE_BYTES):
             flat, counts = encode(batch.column(1))
             flat, at, out = flat.astype(wide), 0, []
             for doc, n in zip(batch.column(0).to_pylist(), counts.tolist()):
