@@ -24,9 +24,18 @@ from pyspark.sql import functions as F
 from codequarry.llm.tables import by_slices
 
 SPACE = "▁"
-_NONE = np.int64(2**31 - 1)
+#: a symbol or rank is less than 2 ** BITS
+BITS = 22
+#: stands behind the last symbol of a chunk, and is in no pair
+_NOTHING = np.int32((1 << BITS) - 1)
+#: the score of what is no pair of a piece, well over all others
+_NONE = np.int64(1 << 62)
 #: chunks of more symbols are merged one at a time with a heap
 LONG_CHUNK = 192
+#: of a pair's score, what one row counts
+_ROW = np.int64(1 << BITS)
+#: symbols that are merged together: their scores stay in a core's cache
+BLOCK_SYMBOLS = 1 << 16
 #: bytes of text that are encoded together
 SLICE_BYTES = 1 << 20
 
@@ -124,7 +133,7 @@ class Model:
 
     def _symbols(self, normal: dict[str, int]) -> None:
         """Characters that are pieces have the piece's id as symbol, others size + code point."""
-        self.symbol_of = np.arange(0x110000, dtype=np.int64) + self.size
+        self.symbol_of = np.arange(0x110000, dtype=np.int32) + np.int32(self.size)
         for piece, i in normal.items():
             if len(piece) == 1:
                 self.symbol_of[ord(piece)] = i
@@ -141,42 +150,44 @@ class Model:
             for cut in range(1, len(piece)):
                 left, right = symbol(piece[:cut]), symbol(piece[cut:])
                 if left is not None and right is not None:
-                    pairs[left << 22 | right] = (order[pieces[i].score], i)
+                    pairs[left << BITS | right] = (order[pieces[i].score], i)
         self.pairs = pairs
         keys = np.fromiter(pairs, np.int64, len(pairs))
-        values = np.array(list(pairs.values()), np.int64).reshape(-1, 2)
+        values = np.fromiter((rank << BITS + 8 | i for rank, i in pairs.values()), np.int64, len(pairs))
         self.tables: list = []
         while len(keys):
             bits = max(8, int(np.ceil(np.log2(len(keys)))) + 2)
             slots = self._slot(keys, bits)
             _, first = np.unique(slots, return_index=True)
-            table = [np.full(1 << bits, v, np.int64) for v in (-1, _NONE, 0)]
-            for column, new in zip(table, (keys, values[:, 0], values[:, 1])):
-                column[slots[first]] = new[first]
-            self.tables.append((bits, table))
+            held, scores = np.full(1 << bits, -1, np.int64), np.full(1 << bits, _NONE)
+            held[slots[first]], scores[slots[first]] = keys[first], values[first]
+            self.tables.append((bits, held, scores))
             rest = np.ones(len(keys), bool)
             rest[first] = False
             keys, values = keys[rest], values[rest]
 
     @staticmethod
     def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-
-    def _ranks(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank, merged id) of each pair key; rank _NONE where the pair is no piece."""
-        rank, merged = np.full(len(keys), _NONE), np.zeros(len(keys), np.int64)
-        at = None
-        for bits, (held, ranks, ids) in self.tables:
-            slots = self._slot(keys if at is None else keys[at], bits)
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+
+    def _scores(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """rank << BITS + 8 | merged id of each pair of symbols; _NONE where the pair is no piece."""
+        keys = left.astype(np.int64) << BITS | right
+        out, at = np.full(len(keys), _NONE), None
+        for bits, held, scores in self.tables:
+            asked = keys if at is None else keys[at]
+            slots = self._slot(asked, bits)
             there = held[slots]
-            hit = there == (keys if at is None else keys[at])
-            where = np.flatnonzero(hit) if at is None else at[hit]
-            rank[where], merged[where] = ranks[slots[hit]], ids[slots[hit]]
-            more = ~hit & (there >= 0)
-            at = np.flatnonzero(more) if at is None else at[more]
+            if at is None:
+                out = np.where(there == asked, scores[slots], _NONE)
+                at = np.flatnonzero((there != asked) & (there >= 0))
+            else:
+                hit = there == asked
+                out[at[hit]] = scores[slots[hit]]
+                at = at[~hit & (there >= 0)]
             if not len(at):
                 break
-        return rank, merged
+        return out
 
     def _merge_long(self, symbols: list[int]) -> list[int]:
         """Merges of one long chunk: best score first, leftmost of equals, with a heap over a linked list."""
@@ -186,7 +197,7 @@ class Model:
 
         def offer(i: int) -> None:
             j = after[i]
-            if i >= 0 and j < n and (pair := self.pairs.get(symbols[i] << 22 | symbols[j])):
+            if i >= 0 and j < n and (pair := self.pairs.get(symbols[i] << BITS | symbols[j])):
                 heapq.heappush(heap, (pair[0], i, symbols[i], symbols[j], pair[1]))
 
         for i in range(n - 1):
@@ -205,49 +216,87 @@ class Model:
                 offer(before[i])
         return [s for s, a in zip(symbols, alive) if a]
 
-    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks in a row, their number for each chunk)."""
-        points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4")
-        symbols = self.symbol_of[points]
-        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        owner = np.repeat(np.arange(len(chunks)), sizes)
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        long = np.flatnonzero(sizes > LONG_CHUNK)
-        if len(long):
-            starts = np.cumsum(sizes) - sizes
-            for c in long.tolist():
-                out = np.array(self._merge_long(symbols[starts[c] : starts[c] + sizes[c]].tolist()), np.int64)
-                done.append((out, np.full(len(out), c)))
-            short = sizes[owner] <= LONG_CHUNK
-            symbols, owner = symbols[short], owner[short]
-        while len(symbols):
-            rank, merged = np.full(len(symbols), _NONE), np.zeros(len(symbols), np.int64)
-            inside = np.flatnonzero(owner[:-1] == owner[1:])
-            rank[inside], merged[inside] = self._ranks(symbols[inside] << 22 | symbols[inside + 1])
-            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            best = np.minimum.reduceat(rank << 32 | np.arange(len(symbols)), starts)
-            open_ = best >> 32 != _NONE
-            left = best[open_] & 0xFFFFFFFF
-            symbols[left] = merged[left]
-            stay = np.repeat(open_, np.diff(np.append(starts, len(symbols))))
-            done.append((symbols[~stay], owner[~stay]))
-            stay[left + 1] = False
-            symbols, owner = symbols[stay], owner[stay]
-        if not done:
-            return np.empty(0, np.int64), sizes
-        symbols, owner = (np.concatenate(x) for x in zip(*done))
-        order = np.argsort(owner, kind="stable")
-        symbols, owner = symbols[order], owner[order]
-        if (symbols >= self.size).any():  # characters outside the vocabulary: their UTF-8 bytes
-            ids, owners = [], []
-            at = 0
-            for i in np.flatnonzero(symbols >= self.size).tolist():
-                own = self.byte_ids[np.frombuffer(chr(int(symbols[i]) - self.size).encode("utf-8", "surrogatepass"), np.uint8)]
-                ids += [symbols[at:i], own]
-                owners += [owner[at:i], np.full(len(own), owner[i])]
-                at = i + 1
-            symbols, owner = np.concatenate([*ids, symbols[at:]]), np.concatenate([*owners, owner[at:]])
-        return symbols, np.bincount(owner, minlength=len(chunks))
+        chunks = chunks.cast(pa.string())
+        _, offsets, data = chunks.buffers()
+        borders = np.frombuffer(offsets, np.int32, len(chunks) + 1, 4 * chunks.offset) if len(chunks) else np.zeros(1, np.int32)
+        text = data[int(borders[0]) : int(borders[-1])].to_pybytes().decode() if borders[-1] else ""
+        symbols = self.symbol_of[np.frombuffer(text.encode("utf-32-le"), "<u4")]
+        sizes = pa.compute.utf8_length(chunks).to_numpy().astype(np.int64)
+        starts, left = np.cumsum(sizes) - sizes, sizes.copy()
+        for c in np.flatnonzero(sizes > LONG_CHUNK).tolist():
+            own = symbols[starts[c] : starts[c] + sizes[c]]
+            out = self._merge_long(own.tolist())
+            left[c] = len(out)
+            own[: len(out)], own[len(out) :] = out, _NOTHING
+        # chunks of about one size are merged together
+        order = np.argsort(sizes, kind="stable")
+        order = order[np.searchsorted(sizes[order], 2) : np.searchsorted(sizes[order], LONG_CHUNK, "right")]
+        while len(order):
+            some = order[-max(1, BLOCK_SYMBOLS // int(sizes[order[-1]])) :]
+            self._merge_all(symbols, starts[some], left, some)
+            order = order[: -len(some)]
+        return self._bytes_of_others(symbols[symbols != _NOTHING], left)
+
+    def _merge_all(self, symbols: np.ndarray, starts: np.ndarray, left: np.ndarray, own: np.ndarray) -> None:
+        """Merges of the chunks own, a chunk a column, one best merge for each a round; symbols and left get what they come to.
+
+        Only the two pairs beside a merge are looked up again. A score is the pair's rank, row and merged id, so that the least is the leftmost of the best.
+        """
+        height = int(left[own].max())
+        row = np.arange(height)[:, None]
+        there = row < left[own]
+        place = np.where(there, starts + row, starts)
+        grid = np.where(there, symbols[place], _NOTHING)
+        symbols[place[there]] = _NOTHING
+        scores = np.full(grid.shape, _NONE)
+        pair = np.nonzero(there[1:])
+        scores[pair] = self._scores(grid[:-1][pair], grid[1:][pair]) + pair[0] * _ROW
+        while True:
+            best = scores.min(axis=0)
+            open_ = best < _NONE >> 1
+            if not open_.all():
+                closed = grid[:, ~open_]
+                there = closed != _NOTHING
+                symbols[(starts[~open_] + row[: len(grid)])[there]] = closed[there]
+                left[own[~open_]] = np.count_nonzero(there, axis=0)
+                if not open_.any():
+                    return
+                keep = np.flatnonzero(open_)
+                own, starts, best, grid, scores = own[keep], starts[keep], best[keep], grid[:, keep], scores[:, keep]
+            at = best >> BITS & 255
+            column = np.arange(len(own))
+            after = row[: len(grid) - 1] > at
+            grid = np.where(after, grid[1:], grid[:-1])
+            scores = np.where(after, scores[1:] - _ROW, scores[:-1])
+            merged = (best & _ROW - 1).astype(np.int32)
+            grid[at, column] = merged
+            # the pairs that the new symbol begins and ends
+            begins, ends = np.flatnonzero(at < len(grid) - 1), np.flatnonzero(at > 0)
+            first = np.concatenate([at[begins], at[ends] - 1])
+            where = np.concatenate([begins, ends])
+            scores[at, column] = _NONE
+            scores[first, where] = self._scores(grid[first, where], grid[first + 1, where]) + first * _ROW
+
+    def _bytes_of_others(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """encode_chunks()'s result from symbols: those of characters outside the vocabulary become the ids of their UTF-8 bytes."""
+        others = np.flatnonzero(symbols >= self.size)
+        if not len(others):
+            return symbols, sizes
+        kinds, which = np.unique(symbols[others], return_inverse=True)
+        data = [np.frombuffer(chr(k - self.size).encode("utf-8", "surrogatepass"), np.uint8) for k in kinds.tolist()]
+        lengths = np.fromiter(map(len, data), np.int64, len(data))
+        width = np.ones(len(symbols), np.int64)
+        width[others] = lengths[which]
+        ends = np.cumsum(width)
+        out = np.repeat(symbols, width)
+        for k in range(4):
+            ids = np.array([self.byte_ids[d[k]] if k < len(d) else 0 for d in data])
+            has = lengths[which] > k
+            out[(ends - width)[others[has]] + k] = ids[which[has]]
+        more = np.bincount(np.searchsorted(np.cumsum(sizes), others, "right"), lengths[which] - 1, len(sizes))
+        return out, sizes + more.astype(np.int64)
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text and, for each of its bytes and its end, the offset of the source byte it came from."""
@@ -362,21 +411,20 @@ class Model:
             if spans:
                 stays[offsets[:-1]] = False
             coded = parts.flatten().filter(pa.array(stays)).dictionary_encode()
-            which = coded.indices.to_numpy().astype(np.int64)
-            ids, sizes = self.encode_chunks([SPACE + c for c in coded.dictionary.to_pylist()])
+            ids, sizes = self.encode_chunks(pa.compute.binary_join_element_wise(SPACE, coded.dictionary, ""))
         else:
             cut = [self.cut.findall(t) for t in new.to_pylist()]
             chunks = np.fromiter(map(len, cut), np.int64, len(cut))
             coded = pa.array([c for x in cut for c in x], pa.string()).dictionary_encode()
-            which = coded.indices.to_numpy().astype(np.int64)
-            ids, sizes = self.encode_chunks(coded.dictionary.to_pylist())
-        starts = np.cumsum(sizes) - sizes
+            ids, sizes = self.encode_chunks(coded.dictionary)
+        # the end id is a chunk of its own, which each text has last
+        which = np.insert(coded.indices.to_numpy(), np.cumsum(chunks), len(sizes))
+        ids, sizes = np.append(ids, np.int32(self.end_id)), np.append(sizes, 1).astype(np.int32)
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
         count = sizes[which]
-        ends = np.cumsum(count)
-        flat = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - (ends - count), count)]
-        borders = np.append(0, ends)[np.cumsum(chunks)]
-        flat = np.insert(flat, borders, self.end_id)
-        totals = np.diff(np.append(0, borders)) + 1
+        ends = np.cumsum(count, dtype=np.int32)
+        flat = ids[np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(starts[which] - (ends - count), count)]
+        totals = np.diff(np.append(0, ends[np.cumsum(chunks + 1) - 1]).astype(np.int64))
         if not spans:
             return flat, totals
         first = np.cumsum(totals) - totals

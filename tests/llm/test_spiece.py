@@ -3,6 +3,7 @@ import random
 import struct
 
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 
 from codequarry.llm import spiece
@@ -79,3 +80,34 @@ def test_spans_through_a_character_map(tmp_path):
             own = list(zip(flat[at : at + n].tolist(), begin[at : at + n].tolist(), end[at : at + n].tolist()))[:-1]
             assert own == library_spans(sp, t), t
             at += n
+
+
+def test_merges_look_up_only_the_pairs_beside_them(monkeypatch):
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(1, 60))) for _ in range(2000)})
+    model, slot, asked = spiece.Model(PATH), spiece.Model._slot, []
+
+    def counted(keys, bits):
+        asked.append(len(keys) if bits == model.tables[0][0] else 0)
+        return slot(keys, bits)
+
+    monkeypatch.setattr(spiece.Model, "_slot", staticmethod(counted))
+    flat, totals = model.encode([" ".join(words)], spans=False)
+    symbols = sum(len(w) + 1 for w in words)
+    assert sum(asked) <= symbols + 2 * (symbols - len(flat) + 1)
+    assert flat.tolist() == sentencepiece.SentencePieceProcessor(model_file=PATH).encode(" ".join(words), add_eos=True)
+
+
+def test_words_of_every_length_are_merged_as_by_the_library(monkeypatch):
+    rng = random.Random(7)
+    sp, model = sentencepiece.SentencePieceProcessor(model_file=PATH), spiece.Model(PATH)
+    lengths = [*range(1, spiece.LONG_CHUNK + 10), *(rng.randrange(1, 12) for _ in range(500))]
+    texts = [f(n) for n in lengths for f in ("a".__mul__, "𓀀é".__mul__, lambda n: "".join(rng.choice("theingé😀好𓀀Z9.") for _ in range(n)))]
+    rng.shuffle(texts)
+    texts = [*texts, "", " ".join(texts), "\n".join(texts), *(" ".join(rng.sample(texts, 3)) + end for end in ("", "  ▁x", "\n") for _ in range(20))]
+    expected = [sp.encode(t, add_eos=True) for t in texts]
+    for block in (1, 300, 1 << 16):
+        monkeypatch.setattr(spiece, "BLOCK_SYMBOLS", block)
+        flat, totals = model.encode_all(pa.array(texts, pa.string()), spans=False)
+        assert totals.tolist() == [len(e) for e in expected] and flat.tolist() == [i for e in expected for i in e]
+    assert [len(x) for x in model.encode_all(pa.array([], pa.string()))] == [0, 0, 0, 0]
