@@ -76,7 +76,7 @@ def built(spark, monkeypatch, name):
     return set(names), df._jdf.queryExecution().executedPlan().toString()
 
 
-RELATIONS = ["q_method_chains", "q_test_functions", "q_chain_calls", "q_invocations"]
+RELATIONS = ["q_method_chains", "q_test_functions", "q_chain_calls", "q_invocations", "q_declarations"]
 
 
 @pytest.mark.parametrize("name", RELATIONS)
